@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, simhash
-from tessera.llm.common import table
+from tessera.llm import bpe, chat, language, mixing, rules, secrets, simhash, toxicity
+from tessera.llm.common import crc_mod, table
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.one_source(table(spark, sf_dir, "documents")).drop("content")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_chats(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +28,39 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    held_out = (crc_mod("doc_id", 5) == 0).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, crc_mod("doc_id", 4) != 2)
+    return language.predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_simhash": op3_simhash, "op7_bpe": op7_bpe}
-ORACLES: dict[str, str] = {}
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
+    "op2_chat": op2_chat,
+    "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
+    "op6_secrets": op6_secrets,
+    "op7_bpe": op7_bpe,
+    "op10_rules": op10_rules,
+}
+ORACLES: dict[str, str] = {"op6_secrets": secrets.oracle_sql()}
