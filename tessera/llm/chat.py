@@ -82,12 +82,13 @@ def encode(rendered: str, file: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Which tokens meet a span, and for each token the first such span (by binary search; both lists are sorted)."""
+    """Which tokens meet a span, and for each token the first such span (by binary search; both lists are sorted). A token of no code point meets none."""
     if not spans or not len(offsets):
         return np.zeros(len(offsets), bool), np.zeros(len(offsets), np.int64)
     starts, ends = np.array(spans).T
     first = np.searchsorted(ends, offsets[:, 0], "right")
-    return (first < len(spans)) & (starts[np.minimum(first, len(spans) - 1)] < offsets[:, 1]), first
+    meets = (first < len(spans)) & (starts[np.minimum(first, len(spans) - 1)] < offsets[:, 1])
+    return meets & (offsets[:, 0] < offsets[:, 1]), first
 
 
 def masked_text(rendered: str, offsets: np.ndarray, spans: list[tuple[int, int]]) -> str:

@@ -16,3 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, fresh
 from tessera.plans.shared import materialise
 
 #: A third copy is the last that a document gives.
@@ -27,6 +28,8 @@ MAX_COPIES = 3
 BUCKETS, ZONE_DOCS = 4096, 256
 #: Patterns and sources that the driver takes; more raise an error.
 MAX_PATTERNS = 200_000
+#: Chosen documents of the zones that are broadcast (24 bytes each); more are joined by shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -43,7 +46,7 @@ def quotas(sizes: Sequence[int], weights: Sequence[float], budget: float, most:
         share = {i: left * weights[i] / total for i in open_}
         full = [i for i in sorted(open_) if share[i] > most * sizes[i]]
         for i in full or open_:
-            target[i] = most * sizes[i] if full else share[i]
+            target[i] = float(most * sizes[i]) if full else share[i]
         if not full:
             break
         left -= sum(target[i] for i in full)
@@ -109,70 +112,110 @@ def in_turn(names: Sequence[str | None], weights: Sequence[float] = (1, 2, 3)) -
     return [weights[i % len(weights)] for i in range(len(names))]
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, key: str = "doc_id", weigh: Callable[[Sequence[str | None]], Sequence[float]] = in_turn, share: float = 1.0, copies: int = MAX_COPIES, seed: int = 7) -> DataFrame:
-    """One row a document: key, content (a hash of key and size that orders it), size, sources (its pattern), source_sizes and targets (of these sources), copies (0 to `copies`), taken (size times copies).
+@dataclass
+class Plan:
+    """What the driver decides: a row for each pattern, and the documents of the patterns' zones that are chosen once more."""
 
-    `sources` is an array of names: their order doesn't matter, repeats count once, and null is a source of its own; a
-    document of none is never taken. `weigh` gives the weights of all sources, which it gets by code point, null last.
-    The budget is `share` of the sizes of all documents. A null size counts as 0. Reruns agree: what a document gets
-    depends on its key, its size, the seed and the totals; rows that agree in all of these may swap places. Repeated rows
-    count as documents of their own, null keys too; an empty table gives an empty result.
-    """
+    patterns: DataFrame
+    chosen: DataFrame
+    seed: int
+
+
+def _described(docs: DataFrame, sources: Column, size: Column, key: str, seed: int) -> Column:
+    """All that decides about a document: its pattern, its size, and the hash that orders it."""
+    n = F.coalesce(size, F.lit(0)).cast("bigint")
+    content = F.xxhash64(F.lit(seed), F.col(key).cast("string"), n)
+    return F.struct(F.array_sort(F.array_distinct(sources)).alias("sources"), n.alias("size"), content.alias("content"), F.pmod(content, F.lit(BUCKETS)).cast("int").alias("bucket"))
+
+
+def plan(docs: DataFrame, sources: Column, size: Column, key: str = "doc_id", weigh: Callable[[Sequence[str | None]], Sequence[float]] = in_turn, share: float = 1.0, copies: int = MAX_COPIES, seed: int = 7) -> Plan:
+    """Routes the tokens of all documents; see mix()."""
     spark = docs.sparkSession
-    members = F.array_sort(F.array_distinct(sources))
-    base = docs.select(F.col(key), members.alias("sources"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
-    base = base.withColumn("content", F.xxhash64(F.lit(seed), F.col(key).cast("string"), "size"))
-    base = materialise(base.withColumn("bucket", F.pmod("content", F.lit(BUCKETS)).cast("int")), "mix")
-    groups = base.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
+    base = materialise(docs.select(_described(docs, sources, size, key, seed).alias("d")).select("d.*"), "mix")
+    groups = base.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     names = sorted({s for g in groups for s in g["sources"] or []}, key=lambda s: (s is None, s or ""))
     if len(groups) > MAX_PATTERNS or len(names) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
-    groups.sort(key=lambda g: [(s is None, s or "") for s in g["sources"] or []])
+    groups.sort(key=lambda g: (g["sources"] is None, [(s is None, s or "") for s in g["sources"] or []]))
     place = {s: i for i, s in enumerate(names)}
-    patterns = [([place[s] for s in g["sources"] or []], g["size"]) for g in groups]
+    members = [([place[s] for s in g["sources"] or []], g["size"]) for g in groups]
     sizes = [0] * len(names)
-    for of, n in patterns:
+    for of, n in members:
         for s in of:
             sizes[s] += n
-    target = quotas(sizes, list(weigh(names)), share * sum(n for _, n in patterns), copies)
-    flow = [sum(r.values()) for r in route(patterns, [round(t) for t in target], copies)]
-    plan = [
-        (i, list(g["sources"] or []), [sizes[s] for s in of], [target[s] for s in of], f // n if n else 0, f % n if n else 0)
-        for i, (g, (of, n), f) in enumerate(zip(groups, patterns, flow, strict=True))
+    target = quotas(sizes, list(weigh(names)), share * sum(n for _, n in members), copies)
+    flow = [sum(r.values()) for r in route(members, [round(t) for t in target], copies)]
+    rows = [
+        (i, g["sources"], [sizes[s] for s in of], [target[s] for s in of], f // n if n else 0, f % n if n else 0)
+        for i, (g, (of, n), f) in enumerate(zip(groups, members, flow, strict=True))
     ]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "pattern int, sources array<string>, source_sizes array<bigint>, targets array<double>, whole bigint, rest bigint"))
-    rows = base.join(plan_df, F.col("pattern").isNotNull() & base["sources"].eqNullSafe(plan_df["sources"])).drop(plan_df["sources"])
+    schema = "pattern int, of array<string>, source_sizes array<bigint>, targets array<double>, whole bigint, rest bigint"
+    partial = F.broadcast(spark.createDataFrame([r for r in rows if r[5]], schema)).select("pattern", "of", "rest")
+    open_ = base.join(partial, base["sources"].eqNullSafe(F.col("of"))).select("pattern", "rest", "content", "size", "bucket")
     # the zone: from the bucket in which the seeded order reaches the rest, until ZONE_DOCS documents are in it
     by = W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    hist = rows.where("rest > 0").groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    hist = hist.select("*", F.sum("words").over(by).alias("up_to"), F.sum("docs").over(by).alias("docs_up_to"))
-    late = hist.where("up_to > rest").withColumn("before", F.min("docs_up_to").over(W.partitionBy("pattern")) - F.first("docs").over(by))
-    zone = late.groupBy("pattern").agg(
+    hist = open_.groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    late = hist.withColumn("up_to", F.sum("words").over(by)).where("up_to > rest").withColumn("docs_up_to", F.sum("docs").over(by))
+    zones = late.groupBy("pattern").agg(
         F.min("bucket").alias("low"),
-        F.coalesce(F.min(F.when(F.col("docs_up_to") - F.col("before") >= ZONE_DOCS, F.col("bucket"))), F.lit(BUCKETS)).alias("high"),
+        F.coalesce(F.min(F.when(F.col("docs_up_to") >= ZONE_DOCS, F.col("bucket"))), F.lit(BUCKETS)).alias("high"),
         F.min_by(F.col("rest") - F.col("up_to") + F.col("words"), "bucket").alias("left"),
     )
-    zones = F.broadcast(spark.createDataFrame(zone.collect(), zone.schema))
-    rows = rows.join(zones, "pattern", "left")
-    inside = F.coalesce(F.col("bucket").between(F.col("low"), F.col("high")), F.lit(False))
-    columns = [key, "content", "size", "sources", "source_sizes", "targets"]
-    count = F.col("whole") + F.when((F.col("rest") > 0) & (F.col("bucket") < F.coalesce("low", F.lit(BUCKETS))), 1).otherwise(0)
-    outside = rows.where(~inside).select(*columns, count.alias("copies"))
+    zone_rows = [tuple(z) for z in zones.collect()]
+    zones = F.broadcast(spark.createDataFrame(zone_rows, "pattern int, low int, high int, left bigint"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["content", key, "size"], kind="stable")
+        """In seeded order, what still fits; documents of one hash and size go together."""
+        pdf = pdf.sort_values(["content", "size"], kind="stable")
         left, take = int(pdf["left"].iloc[0]), []
-        for n in pdf["size"]:
-            take.append(int(n <= left))
-            left -= int(n) * take[-1]
-        return pdf.assign(copies=pdf["whole"] + take)[[*columns, "copies"]]
-
-    chosen = rows.where(inside).groupBy("pattern").applyInPandas(choose, outside.schema)
-    every = outside.unionByName(chosen)
-    return every.select(*columns, "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        for n in (pdf["size"] * pdf["docs"]).tolist():
+            take.append(n <= left)
+            left -= n * take[-1]
+        return pdf[take][["pattern", "content", "size"]]
+
+    inside = open_.join(zones, "pattern").where(F.col("bucket").between(F.col("low"), F.col("high")))
+    inside = inside.groupBy("pattern", "left", "content", "size").agg(F.count("*").alias("docs"))
+    chosen = materialise(inside.groupBy("pattern").applyInPandas(choose, "pattern int, content bigint, size bigint"), "chosen")
+    low = {z[0]: z[1] for z in zone_rows}
+    patterns = spark.createDataFrame([(*r, low.get(r[0], 0)) for r in rows], schema + ", low int")
+    return Plan(patterns, chosen, seed)
+
+
+def apply(docs: DataFrame, plan: Plan, sources: Column, size: Column, key: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows and columns of docs, and a struct whose name is returned: size, source_sizes, targets, copies. Documents stay where they are, unless the zones hold over MAX_BROADCAST documents."""
+    d, p, z = fresh(docs, "mix", "mix_pattern", "mix_zone")
+    patterns = F.broadcast(plan.patterns.select(F.struct("*").alias(p)))
+    rows = docs.withColumn(d, _described(docs, sources, size, key, plan.seed)).join(patterns, F.col(f"{d}.sources").eqNullSafe(F.col(f"{p}.of")))
+    chosen = plan.chosen.select(F.struct("*").alias(z))
+    chosen = F.broadcast(chosen) if plan.chosen.count() <= MAX_BROADCAST else chosen
+    same = [F.col(f"{p}.pattern") == F.col(f"{z}.pattern"), F.col(f"{d}.content") == F.col(f"{z}.content"), F.col(f"{d}.size") == F.col(f"{z}.size")]
+    rows = rows.join(chosen, same, "left")
+    early = (F.col(f"{p}.rest") > 0) & (F.col(f"{d}.bucket") < F.col(f"{p}.low"))
+    copies = F.col(f"{p}.whole") + F.when(early | F.col(z).isNotNull(), 1).otherwise(0)
+    done = F.struct(F.col(f"{d}.size").alias("size"), F.col(f"{p}.source_sizes").alias("source_sizes"), F.col(f"{p}.targets").alias("targets"), copies.alias("copies"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(d)), d
 
 
 def one_source(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """mix() of documents that belong to one source each, sized in words: key, size, source_size, target, taken, copies."""
-    mixed = mix(docs.select(key, source, text), F.array(source), words(F.col(text)), key, **options)
-    return mixed.select(key, "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken", "copies", "content")
+    """Documents that belong to one source each, sized in words: key, size, source_size, target, taken, copies.
+
+    A document's sources are a set of names: order and repeats don't matter, and null is a source of its own; a document
+    of none is never taken. `weigh` gives the weights of all sources, which it gets by code point, null last. The budget
+    is `share` of the sizes of all documents. A null text has size 0. Reruns agree: what a document gets depends on its
+    key, its size, the seed and the totals, so rows that agree in these get the same. Repeated rows count as documents of
+    their own, null keys too; an empty table gives an empty result.
+    """
+    sized = docs.select(key, source, words(F.col(text)).alias("size"))
+    by = F.array(F.col(source))
+    mixed, m = apply(sized, plan(sized, by, F.col("size"), key, **options), by, F.col("size"), key)
+    of = lambda c: F.col(f"{m}.{c}")
+    return mixed.select(key, of("size").alias("size"), of("source_sizes")[0].alias("source_size"), of("targets")[0].alias("target"), (of("size") * of("copies")).alias("taken"), of("copies").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The columns of docs; each row as often as the mix takes it. As one_source() otherwise."""
+    by, size = F.array(F.col(source)), words(F.col(text))
+    mixed, m = apply(docs, plan(docs, by, size, key, **options), by, size, key)
+    n = fresh(docs, "copy")[0]
+    rows = mixed.where(F.col(f"{m}.copies") > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(f"{m}.copies").cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

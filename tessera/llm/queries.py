@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, language, mixing, rules, secrets, simhash, toxicity
+from tessera.llm import bpe, chat, cotraining, language, media, mixing, rules, secrets, simhash, toxicity
 from tessera.llm.common import crc_mod, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.one_source(table(spark, sf_dir, "documents")).drop("content")
+    return mixing.one_source(table(spark, sf_dir, "documents"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document as `labels.quality` marks it, learned from rows whose crc32(doc_id as text) mod 5 isn't 0; predicted 1: keep."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    held_out = (crc_mod("doc_id", 5) == 0).alias("held_out")
+    return cotraining.score(docs, model).select("doc_id", held_out, "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the images that media.rendered() makes of all embeddings, each with an edited copy."""
+    return media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -61,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
+    "op8_cotraining": op8_cotraining,
+    "op9_media": op9_media,
     "op10_rules": op10_rules,
 }
 ORACLES: dict[str, str] = {"op6_secrets": secrets.oracle_sql()}

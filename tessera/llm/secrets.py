@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
 from tessera.llm.trigrams import trigram_query
 from tessera.plans.shared import materialise
 
@@ -48,17 +49,6 @@ RULES = BASE + MORE
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like these that no column of df has."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def postings(texts: DataFrame, text: str, grams: list[str]) -> DataFrame:
     """The index: distinct (gram, h), with gram as its place in the list and h as the text's hash."""
     rows = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.lower(text).alias("low"))

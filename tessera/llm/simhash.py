@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
 from tessera.operators.components import connected_components
 from tessera.plans.shared import materialise
 
@@ -189,3 +190,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id")
     return fps.join(members, "fp").select(key, "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The columns of docs; of each component one row stays: that of the smallest key, and of rows that share it the one with the smallest text (null counts as empty). Of a component without any key, the row with the smallest text."""
+    found = materialise(near_duplicates(docs, key, text, radius), "found")
+    keepers = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    row, order = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text, F.lit(""))
+    out = docs.join(keepers, key, "left_semi").groupBy(key).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    lost = found.where(F.col(key).isNull() & F.col("component_id").isNull()).groupBy("fp").count()
+    if lost.isEmpty():
+        return out
+    # components that have no key at all: their documents get their fingerprints as keys
+    bare = docs.where(F.col(key).isNull())
+    named = bare.withColumn(fresh(docs, "bare_id")[0], F.xxhash64(order))
+    name = named.columns[-1]
+    of = near_duplicates(named, name, text, radius).join(lost.select("fp"), "fp", "left_semi").where(F.col(name) == F.col("component_id")).select(name).distinct()
+    kept = named.join(of, name, "left_semi").groupBy(name).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    return out.unionByName(kept)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh
 from tessera.plans.shared import materialise
 
 #: Labelled documents that the model is fitted on: those whose keys hash lowest.
@@ -115,13 +116,16 @@ class Trees:
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, ridge: float = 1.0) -> Trees:
     """Second-order boosting of the logistic loss over histograms of quantile bins."""
     n, d = x.shape
+    if not n:
+        inner = (1 << depth) - 1
+        return Trees(-20.0, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
-    rate_of_ones = np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3)
+    rate_of_ones = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     start = float(np.log(rate_of_ones / (1 - rate_of_ones)))
     margin, inner = np.full(n, start), (1 << depth) - 1
     features_, values, leaves = [], [], []
-    for _ in range(trees if n else 0):
+    for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         g, h = y - p, p * (1 - p)
         feature, value, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
@@ -259,10 +263,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def flag(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
     """All rows and columns of docs, and a column of scores, whose name is returned: `score`, longer if docs have that."""
-    name = "score"
-    while name in (c.lower() for c in docs.columns):
-        name += "_"
-    columns = docs.columns
+    name, columns = fresh(docs, "score")[0], docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text)
