@@ -106,7 +106,8 @@ def common_candidates(docs: DataFrame, text: str, lang: str) -> list[str]:
             counts: dict[str | None, Counter] = {}
             for t, g in zip(batch.column(0), batch.column(1), strict=True):
                 counts.setdefault(g.as_py(), Counter()).update(_raw(t).lower().split())
-            found = {w for c in counts.values() for w, n in c.items() if n >= COMMON * c.total()}
+            least = [(c, COMMON * c.total()) for c in counts.values()]
+            found = {w for c, few in least for w, n in c.items() if n >= few}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["word"])
 
     return sorted(bytes(r["word"]).decode("utf-8", "replace") for r in docs.select(text, lang).mapInArrow(run, "word binary").distinct().collect())
