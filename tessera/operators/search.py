@@ -61,9 +61,9 @@ def postings(docs: DataFrame) -> DataFrame:
     name = words(F.col("primary_name"))
     fields = {
         "name": name,
-        "edge_ngram": F.flatten(F.transform(name, T.edge_ngrams)),
+        "edge_ngram": F.flatten(F.transform(name, lambda t: T.edge_ngrams(t))),
         "soundex": F.transform(name, lambda t: F.soundex(t)),
-        "variant": F.flatten(F.transform("name_variants", words)),
+        "variant": F.flatten(F.transform("name_variants", lambda v: words(v))),
         "anchor": F.array(F.upper("anchor_value")),
         "pincode": F.array("primary_pincode"),
     }
