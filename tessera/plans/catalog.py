@@ -224,7 +224,7 @@ def _(d):
 def _flagship(pincode: str | None) -> str:
     where = f" AND m.primary_pincode = '{pincode}'" if pincode else ""
     return sql(
-        f"""SELECT m.ubid, m.primary_name, m.primary_pincode, round(s.score, 4) AS activity_score, CAST(coalesce(c.n, 0) AS BIGINT) AS source_count, l.d AS last_inspection, CAST(date_diff('day', l.d, {_REF}) AS INT) AS days_since
+        f"""SELECT m.ubid, m.primary_name, m.primary_pincode, round(s.score, 4) AS activity_score, CAST(coalesce(c.n, 0) AS BIGINT) AS source_count, l.d AS last_inspection, CAST(date_diff('day', l.d, {_REF}) AS DOUBLE) AS days_since
         FROM ma m JOIN st s ON s.ubid = m.ubid AND s.status = 'ACTIVE' LEFT JOIN (SELECT ubid, count(*) AS n FROM sr GROUP BY 1) c ON c.ubid = m.ubid LEFT JOIN (SELECT ubid, max(event_date) AS d FROM ev WHERE event_type = 'INSPECTION' GROUP BY 1) l ON l.ubid = m.ubid
         WHERE m.status = 'ACTIVE'{where} AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.ubid = m.ubid AND e.event_type = 'INSPECTION' AND e.event_date >= {_REF} - 540)""",
         "st", "sr",
@@ -232,7 +232,8 @@ def _flagship(pincode: str | None) -> str:
 
 
 def flagship(d: Demo, pincode: str | None) -> DataFrame:
-    return named.active_not_inspected(d.masters(), _status(d), d.events(), d.source_records(), REF, pincode)
+    rows = named.active_not_inspected(d.masters(), _status(d), d.events(), d.source_records(), REF, pincode)
+    return rows.withColumn("days_since", F.col("days_since").cast("double"))  # null where there was none; integers with nulls compare badly
 
 
 @query("qry_active_not_inspected", _flagship(None))
@@ -263,9 +264,9 @@ def _(d):
     return named.coverage(d.source_records()).withColumns({"covered": F.array_join("covered", ","), "missing": F.array_join("missing", ",")})
 
 
-@query("qry_sector_trend", sql("SELECT d.x AS activity_status, CAST(count(s.ubid) AS BIGINT) AS n FROM (VALUES ('ACTIVE'), ('DORMANT'), ('CLOSED')) d(x) LEFT JOIN (SELECT st.* FROM st JOIN ma USING (ubid) WHERE ma.primary_district ILIKE '%an%') s ON s.status = d.x GROUP BY 1", "st"))
+@query("qry_sector_trend", sql("SELECT d.x AS activity_status, CAST(count(s.ubid) AS BIGINT) AS n FROM (VALUES ('ACTIVE'), ('DORMANT'), ('CLOSED')) d(x) LEFT JOIN (SELECT st.* FROM st JOIN ma USING (ubid) WHERE ma.primary_district ILIKE '%2%') s ON s.status = d.x GROUP BY 1", "st"))
 def _(d):
-    return named.sector_trend(d.masters(), _status(d), "an")
+    return named.sector_trend(d.masters(), _status(d), "2")
 
 
 _SEARCH = "SELECT m.ubid, m.primary_name, m.primary_pincode, m.primary_district, coalesce(s.status, 'UNKNOWN') AS activity_status, round(coalesce(s.score, 0), 4) AS activity_score, CAST(coalesce(c.n, 0) AS BIGINT) AS source_count FROM ma m LEFT JOIN st s USING (ubid) LEFT JOIN (SELECT ubid, count(*) AS n FROM sr GROUP BY 1) c USING (ubid) WHERE {} ORDER BY m.ubid LIMIT 20"
@@ -285,9 +286,9 @@ def _(d):
     return _search(d, " 560003 ", "DORMANT")
 
 
-@query("qry_search_all_district", sql(_SEARCH.format("m.primary_district ILIKE '%in%'"), "st", "sr"))
+@query("qry_search_all_district", sql(_SEARCH.format("m.primary_district ILIKE '%1%'"), "st", "sr"))
 def _(d):
-    return _search(d, "", None, "in")
+    return _search(d, "", None, "1")
 
 
 # ---- statistics ----------------------------------------------------------------------------------------------------
