@@ -24,7 +24,7 @@ from tessera.plans.shared import materialise
 
 COMMON = 0.005
 #: Code points and words under which a text isn't judged by a histogram.
-MIN_CHARS, MIN_WORDS = 200, 50
+MIN_CHARS, MIN_WORDS = 400, 50
 #: Code points and words that a reference must rest on.
 EVIDENCE_CHARS, EVIDENCE_WORDS = 10_000, 2_000
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
