@@ -28,6 +28,8 @@ MIN_CHARS, MIN_WORDS = 400, 50
 #: Code points and words that a reference must rest on.
 EVIDENCE_CHARS, EVIDENCE_WORDS = 10_000, 2_000
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
+#: References that are broadcast (a language's is at most 1 / COMMON words, 5 KB); more are joined by shuffle.
+MAX_REFERENCES = 10_000
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 CLASSES = ["vowel", "consonant", "upper", "digit", "blank", "line", "stop", "quote", "symbol", "control", "other"]
 
@@ -169,6 +171,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     listed = counts.join(refs_by, counts[lang].eqNullSafe(refs_by["of"])).where((F.col("n") >= COMMON * F.col("words")) & (F.col("words") >= EVIDENCE_WORDS))
     listed = listed.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("key", (F.col("n") / F.col("words")).alias("share")))).alias("word_ref")).select(F.col("of").alias("of2"), "word_ref")
     refs = refs_by.join(listed, F.col("of").eqNullSafe(F.col("of2")), "left").select("of", "class_ref", "word_ref")
+    refs = materialise(refs, "references")
+    refs = F.broadcast(refs) if refs.count() <= MAX_REFERENCES else refs
     out = rows.join(refs, rows[lang].eqNullSafe(F.col("of")), "left")
     n_chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     mine = F.transform("classes", lambda x: x / n_chars)
