@@ -134,10 +134,10 @@ def _reviews(d: Demo) -> DataFrame:
 
 
 def _merges(d: Demo) -> tuple[DataFrame, DataFrame, DataFrame]:
-    norm = _norm(d)
+    norm = materialise(_norm(d), "norm")
     assigned = materialise(resolution.assign(norm), "assigned")
     masters = resolution.masters(norm, assigned)
-    scored = scoring.score_pairs(blocking.candidate_pairs(norm), norm)
+    scored = materialise(scoring.score_pairs(blocking.candidate_pairs(norm), norm), "scored")
     return masters, resolution.merge(resolution.ubid_links(scored, assigned), masters), assigned
 
 

@@ -6,11 +6,13 @@ sinks are idempotent by batch id, so a query that restarts from its checkpoint w
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.activity import SIGNALS, lookup
 
@@ -97,3 +99,22 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
         put = lambda b, n: (each(b) if each else b).write.mode("overwrite").parquet(path)
         stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+def stale_sources(beats: DataFrame, minutes: int = 1, late: str = "1 minute") -> DataFrame:
+    """Heartbeats (source_system, beat_at) as a stream to (source_system, last_beat, state): ALIVE at each beat, and STALE once event time has passed the last beat by `minutes`. One timestamp of state a source."""
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"source_system": [key[0]], "last_beat": [pd.Timestamp(last, unit="us")], "state": ["STALE"]})
+            return
+        last = state.get[0] if state.exists else 0
+        for pdf in rows:
+            last = max(last, int(pdf["beat_at"].max().value // 1000))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"source_system": [key[0]], "last_beat": [pd.Timestamp(last, unit="us")], "state": ["ALIVE"]})
+
+    keyed = beats.withWatermark("beat_at", late).groupBy("source_system")
+    return keyed.applyInPandasWithState(step, "source_system string, last_beat timestamp, state string", "last bigint", "update", GroupStateTimeout.EventTimeTimeout)

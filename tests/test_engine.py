@@ -162,3 +162,16 @@ def test_signal_totals(spark, tmp_path):
 def test_demo_views(spark, sf):
     d = Demo(spark, sf)
     assert d.records().count() == 200 and d.source_records().count() > 100 and d.masters().count() == 150
+
+
+def test_stale_sources(spark, tmp_path):
+    """Two batches: the second moves event time far enough that the first source's last beat is stale."""
+    schema = "source_system string, beat_at timestamp"
+    batches = [[("GST", datetime(2024, 1, 1, 0, 0)), ("GST", datetime(2024, 1, 1, 0, 1))], [("LABOUR", datetime(2024, 1, 1, 1, 0))], [("LABOUR", datetime(2024, 1, 1, 1, 1))]]
+    said = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.stale_sources(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        collect = lambda b, n: said.extend(map(tuple, b.select("source_system", "state").collect()))
+        stream.writeStream.outputMode("update").foreachBatch(collect).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert ("GST", "ALIVE") in said and ("GST", "STALE") in said and ("LABOUR", "ALIVE") in said
