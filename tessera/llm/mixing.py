@@ -205,7 +205,7 @@ def one_source(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     key, its size, the seed and the totals, so rows that agree in these get the same. Repeated rows count as documents of
     their own, null keys too; an empty table gives an empty result.
     """
-    sized = docs.select(key, source, words(F.col(text)).alias("size"))
+    sized = materialise(docs.select(key, source, words(F.col(text)).alias("size")), "sized")  # texts are read once
     by = F.array(F.col(source))
     mixed, m = apply(sized, plan(sized, by, F.col("size"), key, **options), by, F.col("size"), key)
     of = lambda c: F.col(f"{m}.{c}")
