@@ -714,3 +714,92 @@ def _(d):
         part = d.spark.read.schema("pair_id string, decision string, score double, batch int").json(f"{root}/{t}").agg(F.count("*").alias("n")).select(F.lit(t).alias("topic"), "n")
         out = part if out is None else out.unionByName(part)
     return out.where("n > 0")
+
+
+# ---- plain filters, joins, sinks -----------------------------------------------------------------------------------
+
+
+@query("fil_predicates", sql(f"""SELECT 'equal' AS kind, count(*) AS n FROM ma WHERE status = 'ACTIVE' UNION ALL SELECT 'null', count(*) FROM st WHERE ls IS NULL UNION ALL SELECT 'in', count(*) FROM ev WHERE event_type IN ('INSPECTION', 'TAX_PAYMENT')
+    UNION ALL SELECT 'ilike', count(*) FROM ma WHERE primary_name ILIKE '%C_STOMER%7%' UNION ALL SELECT 'range', count(*) FROM ev WHERE event_date BETWEEN {_REF} - 548 AND {_REF} UNION ALL SELECT 'lower', count(*) FROM ev WHERE event_date >= {_REF} - 540
+    UNION ALL SELECT 'either', count(*) FROM ev WHERE signal_class = 'CLOSURE' OR event_type = 'INSPECTION'""", "st"))
+def _(d):
+    ev, ma, st = d.events(), d.masters(), _status(d)
+    ref = F.lit(REF)
+    rows = {
+        "equal": ma.where("status = 'ACTIVE'"),
+        "null": st.where("last_strong_active IS NULL"),
+        "in": ev.where(F.col("event_type").isin("INSPECTION", "TAX_PAYMENT")),
+        "ilike": ma.where(F.col("primary_name").ilike("%C_STOMER%7%")),
+        "range": activity.in_lookback(ev, REF),
+        "lower": ev.where(F.col("event_date") >= F.date_sub(ref, 540)),
+        "either": ev.where((F.col("signal_class") == "CLOSURE") | (F.col("event_type") == "INSPECTION")),
+    }
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in rows.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("jn_left_defaults", sql("SELECT m.ubid, coalesce(s.status, 'UNKNOWN') AS activity_status, CAST(coalesce(c.n, 0) AS BIGINT) AS sources FROM ma m LEFT JOIN st s USING (ubid) LEFT JOIN (SELECT ubid, count(*) AS n FROM sr GROUP BY 1) c USING (ubid)", "st", "sr"))
+def _(d):
+    counts = d.source_records().groupBy("ubid").agg(F.count("*").alias("n"))
+    rows = d.masters().select("ubid").join(_status(d).select("ubid", "status"), "ubid", "left").join(counts, "ubid", "left")
+    return rows.select("ubid", F.coalesce("status", F.lit("UNKNOWN")).alias("activity_status"), F.coalesce("n", F.lit(0)).alias("sources"))
+
+
+@query("jn_semi_anti_latest", sql("SELECT m.ubid, max(e.event_date) AS latest FROM ma m JOIN ev e USING (ubid) WHERE m.ubid IN (SELECT ubid FROM st WHERE status = 'DORMANT') AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.ubid = m.ubid AND x.event_type = 'CLOSURE_CERT') GROUP BY 1", "st"))
+def _(d):
+    rows = d.masters().select("ubid").join(_status(d).where("status = 'DORMANT'").select("ubid"), "ubid", "left_semi").join(d.events().where("event_type = 'CLOSURE_CERT'").select("ubid"), "ubid", "left_anti")
+    return rows.join(d.events().groupBy("ubid").agg(F.max("event_date").alias("latest")), "ubid")
+
+
+@query("prj_formats", sql("SELECT ubid, left(md5(primary_name), 12) AS short, upper(left(primary_name, 3)) AS head, strftime(DATE '2001-08-01' - CAST(ubid % 700 AS INT), '%Y-%m-%d') AS day, CAST(ubid % 36 AS INT) AS rest FROM ma", "ma"))
+def _(d):
+    day = F.date_format(F.date_sub(F.lit(REF), (F.col("ubid") % 700).cast("int")), "yyyy-MM-dd")
+    return d.masters().select("ubid", F.substring(F.md5("primary_name"), 1, 12).alias("short"), F.upper(F.left("primary_name", F.lit(3))).alias("head"), day.alias("day"), (F.col("ubid") % 36).cast("int").alias("rest"))
+
+
+@query("snk_upsert_by_key", "SELECT o_custkey AS ubid, arg_max(o_orderkey, o_orderkey) AS id FROM orders GROUP BY 1")
+def _(d):
+    return store.first_by(d.events().select("ubid", "id"), "ubid", "id")
+
+
+@query("snk_csv", sql("SELECT CAST(ubid AS VARCHAR) AS ubid, primary_name, primary_district FROM ma", "ma"))
+def _(d):
+    path = f"{shared_dir(d.spark)}/tessera/csv-{datetime.now().timestamp():.6f}"
+    store.export_csv(d.masters().select("ubid", "primary_name", "primary_district"), path)
+    return d.spark.read.option("header", True).schema("ubid string, primary_name string, primary_district string").csv(path)
+
+
+@query("snk_snapshots", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS v FROM customer UNION ALL SELECT -1, 'added'")
+def _(d):
+    s = store.Store(d.spark, f"{shared_dir(d.spark)}/tessera/store-{datetime.now().timestamp():.6f}")
+    rows = d.table("customer").select(F.col("c_custkey").alias("k"), F.lit("old").alias("v"))
+    s.overwrite("t", rows)
+    s.append("t", d.spark.createDataFrame([(-1, "added")], "k bigint, v string"))
+    s.upsert("t", rows.where("k % 2 = 0").withColumn("v", F.lit("new")), "k")
+    return s.read("t")
+
+
+@query("qry_identity_detail", sql("SELECT 'sources' AS part, count(*) AS n FROM sr WHERE ubid = 7 UNION ALL SELECT 'timeline', least(count(*), 50) FROM (SELECT * FROM w JOIN st USING (ubid) WHERE ubid = 7) UNION ALL SELECT 'edges', count(*) * (count(*) - 1) // 2 FROM sr WHERE ubid = 7 UNION ALL SELECT 'identity', 1 UNION ALL SELECT 'merges', 0", "st", "sr"))
+def _(d):
+    lines = activity.timeline(d.events(), _status(d), REF)
+    none = d.spark.createDataFrame([], "merge_id string, winner bigint, loser bigint, decided_at timestamp")
+    records = d.events().select("id", F.col("event_type").alias("what"))
+    parts = named.identity_detail(7, d.masters(), lines, d.source_records(), records, none)
+    out = None
+    for k, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("res_reverse", sql("SELECT CAST(ubid AS VARCHAR) AS ubid, CASE WHEN ubid % 10 = 0 AND ubid <> 20 THEN 'DEPRECATED' ELSE 'ACTIVE' END AS status FROM (SELECT DISTINCT ubid FROM sr)", "sr"))
+def _(d):
+    # each tenth identity was merged into the one before it; one merge is undone
+    lost = F.col("ubid") % 10 == 0
+    ids = d.source_records().select("ubid").distinct()
+    masters = ids.select(F.col("ubid").cast("string").alias("ubid"), F.when(lost, "DEPRECATED").otherwise("ACTIVE").alias("status"), F.when(lost, (F.col("ubid") - 1).cast("string")).alias("deprecated_by_ubid"))
+    merges = ids.where(lost).select(F.concat(F.lit("m"), "ubid").alias("merge_id"), (F.col("ubid") - 1).cast("string").alias("winner"), F.col("ubid").cast("string").alias("loser"), F.lit(False).alias("reversed"))
+    return resolution.reverse(masters, merges, "m20", "wrong", "admin", datetime(2001, 8, 1))[0].select("ubid", "status")
