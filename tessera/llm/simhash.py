@@ -2,9 +2,9 @@
 
 A BK-tree alone cannot prune a radius of 4 among random 64-bit values (distances crowd around 32, and the window of
 edges that the triangle inequality leaves open holds most of them), so one tree over all fingerprints would make the
-search quadratic. The trees are therefore cut into shards that lose no link: the 64 bits fall into radius + 2 blocks,
-and two fingerprints that differ in at most `radius` bits agree on two blocks at least; each pair of blocks with its bits
-names a shard. Each shard's tree is built where the shard lies; a shard over MAX_TREE fingerprints becomes several trees,
+search quadratic. The trees are therefore cut into shards that lose no link: the 64 bits fall into blocks, and two
+fingerprints that differ in at most `radius` bits agree on all but `radius` of them; each such choice of blocks with its
+bits names a shard. With more fingerprints there are more blocks, so shards stay small. Each shard's tree is built where the shard lies; a shard over MAX_TREE fingerprints becomes several trees,
 each sent to every block of the shard's queries, so no task holds more than two blocks.
 
 Equal texts are one fingerprint from the start, and a shard returns a spanning star of each cluster instead of its pairs.
@@ -28,6 +28,8 @@ from tessera.plans.shared import materialise
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of one shard that make one tree.
 MAX_TREE = 2048
+#: Fingerprints that a shard holds on average; there are as many blocks as that takes.
+MEAN_SHARD = 64
 #: Shards over MAX_TREE that are broadcast as a list (24 bytes each); a longer list is joined by shuffle.
 MAX_HEAVY = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -149,17 +151,26 @@ def _search(radius: int):
     return run
 
 
-def _shards(fp: Column, radius: int) -> list[Column]:
-    """The shard keys of a fingerprint: the pair of blocks, then the bits of both."""
-    n = radius + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [F.lit(i << 48) + F.shiftleft(block[a], 24) + block[b] for i, (a, b) in enumerate(combinations(range(n), 2))]
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks, at least radius + 2, whose shards of n fingerprints hold MEAN_SHARD on average."""
+    for blocks in range(radius + 2, 2 * radius + 1):
+        if n >> 64 * (blocks - radius) // blocks <= MEAN_SHARD:
+            return blocks
+    return 2 * radius + 1
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE) -> DataFrame:
+def _shards(fp: Column, radius: int, blocks: int) -> list[Column]:
+    """The shard keys of a fingerprint: a hash of which blocks are chosen and of their bits. Shards whose hashes collide are searched as one, which loses nothing."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    kept = [sum(((1 << edges[i + 1] - edges[i]) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in kept]
+    return [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(signed)]
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE, blocks: int | None = None) -> DataFrame:
     """Distinct fingerprints (column fp) to edges (src, dst) whose components are those of all links within the radius."""
-    rows = materialise(distinct.select("fp", F.explode(F.array(*_shards(F.col("fp"), radius))).alias("shard")), "shards")
+    blocks = blocks_for(distinct.count(), radius) if blocks is None else blocks
+    rows = materialise(distinct.select("fp", F.explode(F.array(*_shards(F.col("fp"), radius, blocks))).alias("shard")), "shards")
     heavy = materialise(rows.groupBy("shard").count().where(F.col("count") > max_tree).select("shard", F.ceil(F.col("count") / max_tree).cast("int").alias("k")), "heavy")
     n = heavy.count()
     light = rows
@@ -177,7 +188,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE) -
     return task.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(_search(radius), "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, max_tree: int = MAX_TREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, max_tree: int = MAX_TREE, blocks: int | None = None) -> DataFrame:
     """One row a document: key, fp (signed), component_id (the smallest key that links of at most `radius` differing bits reach).
 
     A null or empty text has the fingerprint 0, which links like any other. A null key is never the smallest, unless its
@@ -185,7 +196,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """
     fps = materialise(fingerprints(docs, key, text), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = connected_components(links(classes, radius, max_tree)).select(F.col("node").alias("fp"), "root")
+    roots = connected_components(links(classes, radius, max_tree, blocks)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id")

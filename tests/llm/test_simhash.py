@@ -52,11 +52,11 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
-def check(spark, max_tree):
+def check(spark, max_tree, blocks=None):
     rows = [(i if i != 9 else None, t) for i, t in enumerate(texts())]
     rows += rows[:12] + [(7, "one more text of many words here")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS fp", "'x' AS component_id", "2 AS root")
-    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["fp"], x["component_id"]) for x in simhash.near_duplicates(df, max_tree=max_tree).collect())
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["fp"], x["component_id"]) for x in simhash.near_duplicates(df, max_tree=max_tree, blocks=blocks).collect())
     known = [(k, slow_fingerprint(t)) for k, t in rows]
     want = sorted((k is None, k or 0, f, c) for (k, f), c in zip(known, components(known), strict=True))
     assert got == want
@@ -70,6 +70,15 @@ def test_heavy_shards_are_split_without_loss(spark):
     check(spark, 2)
 
 
+def test_more_blocks_lose_nothing(spark):
+    check(spark, simhash.MAX_TREE, 7)
+    check(spark, simhash.MAX_TREE, 9)
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**11)] == [6, 6, 6, 7, 8, 8]
+
+
 def test_null_keys_alone_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e")], "doc_id bigint, text string")
     assert simhash.near_duplicates(df).collect()[0]["component_id"] is None
