@@ -4,14 +4,15 @@ Two histograms of a document, of its character classes and of its language's com
 documents of that language by the Jensen-Shannon distance (base 2, from 0 to 1). Texts under the minimum lengths, and
 languages under the minimum evidence, aren't judged by divergence.
 
-A word is common if it makes at least COMMON of its language's words, so a language has at most 1 / COMMON of them. Any
-such word makes at least that share of one batch, so a first pass collects the words that do in some batch, and the second
-counts these exactly, in every document, beside all that the base needs. The references and verdicts come from that
-narrow table.
+A word is common if it makes at least COMMON of its language's words, so a language has at most 1 / COMMON of them. A first
+pass finds a bounded list of words that holds them all, from summaries of batches that never lose one; the second counts
+the list exactly, in every document, beside all that the base needs. The references and verdicts come from that narrow
+table.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -101,18 +102,31 @@ def _raw(value) -> bytes:
 
 
 def common_candidates(docs: DataFrame, text: str, lang: str) -> list[str]:
-    """Words that make COMMON of a language's words in some batch: all that do in the whole table, and others."""
+    """All words that make COMMON of a language's words, and some others: at most 2 / COMMON for each language of enough evidence.
+
+    Each batch keeps the words that beat its (2 / COMMON + 1)-th most frequent one, by how much they do. That takes less
+    than COMMON / 2 of the batch's words from any count, so a common word keeps COMMON / 2 of its language's words at least.
+    """
+    most = round(2 / COMMON)
+    kind = docs.schema[lang].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str | None, Counter] = {}
             for t, g in zip(batch.column(0), batch.column(1), strict=True):
                 counts.setdefault(g.as_py(), Counter()).update(_raw(t).lower().split())
-            least = [(c, COMMON * c.total()) for c in counts.values()]
-            found = {w for c, few in least for w, n in c.items() if n >= few}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["word"])
-
-    return sorted(bytes(r["word"]).decode("utf-8", "replace") for r in docs.select(text, lang).mapInArrow(run, "word binary").distinct().collect())
+            rows = []
+            for g, c in counts.items():
+                cut = heapq.nlargest(most + 1, c.values())[most] if len(c) > most else 0
+                rows += [(g, b"", c.total()), *((g, w, n - cut) for w, n in c.items() if n > cut)]
+            langs, words, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, batch.schema.field(1).type), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["g", "word", "n"])
+
+    sums = docs.select(text, lang).mapInArrow(run, f"g {kind.simpleString()}, word binary, n bigint").groupBy("g", "word").agg(F.sum("n").alias("n"))
+    sums = materialise(sums, "words")
+    totals = sums.where("word = X''").select(F.col("g").alias("of"), F.col("n").alias("total")).where(F.col("total") >= EVIDENCE_WORDS)
+    kept = sums.where("word <> X''").join(totals, F.col("g").eqNullSafe(F.col("of"))).where(F.col("n") >= COMMON / 2 * F.col("total"))
+    return sorted(bytes(r["word"]).decode("utf-8", "replace") for r in kept.select("word").distinct().collect())
 
 
 def measured(docs: DataFrame, key: str, text: str, lang: str, common: list[str]) -> DataFrame:

@@ -71,5 +71,16 @@ def test_judge_matches_brute_force(spark):
         assert r["kept"] == (not r["base_failed"] and (by_class or 0) <= rules.MAX_CLASS_DISTANCE and (by_word or 0) <= rules.MAX_WORD_DISTANCE)
 
 
+def test_the_list_of_words_is_bounded_and_holds_all_common_ones(spark):
+    r = random.Random(3)
+    rows = [(" ".join(f"w{int(r.paretovariate(0.5))}" for _ in range(400)), g) for g in ("en", None) for _ in range(60)] + [("only a few words", "rare")] * 3
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    got = rules.common_candidates(df, "text", "lang")
+    assert len(got) <= 2 * 2 / rules.COMMON
+    for g in ("en", None):
+        counts = Counter(w for t, x in rows if x == g for w in t.split())
+        assert {w for w, n in counts.items() if n >= rules.COMMON * counts.total()} <= set(got)
+
+
 def test_empty_table(spark):
     assert rules.judge(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
