@@ -89,16 +89,18 @@ def chunk_rows(long_docs: DataFrame, key: str, text: str, chunk: int, overlap: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+            for k, t, copies in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 s = t.as_py()
                 digest = hashlib.sha256(s.encode("utf-8", "replace")).digest()
                 head = 0
                 for i, (a, e, core) in enumerate(slices(s, chunk, overlap)):
-                    columns = [pa.array([k.as_py()], batch.schema.field(0).type), *map(pa.array, ([digest], [i], [a], [head], [core], [s[a:e]]))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "no", "start", "head", "core", "piece"])
+                    columns = [pa.array([k.as_py()], batch.schema.field(0).type), *map(pa.array, ([digest], [i], [copies.as_py()], [a], [head], [core], [s[a:e]]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "no", "copies", "start", "head", "core", "piece"])
                     head = e
 
-    return long_docs.select(key, text).mapInArrow(cut, f"key {kind}, digest binary, no bigint, start bigint, head bigint, core bigint, piece string")
+    # rows that repeat a key and a text are one from here on, and are given back at the end
+    once = long_docs.groupBy(key, text).agg(F.count("*").alias("_copies"))
+    return once.select(key, text, "_copies").mapInArrow(cut, f"key {kind}, digest binary, no bigint, copies bigint, start bigint, head bigint, core bigint, piece string")
 
 
 def scan(text: str, start: int, head: int, core: int, coder: Codec) -> dict:
@@ -158,20 +160,20 @@ def _apply(docs: DataFrame, key: str, text: str, rank_file: str, pattern: str, o
                 x = row.to_pylist()[0]
                 got = scan(x["piece"], x["start"], x["head"], x["core"], c)
                 columns = [pa.array([got[n]], pa.binary()) for n in ("ids", "head_at", "head_n", "tail_at", "tail_n")]
-                yield pa.RecordBatch.from_arrays([*row.columns[:3], *columns], ["key", "digest", "no", "ids", "head_at", "head_n", "tail_at", "tail_n"])
+                yield pa.RecordBatch.from_arrays([*row.columns[:4], *columns], ["key", "digest", "no", "copies", "ids", "head_at", "head_n", "tail_at", "tail_n"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         c = codec(rank_file, pattern)
-        copies = int((pdf["no"] == 0).sum())
-        rows = pdf.drop_duplicates("no").sort_values("no").to_dict("records")
-        got = out(c, stitch(rows))
-        return pd.DataFrame({key: [pdf["key"].iloc[0]] * copies} | {n: [v] * copies for (n, _, _), v in zip(fields, got, strict=True)})
+        got = out(c, stitch(pdf.sort_values("no").to_dict("records")))
+        return pd.DataFrame({key: [pdf["key"].iloc[0]]} | {n: [v] for (n, _, _), v in zip(fields, got, strict=True)} | {"_copies": [pdf["copies"].iloc[0]]})
 
     size = F.char_length("_text")
     near = whole.where(size <= chunk).mapInArrow(short, schema)
     parts = chunk_rows(whole.where(size > chunk), key, "_text", chunk, overlap).repartition("digest", "no")
-    parts = parts.mapInArrow(pieces, f"key {kind}, digest binary, no bigint, ids binary, head_at binary, head_n binary, tail_at binary, tail_n binary")
-    return near.unionByName(parts.groupBy("key", "digest").applyInPandas(join, schema))
+    parts = parts.mapInArrow(pieces, f"key {kind}, digest binary, no bigint, copies bigint, ids binary, head_at binary, head_n binary, tail_at binary, tail_n binary")
+    far = parts.groupBy("key", "digest").applyInPandas(join, schema + ", _copies bigint")
+    far = far.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_copies")
+    return near.unionByName(far)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
