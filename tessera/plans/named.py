@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.resolution import cluster_edges
+
 # The departments that an identity may be registered with.
 DEPARTMENTS = ["SHOP_EST", "FACTORIES", "LABOUR", "KSPCB", "GST"]
 DAYS_A_MONTH = 30
@@ -135,13 +137,12 @@ def identity_detail(ubid: str, masters: DataFrame, timeline: DataFrame, source_r
         raise KeyError(ubid)
     mine = source_records.where(F.col("ubid") == ubid)
     history = merges.where((F.col("winner") == ubid) | (F.col("loser") == ubid)).orderBy(F.desc("decided_at"), "merge_id")
-    edges = mine.select(F.col("record_id").alias("source")).join(mine.select(F.col("record_id").alias("target")), F.col("source") < F.col("target")).withColumn("weight", F.lit(0.8))
     return {
         "identity": one,
         "sources": mine.join(records.withColumnRenamed("id", "record_id"), "record_id", "left"),
         "timeline": timeline.where(F.col("ubid") == ubid).orderBy(F.desc("event_date"), "id").limit(newest),
         "merges": history,
-        "edges": edges,
+        "edges": cluster_edges(mine),
     }
 
 
