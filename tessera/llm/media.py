@@ -1,7 +1,7 @@
 """Copies among media columns by local image descriptors.
 
 An image (binary PGM) gives corners at several scales, each with an orientation from its patch's intensity centroid, and
-128 binary tests of a patch turned to that orientation. The tests are cut into BANDS bands; a Hamming table keys the
+192 binary tests of a patch turned to that orientation. The tests are cut into BANDS bands; a Hamming table keys the
 corners by band and bits, so two corners that differ in fewer than BANDS tests share a key at least. Corners that share a
 key vote for the similarity transform between their images; images are linked when CONSENSUS corners of one agree on one
 transform.
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from tessera.operators.components import connected_components
 from tessera.plans.shared import materialise
 
-#: Scales (each halves the one before), corners of each scale, binary tests and the bands they are cut into.
-SCALES, CORNERS, TESTS, BANDS = 2, 16, 128, 2
+#: Scales (each halves the one before), corners of each scale for every AREA pixels of the image, binary tests and the bands they are cut into.
+SCALES, CORNERS, AREA, TESTS, BANDS = 2, 20, 64 * 64, 192, 3
 RADIUS, MARGIN, ANGLES = 7, 5, 12
 #: Corners that must agree on a transform; sizes of a transform's bins in pixels.
-CONSENSUS, BIN, ROUNDS = 5, 6, 3
+CONSENSUS, BIN, ROUNDS = 6, 6, 3
 
 
 def _tests() -> np.ndarray:
@@ -73,6 +73,7 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 def describe(pixels: np.ndarray) -> list[tuple[float, float, int, int, bytes]]:
     """Corners of an image: (y, x, scale, angle, bits), y and x in pixels of the image itself."""
     out, level = [], pixels.astype(np.float64)
+    most = -(-CORNERS * max(AREA, level.size) // AREA)
     for scale in range(SCALES):
         if min(level.shape) < 2 * RADIUS + 3:
             break
@@ -83,7 +84,7 @@ def describe(pixels: np.ndarray) -> list[tuple[float, float, int, int, bytes]]:
         inner = corner[r:-r, r:-r]
         windows = np.lib.stride_tricks.sliding_window_view(np.pad(inner, 2, constant_values=-np.inf), (5, 5)).max(axis=(2, 3))
         ys, xs = np.nonzero((inner >= windows) & (inner > 1e-6 * max(1.0, float(corner.max()))))
-        best = np.argsort(-inner[ys, xs], kind="stable")[:CORNERS]
+        best = np.argsort(-inner[ys, xs], kind="stable")[:most]
         ys, xs = ys[best] + r, xs[best] + r
         if len(ys):
             smooth = _box(level, 1) / 9
@@ -123,7 +124,10 @@ def descriptors(images: DataFrame, key: str, image: str) -> DataFrame:
 
 def agree(words: np.ndarray, places: np.ndarray, their_words: np.ndarray, their_places: np.ndarray) -> bool:
     """Whether CONSENSUS corners of the first image share a key with corners of the second, and one transform to them."""
-    i, j = np.nonzero((words[:, None, :] == their_words[None, :, :]).any(axis=2))
+    step = max(1, 1_000_000 // max(1, len(their_words)))  # large images have many corners: a part of the table at a time
+    met = [np.nonzero((words[a : a + step, None, :] == their_words[None, :, :]).any(axis=2)) for a in range(0, len(words), step)]
+    i = np.concatenate([m[0] + a * step for a, m in enumerate(met)])
+    j = np.concatenate([m[1] for m in met])
     if len(set(i.tolist())) < CONSENSUS:
         return False
     y, x, scale, angle = places[i].T

@@ -80,3 +80,24 @@ def test_empty_and_rendered(spark):
     assert sorted(str(r["media_id"]) for r in made.collect()) == ["0", "1", "2", "3", "None", "None"]
     assert media.copies(made).count() == 6
     assert media.copies(made.where("false")).count() == 0
+
+
+def noise(seed, side):
+    """Smooth noise of any size, with details as the textures have."""
+    a = np.random.default_rng(seed).normal(size=(side, side))
+    a = media._box(media._box(a, 1), 1)
+    return np.rint(np.clip(127.5 + 51 * a / a.std(), 0, 255)).astype(np.uint8)
+
+
+def found(spark, pairs):
+    """Of pairs (image, other), whether copies() puts each in one component of its own."""
+    rows = [(n, media.encode_pgm(p)) for n, p in enumerate(p for pair in pairs for p in pair)]
+    got = {r["media_id"]: r["copy_of"] for r in media.copies(spark.createDataFrame(rows, "media_id bigint, image binary")).collect()}
+    assert all(got[n] in (n, n // 2 * 2) for n in got)
+    return [got[2 * n + 1] == 2 * n for n in range(len(pairs))]
+
+
+def test_corners_grow_with_the_area_so_crops_are_found(spark):
+    big = [noise(k, 256) for k in range(25)]
+    assert len(media.describe(big[0])) > 8 * len(media.describe(big[0][:64, :64]))
+    assert all(found(spark, [(b, b[64:192, 64:192]) for b in big]))
