@@ -6,11 +6,11 @@ corners by band and bits, so two corners that differ in fewer than BANDS tests s
 key vote for the similarity transform between their images; images are linked when CONSENSUS corners of one agree on one
 transform.
 
-Images of equal bytes are one class. Within a key of the table, images are not paired with each other but with a pivot; images of other
-components than their pivot get another pivot in the next round, until every key's images are of one component or were
-held against the key's pivot of each other component. So a key shared by a third of all images costs a row an image and
-round. After ROUNDS rounds, what few keys still have images of several components have these components' first images
-held against each other. A pair of images is decided once, by all keys that the two share.
+Images of equal bytes are one class. Within a key of the table, images are first held against a pivot only, and images of
+other components than their pivot against another pivot in the next of ROUNDS rounds, so a large group of near copies is
+one component at the price of a row an image and round. That alone would miss links between images that are no pivot. So
+then all pairs of a key's images that are still of different components meet, a key of over MAX_BLOCK corners in salted
+blocks. A pair of images is decided once, by all keys that the two share.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ SCALES, CORNERS, AREA, TESTS, BANDS = 2, 20, 64 * 64, 192, 3
 RADIUS, MARGIN, ANGLES = 7, 5, 12
 #: Corners that must agree on a transform; sizes of a transform's bins in pixels.
 CONSENSUS, BIN, ROUNDS = 6, 6, 3
+#: Corners of an image that must meet corners of another, and tests in which they may differ, for the two images to be decided.
+MEET, NEAR = 1, TESTS
+#: Corners of one key that are held against each other in one task.
+MAX_BLOCK = 1024
 
 
 def _tests() -> np.ndarray:
@@ -157,6 +161,80 @@ def _agreed(features: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(features, "id").join(theirs, "pid").mapInArrow(run, "id bigint, pid bigint")
 
 
+def _keyed(features: DataFrame, band: int) -> DataFrame:
+    """(word, id, root, corner, b0, b1, ...): a row for each corner, with its key in one band and all its tests."""
+    names = ["word", "id", "root", "corner", *(f"b{n}" for n in range(TESTS // 64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                bits = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, TESTS // 64)
+                each = part.column(2).value_lengths().to_numpy(zero_copy_only=False) // (TESTS // 64)
+                of = np.repeat(np.arange(len(each)), each)
+                corner = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+                word = np.ascontiguousarray(bits).view(f"<i{TESTS // BANDS // 8}")[:, band].astype(np.int64)
+                ids = [part.column(n).to_numpy(zero_copy_only=False)[of] for n in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (word, *ids, corner, *bits.T)], names)
+
+    return features.select("id", "root", "words").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _keyed() and a side, sorted by word, to (id, pid, corner of id): all pairs within a word, of different roots and of sides that aren't the same (side 0 meets any)."""
+
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        word, id_, root, corner, *bits, side = held
+        ends = np.append(np.flatnonzero(word[1:] != word[:-1]) + 1, len(word))
+        end = np.repeat(ends, np.diff(ends, prepend=0))
+        i, d, found = np.arange(len(word)), 0, []
+        while len(i):
+            d += 1
+            i = i[i + d < end[i]]
+            j = i + d
+            ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            a, b = i[ok], j[ok]
+            differ = sum(np.bitwise_count((c[a] ^ c[b]).view(np.uint64)).astype(np.int16) for c in bits)
+            a, b = a[differ <= NEAR], b[differ <= NEAR]
+            high = np.where(id_[a] > id_[b], a, b)
+            if len(a):
+                found.append(np.stack([id_[high], id_[a + b - high], corner[high]]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], ["id", "pid", "corner"])
+
+    held = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if len(held[0]):
+            rest = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on in the next batch
+            yield from pairs([c[:rest] for c in held]) if rest else ()
+            held = [c[rest:] for c in held]
+    if held is not None and len(held[0]):
+        yield from pairs(held)
+
+
+def _meetings(features: DataFrame) -> DataFrame:
+    """Pairs of images (id, pid) of different roots of which MEET corners of the first share a key with corners of the second at least, and differ from them in NEAR tests at most."""
+    spark, out = features.sparkSession, None
+    for band in range(BANDS):
+        rows = _keyed(features, band)
+        heavy = materialise(rows.groupBy("word").count().where(F.col("count") > MAX_BLOCK).select("word", F.ceil(F.col("count") / MAX_BLOCK).alias("k")), "heavy")
+        task = rows.withColumn("side", F.lit(0).cast("bigint"))
+        if not heavy.isEmpty():
+            mine = F.pmod(F.xxhash64("id", "corner"), F.col("k"))
+            cut = rows.join(heavy, "word").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+            low, high = F.least("mine", "other"), F.greatest("mine", "other")
+            side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("bigint")
+            cut = cut.select(F.xxhash64("word", low, high).alias("word"), *rows.columns[1:], side.alias("side"))
+            task = task.join(heavy, "word", "left_anti").select(cut.columns).unionByName(cut)
+        found = materialise(task.repartition("word").sortWithinPartitions("word").mapInArrow(_met, "id bigint, pid bigint, corner bigint"), "seeds")
+        out = found if out is None else out.unionByName(found)
+        del rows, task
+        spark._jvm.System.gc()  # lets Spark remove the shuffle of this band
+    return out.distinct().groupBy("id", "pid").count().where(F.col("count") >= MEET).select("id", "pid")
+
+
 def copies(media: DataFrame, key: str = "media_id", image: str = "image") -> DataFrame:
     """One row an image: key, copy_of (the smallest key of its component), n_corners.
 
@@ -172,15 +250,12 @@ def copies(media: DataFrame, key: str = "media_id", image: str = "image") -> Dat
     roots = features.select("id", F.col("id").alias("root"))
     labelled = rows.withColumn("root", F.col("id"))
     links = tried = seen = None
-    for n in range(ROUNDS + 1):
+    for _ in range(ROUNDS):
         # keys whose images are of several components, with the components that haven't had a pivot there
         mixed = labelled.groupBy("word").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("word")
         labelled = materialise(labelled.join(mixed, "word"), "open")
         open_ = labelled if tried is None else labelled.join(tried, ["word", "root"], "left_anti")
         pivots = open_.groupBy("word").agg(F.min(F.struct("id", "root")).alias("p")).select("word", F.col("p.id").alias("pid"), F.col("p.root").alias("proot"))
-        if n == ROUNDS:
-            pivots = labelled.groupBy("word", F.col("root").alias("proot")).agg(F.min("id").alias("pid"))
-            labelled = pivots.select("word", F.col("proot").alias("root"), F.col("pid").alias("id"))
         pivots = materialise(pivots, "pivots")
         if pivots.isEmpty():
             break
@@ -189,16 +264,17 @@ def copies(media: DataFrame, key: str = "media_id", image: str = "image") -> Dat
         seen = met if seen is None else seen.unionByName(met)
         found = materialise(_agreed(features, met), "links")
         links = found if links is None else links.unionByName(found)
-        if n == ROUNDS:
-            break
         tried = pivots.select("word", F.col("proot").alias("root")).unionByName(tried) if tried is not None else pivots.select("word", F.col("proot").alias("root"))
         linked = connected_components(links.select(F.col("id").alias("src"), F.col("pid").alias("dst"))).withColumnRenamed("node", "id")
         merged = materialise(roots.withColumnRenamed("root", "was").join(linked, "id", "left").select("id", "was", F.coalesce("root", "id").alias("root")), "roots")
         tried = materialise(tried.withColumnRenamed("root", "was").join(merged.select("was", "root").distinct(), "was").select("word", "root").distinct(), "tried")
         roots = merged.select("id", "root")
         labelled = labelled.select("word", "id").join(roots, "id")
-    if links is None:
-        links = features.select("id", F.col("id").alias("pid")).limit(0)
+    # every pair that shares a key and is of two components still
+    met = _meetings(materialise(features.join(roots, "id"), "rooted"))
+    met = materialise(met if seen is None else met.join(seen, ["id", "pid"], "left_anti"), "met")
+    found = materialise(_agreed(features, met), "links")
+    links = found if links is None else links.unionByName(found)
     linked = connected_components(links.select(F.col("id").alias("src"), F.col("pid").alias("dst"))).withColumnRenamed("node", "id")
     rooted = classes.select("id", "least", (F.size("words") / BANDS).cast("bigint").alias("n_corners")).join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("copy_of"))

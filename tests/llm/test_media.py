@@ -101,3 +101,26 @@ def test_corners_grow_with_the_area_so_crops_are_found(spark):
     big = [noise(k, 256) for k in range(25)]
     assert len(media.describe(big[0])) > 8 * len(media.describe(big[0][:64, :64]))
     assert all(found(spark, [(b, b[64:192, 64:192]) for b in big]))
+
+
+def test_images_that_are_no_pivot_meet(spark, monkeypatch):
+    """Two large images share keys that crops of both hold too, of smaller ids, so that every pivot is a crop. A crop is linked with its own image, and has too few corners of the other."""
+    if hasattr(media, "MAX_BLOCK"):
+        monkeypatch.setattr(media, "MAX_BLOCK", 3)
+        monkeypatch.setattr(media, "MEET", 1)
+    wide, few, own = media.TESTS // 64, media.CONSENSUS - 2, 2 * media.CONSENSUS
+    words = np.random.default_rng(1).integers(-(2**62), 2**62, (3 * few + 6 * own, wide)).tolist()
+    shared = [list(range(n * few, n * few + few)) for n in range(3)]
+    private = [list(range(3 * few + n * own, 3 * few + n * own + own)) for n in range(6)]
+    crops = [shared[n % 3] + private[n] for n in range(6)]
+    corners = [*crops, sum(shared, []) + sum(private[:3], []), sum(shared, []) + sum(private[3:], [])]
+    hashed = spark.range(8).selectExpr("CAST(id AS string) AS c").selectExpr("CAST(c AS binary) AS c", "xxhash64(CAST(c AS binary)) AS h")
+    hashes = {bytes(x["c"]): x["h"] for x in hashed.collect()}
+    contents = sorted(hashes, key=hashes.get)
+    described = [(n, contents[n], [w for v in c for w in words[v]], [p for v in c for p in (5 * v, 7 * v % 50, 0, 0)]) for n, c in enumerate(corners)]
+    fields = "media_id bigint, content binary, words array<bigint>, places array<int>"
+    monkeypatch.setattr(media, "descriptors", lambda *_: spark.createDataFrame(described, fields))
+    assert {x["copy_of"] for x in media.copies(None).collect()} == {0}
+    features = spark.createDataFrame([(n, n % 4, w) for n, _, w, _ in described], "id bigint, root bigint, words array<bigint>")
+    got = {(x["id"], x["pid"]) for x in media._meetings(features).collect()}
+    assert got == {(a, b) for a in range(8) for b in range(a) if a % 4 != b % 4 and set(corners[a]) & set(corners[b])}
