@@ -513,7 +513,7 @@ def _(d):
 
 @query("rev_history", sql("SELECT pair_id, review_status FROM rv WHERE reviewer_id = 'rev3' AND review_status <> 'PENDING'", "rv"))
 def _(d):
-    return named.reviewer_history(_reviews(d), "rev3", 100_000).select("pair_id", "review_status")
+    return named.reviewer_history(_reviews(d), "rev3", None).select("pair_id", "review_status")
 
 
 # ---- search index --------------------------------------------------------------------------------------------------

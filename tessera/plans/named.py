@@ -118,9 +118,11 @@ def confirmed_links(pairs: DataFrame, source_records: DataFrame) -> DataFrame:
     return rows.where("winner <> loser").select("winner", "loser", "score", F.col("reviewer_id").alias("decided_by"))
 
 
-def reviewer_history(pairs: DataFrame, reviewer: str, limit: int = 50) -> DataFrame:
+def reviewer_history(pairs: DataFrame, reviewer: str, limit: int | None = 50) -> DataFrame:
+    """A reviewer's decisions, newest first; all of them if limit is None."""
     rows = pairs.where((F.col("reviewer_id") == reviewer) & (F.col("review_status") != "PENDING"))
-    return rows.orderBy(F.desc("reviewed_at"), "pair_id").limit(limit)
+    rows = rows.orderBy(F.desc("reviewed_at"), "pair_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def reviewer_kpis(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import activity, blocking, evaluation, ledger, resolution, scoring
+from tessera.plans import named
 
 REF = date(2024, 6, 30)
 
@@ -205,3 +206,8 @@ def test_train_promote_rollback(spark, tmp_path):
         evaluation.train(df.limit(10))
     assert evaluation.active_learning(df, 3)["status"] == "skipped"
     assert "<table>" in evaluation.report(found, [], [])
+
+
+def test_history_of_a_reviewer_without_a_limit(spark):
+    rows = spark.range(120).selectExpr("CAST(id AS string) AS pair_id", "'r' AS reviewer_id", "'CONFIRM' AS review_status", "timestamp_seconds(id) AS reviewed_at")
+    assert named.reviewer_history(rows, "r", None).count() == 120 and named.reviewer_history(rows, "r").count() == 50
