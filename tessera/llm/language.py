@@ -108,9 +108,9 @@ class Model:
 
 
 def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most: int) -> DataFrame:
-    """(text, lang) of about `most` documents at most, shared evenly by the languages: those whose keys hash lowest."""
+    """(text, lang) of about `most` documents at most, shared evenly by the languages: those whose keys hash lowest. Each language gives LEAST_EACH at least if it has them, so with more than most / LEAST_EACH languages there are LEAST_EACH of each."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most // LEAST_EACH).collect()}
+    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
     each = max(LEAST_EACH, most // max(1, len(sizes)))
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.xxhash64(text)), F.lit(1 << 30)) / float(1 << 30)
     # a hash threshold by language takes a few more than `each`; the window then sees these alone

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import language
 from tessera.llm.common import crc_mod
@@ -54,3 +55,10 @@ def test_vector_in_blocks(monkeypatch):
     whole = language.vector(t)
     monkeypatch.setattr(language, "_BLOCK", 17)
     assert np.allclose(language.vector(t), whole)
+
+
+def test_every_language_is_sampled(spark):
+    rows = [(100 * g + n, f"word{n} of {g}", f"l{g:02d}") for g in range(6) for n in range(language.LEAST_EACH + 10 * g)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.sample(docs, F.lit(True), "doc_id", "text", "lang", 2 * language.LEAST_EACH).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {f"l{g:02d}": language.LEAST_EACH for g in range(6)}
