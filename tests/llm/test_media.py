@@ -121,6 +121,34 @@ def test_images_that_are_no_pivot_meet(spark, monkeypatch):
     fields = "media_id bigint, content binary, words array<bigint>, places array<int>"
     monkeypatch.setattr(media, "descriptors", lambda *_: spark.createDataFrame(described, fields))
     assert {x["copy_of"] for x in media.copies(None).collect()} == {0}
-    features = spark.createDataFrame([(n, n % 4, w) for n, _, w, _ in described], "id bigint, root bigint, words array<bigint>")
+    features = spark.createDataFrame([(n, n % 4, w, p) for n, _, w, p in described], "id bigint, root bigint, words array<bigint>, places array<int>")
     got = {(x["id"], x["pid"]) for x in media._meetings(features).collect()}
     assert got == {(a, b) for a in range(8) for b in range(a) if a % 4 != b % 4 and set(corners[a]) & set(corners[b])}
+
+
+def turned(pixels, degrees):
+    """A turn about the middle by linear interpolation; what comes from outside repeats the edge."""
+    a, (h, w), p = np.deg2rad(degrees), pixels.shape, pixels.astype(float)
+    y, x = np.mgrid[:h, :w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    y, x = np.cos(a) * y + np.sin(a) * x + (h - 1) / 2, np.cos(a) * x - np.sin(a) * y + (w - 1) / 2
+    y, x = np.clip(y, 0, h - 1.001), np.clip(x, 0, w - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    top, low = p[i, j] * (1 - x + j) + p[i, j + 1] * (x - j), p[i + 1, j] * (1 - x + j) + p[i + 1, j + 1] * (x - j)
+    return np.rint(top * (1 - y + i) + low * (y - i)).astype(np.uint8)
+
+
+def sized(pixels, by):
+    h, w = (round(n * by) for n in pixels.shape)
+    near = lambda n, m: np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1.001)
+    y, x, p = near(pixels.shape[0], h)[:, None], near(pixels.shape[1], w)[None], pixels.astype(float)
+    i, j = y.astype(int), x.astype(int)
+    top, low = p[i, j] * (1 - x + j) + p[i, j + 1] * (x - j), p[i + 1, j] * (1 - x + j) + p[i + 1, j + 1] * (x - j)
+    return np.rint(top * (1 - y + i) + low * (y - i)).astype(np.uint8)
+
+
+def test_resized_turned_and_noisy_copies_are_found(spark):
+    r = np.random.default_rng(4)
+    edits = [*(lambda p, by=by: sized(p, by) for by in (0.75, 0.9, 0.95, 1.5)), *(lambda p, by=by: turned(p, by) for by in (3, 30))]
+    edits.append(lambda p: np.rint(np.clip(p + r.normal(0, 8, p.shape), 0, 255)).astype(np.uint8))
+    got = found(spark, [(picture(10 * k + n), edit(picture(10 * k + n))) for k, edit in enumerate(edits) for n in range(10)])
+    assert all(sum(got[10 * k : 10 * k + 10]) >= 7 for k in range(len(edits)))
