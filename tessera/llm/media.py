@@ -334,7 +334,7 @@ def copies(media: DataFrame, key: str = "media_id", image: str = "image") -> Dat
         tried = materialise(tried.withColumnRenamed("root", "was").join(merged.select("was", "root").distinct(), "was").select("word", "root").distinct(), "tried")
         roots = merged.select("id", "root")
         labelled = labelled.select("word", "id").join(roots, "id")
-    # every pair that shares a key and is of two components still
+    # every pair that meets and is of two components still
     met = _meetings(materialise(features.join(roots, "id"), "rooted"))
     met = materialise(met if seen is None else met.join(seen, ["id", "pid"], "left_anti"), "met")
     found = materialise(_agreed(features, met), "links")
