@@ -8,6 +8,10 @@ bits names a shard. With more fingerprints there are more blocks, so shards stay
 each sent to every block of the shard's queries, so no task holds more than two blocks.
 
 Equal texts are one fingerprint from the start, and a shard returns a spanning star of each cluster instead of its pairs.
+
+near_duplicates() links by one fingerprint. deduplicate() must find what a radius of 4 over shingles misses (a changed word
+changes four or five shingles): it searches several fingerprints over distinct words, which a few changes move by few bits,
+and confirms what it finds by wider fingerprints over shingles.
 """
 
 from __future__ import annotations
@@ -32,6 +36,11 @@ MAX_TREE = 2048
 MEAN_SHARD = 64
 #: Shards over MAX_TREE that are broadcast as a list (24 bytes each); a longer list is joined by shuffle.
 MAX_HEAVY = 100_000
+#: deduplicate(): seeds of the SimHashes over distinct words that find copies, and of those over five-word shingles that
+#: confirm them within so many bits of all; rows whose hashes (16 bytes each) are broadcast.
+WORD_SEEDS, COPY_SHINGLE, CHECK_SEEDS, WITHIN, MAX_BROADCAST = (11, 22, 33), 5, (1, 2), 26, 2_000_000
+#: Fingerprints, their nodes, and words to check.
+Rows = tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,6 +57,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts = np.append(0, ends[:-shingle])
         cuts = map(slice, starts.tolist(), (ends[shingle - 1 :] - 1).tolist())
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, cuts), repeat(SEED)), np.uint64, len(starts))
+    return _bits(hashes)
+
+
+def _bits(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -99,50 +113,57 @@ class BKTree:
                     todo.append((child, on))
 
 
-def stars(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning star of each cluster that the links between the tree's values and the queries make (None: the tree's own values)."""
-    if queries is None and len(tree) == 2:
-        near = (int(tree[0]) ^ int(tree[1])) & (1 << 64) - 1
-        n = 1 if near.bit_count() <= radius else 0
-        return tree[:n], tree[1 : 1 + n]
-    every = tree if queries is None else np.concatenate([tree, queries])
-    shift = 0 if queries is None else len(tree)
+def stars(rows: Rows, queries: Rows | None, radius: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between nodes: a spanning star of each cluster that the links between rows and queries make (None: between the rows themselves).
+
+    A link is a fingerprint within the radius; where rows carry words to check, these must differ in `within` bits at most too.
+    """
+    fp, node, check = rows
+    asked, nodes, checks = rows if queries is None else queries
+    if queries is None and len(fp) == 2 and ((int(fp[0]) ^ int(fp[1])) & (1 << 64) - 1).bit_count() > radius:
+        return node[:0], node[:0]
+    every = node if queries is None else np.concatenate([node, nodes])
+    shift = 0 if queries is None else len(node)
     label = np.arange(len(every))
-    for node, near in BKTree(tree).search(tree if queries is None else queries, radius):
-        mine = np.unique(np.append(label[near + shift], label[node]))
+    for at, near in BKTree(fp).search(asked, radius):
+        if checks:
+            near = near[sum(np.bitwise_count((c[near] ^ own[at]).view(np.uint64)).astype(np.int16) for c, own in zip(checks, check, strict=True)) <= within]
+        mine = np.unique(np.append(label[near + shift], label[at]))
         if len(mine) > 1:
             label[np.isin(label, mine)] = mine[0]
     moved = np.flatnonzero(label != np.arange(len(every)))
     return every[moved], every[label[moved]]
 
 
-def _search(radius: int):
-    """Rows (shard, part, side, fp), sorted by shard and part, to edges. side 0: tree and queries, 1: tree, 2: queries."""
+def _search(radius: int, within: int):
+    """Rows (shard, part, side, fp, node, words to check), sorted by shard and part, to edges. side 0: tree and queries, 1: tree, 2: queries."""
 
-    def group(side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def group(side: np.ndarray, fp: np.ndarray, node: np.ndarray, *check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if side[0] == 0:
-            return stars(np.unique(fp), None, radius)
-        return stars(np.unique(fp[side == 1]), np.unique(fp[side == 2]), radius)
+            return stars((fp, node, check), None, radius, within)
+        tree, asked = ((fp[side == n], node[side == n], tuple(c[side == n] for c in check)) for n in (1, 2))
+        return stars(tree, asked, radius, within)
 
     def cut(held: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-        shard, part, side, fp = held
+        shard, part = held[:2]
         if not len(shard):
             return held, []
         at = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
         starts, ends = np.append(0, at), np.append(at, len(shard))
         done = len(starts) if last else len(starts) - 1
         big = np.flatnonzero(ends[:done] - starts[:done] > 1)
-        found = [group(side[s:e], fp[s:e]) for s, e in zip(starts[big], ends[big], strict=True)]
+        found = [group(*(c[s:e] for c in held[2:])) for s, e in zip(starts[big], ends[big], strict=True)]
         rest = len(shard) if last else starts[-1]
         return [x[rest:] for x in held], found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64)]
+        held: list[np.ndarray] = []
         for batch in batches:
-            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
             held, found = cut(held, False)
             yield from out(found)
-        yield from out(cut(held, True)[1])
+        yield from out(cut(held, True)[1] if held else [])
 
     def out(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if found:
@@ -167,10 +188,15 @@ def _shards(fp: Column, radius: int, blocks: int) -> list[Column]:
     return [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(signed)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE, blocks: int | None = None) -> DataFrame:
-    """Distinct fingerprints (column fp) to edges (src, dst) whose components are those of all links within the radius."""
+def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE, blocks: int | None = None, fp: str = "fp", node: str = "fp", check: tuple[str, ...] = (), within: int = 0) -> DataFrame:
+    """Rows with a fingerprint each to edges (src, dst) of their nodes, whose components are those of all links within the radius.
+
+    With words to check, two rows are linked only if these differ in `within` bits at most, all words together.
+    """
     blocks = blocks_for(distinct.count(), radius) if blocks is None else blocks
-    rows = materialise(distinct.select("fp", F.explode(F.array(*_shards(F.col("fp"), radius, blocks))).alias("shard")), "shards")
+    carried = [F.col(fp).alias("_fp"), F.col(node).alias("_node"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(check))]
+    names = ["_fp", "_node", *(f"_c{i}" for i in range(len(check)))]
+    rows = materialise(distinct.select(*carried, F.explode(F.array(*_shards(F.col(fp), radius, blocks))).alias("shard")), "shards")
     heavy = materialise(rows.groupBy("shard").count().where(F.col("count") > max_tree).select("shard", F.ceil(F.col("count") / max_tree).cast("int").alias("k")), "heavy")
     n = heavy.count()
     light = rows
@@ -178,14 +204,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE, b
     if n:
         heavy = F.broadcast(heavy) if n <= MAX_HEAVY else heavy
         light = rows.join(heavy, "shard", "left_anti")
-        mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-        parts = rows.join(heavy, "shard").withColumn("mine", mine).select("shard", "fp", "k", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+        mine = F.pmod(F.xxhash64("_node"), F.col("k")).cast("int")
+        parts = rows.join(heavy, "shard").withColumn("mine", mine).select("shard", *names, "k", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
         side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-        parts = parts.select("shard", (low * F.col("k") + high).cast("int").alias("part"), side.cast("int").alias("side"), "fp")
-    task = light.select("shard", F.lit(0).alias("part"), F.lit(0).alias("side"), "fp")
+        parts = parts.select("shard", (low * F.col("k") + high).cast("int").alias("part"), side.cast("int").alias("side"), *names)
+    task = light.select("shard", F.lit(0).alias("part"), F.lit(0).alias("side"), *names)
     task = task if parts is None else task.unionByName(parts)
-    return task.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(_search(radius), "src bigint, dst bigint")
+    return task.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(_search(radius, within), "src bigint, dst bigint")
+
+
+def _rooted(classes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """The classes, with the root of each one's component (its own node, if it has no link)."""
+    roots = connected_components(edges).select(F.col("node").alias(node), "root")
+    return materialise(classes.join(roots, node, "left").withColumn("root", F.coalesce("root", node)), "rooted")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, max_tree: int = MAX_TREE, blocks: int | None = None) -> DataFrame:
@@ -195,27 +227,83 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     component has no other. Repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
     fps = materialise(fingerprints(docs, key, text), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = connected_components(links(classes, radius, max_tree, blocks)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialise(fps.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    rooted = _rooted(classes, links(classes, radius, max_tree, blocks), "fp")
+    # written, so that the join below deals out both sides anew and can split a large component
+    of_root = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     members = rooted.select("fp", "root").join(of_root, "root").select("fp", "component_id")
     return fps.join(members, "fp").select(key, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The columns of docs; of each component one row stays: that of the smallest key, and of rows that share it the one with the smallest text (null counts as empty). Of a component without any key, the row with the smallest text."""
-    found = materialise(near_duplicates(docs, key, text, radius), "found")
-    keepers = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    row, order = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(text, F.lit(""))
-    out = docs.join(keepers, key, "left_semi").groupBy(key).agg(F.min_by(row, order).alias("_row")).select("_row.*")
-    lost = found.where(F.col(key).isNull() & F.col("component_id").isNull()).groupBy("fp").count()
-    if lost.isEmpty():
-        return out
-    # components that have no key at all: their documents get their fingerprints as keys
-    bare = docs.where(F.col(key).isNull())
-    named = bare.withColumn(fresh(docs, "bare_id")[0], F.xxhash64(order))
-    name = named.columns[-1]
-    of = near_duplicates(named, name, text, radius).join(lost.select("fp"), "fp", "left_semi").where(F.col(name) == F.col("component_id")).select(name).distinct()
-    kept = named.join(of, name, "left_semi").groupBy(name).agg(F.min_by(row, order).alias("_row")).select("_row.*")
-    return out.unionByName(kept)
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_prints(text: str | None) -> tuple[list[int], list[int]]:
+    """SimHashes of the distinct words of a whole text, one for each of WORD_SEEDS, and of its COPY_SHINGLE-word shingles, repeats included, for each of CHECK_SEEDS. All 0 without a word."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return [0] * len(WORD_SEEDS), [0] * len(CHECK_SEEDS)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    kinds, k = np.unique(h), min(COPY_SHINGLE, len(words))
+    shingles = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        shingles = _mixed(shingles + h[i : len(h) - k + 1 + i], i + 1)
+    return [_bits(_mixed(kinds, s)) for s in WORD_SEEDS], [_bits(_mixed(shingles, s)) for s in CHECK_SEEDS]
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, within: int = WITHIN, max_tree: int = MAX_TREE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The columns of docs; of each component of near-duplicates exactly one row stays: that of the smallest key, nulls last, and of rows that share it the one whose content hashes lowest.
+
+    Two texts are linked if one of their SimHashes over distinct words, of which each text has one for each of WORD_SEEDS,
+    differs in `radius` bits at most, and their SimHashes over five-word shingles (128 bits) in `within` at most, which
+    texts of similarity 0.8 stay under. Case and white space don't count; null, empty and blank texts are one component.
+    Rows that are equal in all columns are one row. Texts under five words are one shingle. An empty table gives an empty
+    one. Columns of maps can't be compared and aren't supported.
+
+    Rows that go are named by two hashes of their content (16 bytes); up to `max_broadcast` of them are broadcast, more are
+    joined by shuffle.
+    """
+    one, two, n = fresh(docs, "content_hash", "content_hash2", "row_number")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    hashes = [F.xxhash64(*own).alias(one), F.xxhash64(F.lit(1), *own, F.lit(2)).alias(two)]
+    words, checks = [f"w{i}" for i in range(len(WORD_SEEDS))], [f"c{i}" for i in range(len(CHECK_SEEDS))]
+    names = ["key", "h1", "h2", *words, *checks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [sum(word_prints(t.as_py()), []) for t in batch.column(3)]
+            columns = np.array(prints, np.int64).reshape(len(prints), len(words) + len(checks)).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in columns)], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"key {kind}, " + ", ".join(f"{c} bigint" for c in names[1:])
+    marks = docs.select(F.col(key).alias("key"), *hashes, F.col(text).alias("text")).mapInArrow(run, schema)
+    # a row for each content: its class, and how many rows have it
+    contents = marks.groupBy(*names).agg(F.count("*").alias("rows")).withColumn("node", F.xxhash64(*words, *checks))
+    contents = materialise(contents, "contents")
+    classes = materialise(contents.groupBy("node", *words, *checks).agg(F.min(_rank("key", "h1", "h2")).alias("best")), "classes")
+    edges = None
+    for w in words:
+        found = materialise(links(classes, radius, max_tree, None, w, "node", tuple(checks), within), "links")
+        edges = found if edges is None else edges.unionByName(found)
+    rooted = _rooted(classes.select("node", "best"), edges, "node")
+    keepers = materialise(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.*"), "keepers")
+    gone = contents.select("h1", "h2").distinct().join(keepers.select("h1", "h2"), ["h1", "h2"], "left_anti").select(F.col("h1").alias(one), F.col("h2").alias(two))
+    repeated = contents.groupBy("h1", "h2").agg(F.sum("rows").alias("n")).where("n > 1").join(keepers.select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("h1").alias(one), F.col("h2").alias(two))
+    gone, repeated = materialise(gone, "gone"), materialise(repeated, "repeated")
+    sized = lambda d: F.broadcast(d) if d.count() <= max_broadcast else d
+    rows = docs.select(*own, *hashes)
+    kept = rows.join(sized(gone), [one, two], "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*own)
+    repeated = sized(repeated)
+    return kept.join(repeated, [one, two], "left_anti").select(*own).unionByName(kept.join(repeated, [one, two], "left_semi").select(*own).distinct())
+
+
+def _rank(key: str, *hashes: str) -> Column:
+    """Orders rows by key, nulls last, then by hashes."""
+    return F.struct(F.col(key).isNull().alias("without"), F.col(key).alias("key"), *hashes)

@@ -1,5 +1,6 @@
 import corpus_pipeline
-from tessera.llm import secrets, simhash
+from tessera.llm import secrets
+from tests.llm.test_simhash import kept_rows
 
 
 def test_stages_keep_columns_and_take_effect(spark, sf):
@@ -10,8 +11,8 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
         assert docs.columns == columns
         kept[name] = docs.toPandas()
     assert 0.6 * 200 < len(kept["toxicity"]) <= 200
-    fps = simhash.near_duplicates(spark.createDataFrame(kept["toxicity"], docs.schema)).toPandas()
-    assert sorted(kept["near_duplicates"]["doc_id"]) == sorted(fps["component_id"].unique())
+    want = kept_rows([(r["doc_id"], r["text"]) for _, r in kept["toxicity"].iterrows()])
+    assert sorted(zip(kept["near_duplicates"]["doc_id"], kept["near_duplicates"]["text"], strict=True)) == sorted(want)
     found = secrets.digest(spark.createDataFrame(kept["secrets"], docs.schema)).toPandas()
     assert (found["spans"] == "").all() and len(kept["secrets"]) == len(kept["near_duplicates"])
     assert (kept["secrets"]["n_chars"] == kept["secrets"]["text"].str.len()).all()
@@ -24,9 +25,16 @@ def test_run(spark, sf):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
 
 
-def test_one_of_each_group_stays_with_nulls_and_repeats(spark):
-    long = "one two three four five six seven eight nine ten"
-    rows = [(1, long, "a"), (1, long, "a"), (2, long, "b"), (None, long, "c"), (3, None, "d"), (None, "other words that nobody else has at all", "e"), (None, "other words that nobody else has at all", "f"), (4, "a wholly different text of more words", None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, _row string")
-    got = simhash.deduplicate(df).collect()
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, long), (3, ""), (0, rows[5][1]), (4, rows[7][1])])
+NULLS = [(None, None, None, None, None), (None, "a text that no key names", "en", "s", 24), (5, None, None, None, None), (5, "", "en", "s", 0), (6, "token = abcdefgh1234 " * 3, "en", None, 63), (6, "another text of the same key", "en", "s", 28), (7, "long words " * 30000, "de", "t", None)]
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, sf):
+    """Each stage alone: nulls in every column, repeated rows, a very long text, then no rows at all."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame(NULLS + NULLS[:2], "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns)
+    for rows in (odd, odd.where("false"), docs.where("doc_id < 20").unionByName(odd)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, rows, sf)
+            n = got.count()
+            assert n <= (3 if name == "mixing" else 1) * rows.count() and (n > 0) == (rows.count() > 0), name
+            assert name == "tokens" or got.columns == docs.columns
