@@ -6,12 +6,17 @@ the texts that are left are the rule's candidates, and the expression is run on
 trigrams scans all texts. A posting names a text by its 64-bit hash, so copies share postings, and a hash collision
 only adds a candidate that the expression then rejects.
 
-The candidates (16 bytes each) are broadcast while they are at most MAX_BROADCAST; beyond that they are joined by shuffle.
+The trigrams that any query asks for are cut from a text in one pass of one expression. The candidates (16 bytes each) are
+broadcast while they are at most MAX_BROADCAST; beyond that they are joined by shuffle. Places come from running totals in
+blocks, so a text of very many matches costs in proportion to them.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +51,26 @@ MORE = [
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 ]
 RULES = BASE + MORE
-SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,first:bigint,last:bigint>>"
+#: Elements that a running total adds up one by one.
+BLOCK = 32
+
+
+def any_of(grams: list[str]) -> str:
+    """An expression whose first group is each of the trigrams wherever one stands, overlaps included; shared beginnings are tried once."""
+    one = lambda tails: "(?:" + "|".join(tails) + ")"
+    tree = []
+    for a, of_a in groupby(sorted(grams), lambda g: g[0]):
+        tree.append(re.escape(a) + one([re.escape(b) + one([re.escape(g[2]) for g in of_b]) for b, of_b in groupby(of_a, lambda g: g[1])]))
+    first = "".join(sorted({re.escape(g[0]) for g in grams}))
+    return f"(?=[{first}])(?=({one(tree)}))"
 
 
 def postings(texts: DataFrame, text: str, grams: list[str]) -> DataFrame:
     """The index: distinct (gram, h), with gram as its place in the list and h as the text's hash."""
-    rows = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.lower(text).alias("low"))
-    has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return rows.select("h", F.explode(has).alias("gram")).distinct()
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(any_of(grams)), F.lit(1)))
+    rows = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.explode(found).alias("found"))
+    return rows.select("h", (F.array_position(F.array(*map(F.lit, grams)), F.col("found")) - 1).cast("int").alias("gram")).distinct()
 
 
 def candidates(texts: DataFrame, text: str, rules: list[Rule]) -> tuple[DataFrame | None, dict[str, int]]:
@@ -69,27 +86,48 @@ def candidates(texts: DataFrame, text: str, rules: list[Rule]) -> tuple[DataFram
     return meet.groupBy("h").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")), bits
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array, what op makes of all that stand before it: in blocks, and blocks of blocks, each of which is totalled once."""
+    total = lambda a: F.aggregate(a, zero, lambda x, y: op(x, y))
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: total(F.slice(a, i + 1, F.lit(BLOCK))))
+    own = lambda a, i: total(F.slice(a, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    within = lambda a, over: F.transform(a, lambda _, i: op(F.get(over, F.floor(i / BLOCK).cast("int")), own(a, i)))
+    whole = lambda a: F.transform(a, lambda _, i: total(F.slice(a, F.lit(1), i)))
+    return _let(blocks(values), lambda one: _let(blocks(one), lambda two: _let(_let(whole(two), lambda top: within(one, top)), lambda mid: within(values, mid))))
+
+
 def _matches(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans in a text: what lies between the matches and the matches themselves, measured one after the other."""
+    """The rule's spans in a text, from the lengths of what lies between the matches and of the matches themselves, in code points and in bytes."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    both = lambda x: F.shiftleft(F.char_length(x).cast("bigint"), 32) + F.octet_length(x)
+    chars, octets = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)))
     zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), judged.alias("part"))
-    zipped = F.filter(zipped, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    sizes = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(both(x["gap"]).alias("gap"), both(x["hit"]).alias("hit"), F.char_length(x["part"]).alias("part")))
+
+    def spans(sized: Column) -> Column:
+        lengths = F.transform(sized, lambda x: x["gap"] + x["hit"])
+        starts = _let(lengths, lambda v: before(v, lambda a, b: a + b, F.lit(0).cast("bigint")))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.char_length(x["gap"])
-        b = a + F.char_length(x["hit"])
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(b.alias("at"), F.when(F.char_length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        def span(x: Column, at: Column) -> Column:
+            a, b = at + x["gap"], at + x["gap"] + x["hit"]
+            found = F.struct(chars(a).alias("start"), F.lit(rank).alias("rank"), chars(b).alias("end"), F.lit(rule.kind).alias("kind"), octets(a).alias("first"), octets(b).alias("last"))
+            return F.when(x["part"] >= rule.least, found)
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+        return F.array_compact(F.zip_with(sized, starts, span))
+
+    return _let(sizes, spans)
 
 
 def find(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, str]:
-    """All rows and columns of docs, and a column of spans: array of (start, rank, end, kind), sorted by start, then by the rules' order.
+    """All rows and columns of docs, and a column of spans: array of (start, rank, end, kind, first, last), sorted by start, then by the rules' order.
 
-    Places are code points, ends are exclusive. Each rule finds leftmost matches that don't overlap; spans of different
+    Places are code points, ends are exclusive; first and last are the same in bytes of UTF-8. Each rule finds leftmost matches that don't overlap; spans of different
     rules may. A null or empty text has no spans. Repeated rows are kept; an empty table gives an empty one. The new
     column's name is returned, as docs may have one called `spans`.
     """
@@ -122,19 +160,23 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list
 
 
 def redact(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """The rows and columns of docs; each secret in the text, with those that it overlaps, gives way to one mark."""
-    found, spans = find(docs, text, rules)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    """The rows and columns of docs; each secret in the text, with those that it overlaps, gives way to one mark.
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.char_length(text)))
-
-    clean = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, step, rest)).otherwise(F.col(text))
-    return found.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    A null text stays null, an empty one empty; repeated rows are kept, and an empty table gives an empty one.
+    """
+    found, spans = find(docs, text, rules)
+    raw = F.col(text).cast("binary")
+    part = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+
+    def clean(all_: Column) -> Column:
+        ends = F.transform(all_, lambda s: s["last"])
+        reached = _let(ends, lambda v: before(v, F.greatest, F.lit(0).cast("bigint")))
+        # a secret that starts within an earlier one is under that one's mark
+        pieces = F.zip_with(all_, reached, lambda s, at: F.when(s["first"] >= at, F.concat(part(at, s["first"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(ends), F.octet_length(text)))
+
+    made = F.when(F.size(spans) > 0, _let(F.col(spans), clean)).otherwise(F.col(text))
+    return found.select(*[made.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _span_sql(rule: Rule, rank: int) -> str:
