@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 32768, 256
 #: The pattern's longest literal is three characters: boundaries nearer than this to the end of a slice may change with what follows.
 MARGIN = 8
-#: Pieces that a worker remembers (about 150 bytes each).
-REMEMBERED = 200_000
+#: Pieces that a worker remembers, and the characters of the longest (so about 150 bytes each).
+REMEMBERED, LONGEST = 200_000, 48
 
 
 class Codec:
@@ -46,9 +46,11 @@ class Codec:
         """The ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[piece] = np.array(self.core.encode_single_piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
+            found = np.array(self.core.encode_single_piece(piece.encode("utf-8", "replace")), "<u4").tobytes()
+            if len(piece) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:

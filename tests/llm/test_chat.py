@@ -6,7 +6,7 @@ import public_tokenizers
 
 from tessera.llm import chat
 
-FILE = public_tokenizers.path("byte_bpe_50k.json")
+FILE, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
 
@@ -23,7 +23,7 @@ def talks():
 def test_digest_matches_brute_force(spark):
     rows = talks()
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 AS ids", "2 AS loss").repartition(5)
-    got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(df, FILE)).collect()}
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(df, FILE, PATTERN)).collect()}
     assert set(got) == {k for k, *_ in rows}
     for k, r in got.items():
         turns = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))
@@ -51,4 +51,33 @@ def test_mask_against_every_pair():
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
-    assert chat.digest(chat.format_chats(df, FILE)).count() == 0
+    assert chat.digest(chat.format_chats(df, FILE, PATTERN)).count() == 0
+
+
+def test_offsets_and_mask_against_every_token():
+    """Offsets from the bytes of the tokens one by one; the text under a mask from every code point."""
+    encoding, _ = chat.tokenizer(FILE, PATTERN)
+    r = random.Random(5)
+    for k in {k for k, *_ in talks()}:
+        turns = [(role or "", text or "") for c, _, role, text in talks() if c == k]
+        rendered, spans = chat.render(turns)
+        ids, offsets = chat.encode(rendered, FILE, PATTERN)
+        assert ids.tolist() == encoding.encode_ordinary(rendered)
+        of = [i for i, c in enumerate(rendered) for _ in c.encode()]
+        at = 0
+        for n, (a, b) in zip(ids.tolist(), offsets.tolist(), strict=True):
+            size = len(encoding.decode_single_token_bytes(n))
+            assert (a, b) == (of[at], of[at + size - 1] + 1)
+            at += size
+        on = chat.mask(offsets, spans)[0] & np.array([r.random() < 0.8 for _ in ids], bool)
+        under = {i for a, b in offsets[on].tolist() for i in range(a, b)}
+        want = "".join(chat.unescape("".join(rendered[i] for i in range(a, b) if i in under)) for a, b in spans)
+        assert chat.masked_text(rendered, offsets[on], spans) == want
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", "no spaces here" * 2000 + "</turn>") for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    (got,) = chat.digest(chat.format_chats(df, FILE, PATTERN)).collect()
+    learned = "".join(t for *_, role, t in rows if role == "assistant")
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(learned), sha(learned))
