@@ -2,7 +2,8 @@
 
 The features are densities of a lexicon (fixed words, and words that the training labels single out), how near its words
 stand to the second person, and rates of capitals, punctuation and obfuscation. Trees and calibration are fitted on the
-driver, from a sample of at most SAMPLE labelled documents; every whole text is then scored where it lies.
+driver, from a sample of at most SAMPLE labelled documents; every whole text is then scored where it lies. The calibration
+rests on folds whose labels neither the trees nor the lexicon have seen.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tessera.plans.shared import materialise
 SAMPLE = 20_000
 #: Words that the labels single out: at most so many, of at least this log-likelihood ratio and these odds.
 LEXICON, LEAST_RATIO, LEAST_ODDS = 300, 24.0, 4.0
+#: Bytes of the words that may be singled out (longer runs are no words of a language), and folds of the calibration.
+WORD_BYTES, FOLDS = range(2, 41), 4
 # Abusive words, and the second person in a few languages.
 ABUSIVE = "idiot moron loser pathetic worthless disgusting scum trash clown stupid dumb imbecile vermin filth garbage".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tus usted ustedes".split()
@@ -60,21 +63,14 @@ def folded_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
-    """The values of FEATURES for a whole text."""
+def features(text: str | None, *lexicons: dict[bytes, float]) -> list[list[float]]:
+    """The values of FEATURES for a whole text, under each of the lexicons."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.translate(_FOLD).split()
     n = max(1, len(words))
     kinds = set(words)
-    found, second = kinds & lexicon.keys(), kinds & _SECOND
-    at = np.array([i for i, w in enumerate(words) if w in found], np.int64) if found else np.empty(0, np.int64)
+    second = kinds & _SECOND
     you = np.array([i for i, w in enumerate(words) if w in second], np.int64) if second else np.empty(0, np.int64)
-    near = np.zeros(1)
-    if len(at) and len(you):
-        right = np.searchsorted(you, at)
-        gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - at), np.abs(at - you[np.maximum(right - 1, 0)]))
-        near = 1.0 / (1.0 + gap)
-    weights = [lexicon[w] for w in found]
     counts, obfuscated, stretched, shouted = np.zeros(8, np.int64), 0, 0, 0
     for a in range(0, len(raw), _BLOCK):
         b = np.frombuffer(raw[a : a + _BLOCK + 2], np.uint8)
@@ -86,11 +82,23 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
             stretched += int((letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])).sum())
             shouted += int(((kind[:-2] == 2) & (kind[1:-1] == 2) & (kind[2:] == 2)).sum())
     total, letters = max(1, len(raw)), max(1, int(counts[1] + counts[2]))
-    return [
-        np.log1p(len(words)), len(at) / n, float(len(found)), sum(weights), max(weights, default=0.0), len(you) / n, float(near.max()), float(near.mean()),
-        counts[2] / letters, shouted / letters, counts[6] / total, counts[7] / total, counts[5] / total, counts[4] / total, counts[3] / total,
-        obfuscated / n, stretched / n, letters / n,
-    ]
+    marks = [counts[6] / total, counts[7] / total, counts[5] / total, counts[4] / total, counts[3] / total, obfuscated / n, stretched / n, letters / n]
+    out, known = [], {}
+    for lexicon in lexicons:
+        found = kinds & lexicon.keys()
+        if (seen := frozenset(found)) not in known:
+            at = np.array([i for i, w in enumerate(words) if w in found], np.int64) if found else np.empty(0, np.int64)
+            near = np.zeros(1)
+            if len(at) and len(you):
+                right = np.searchsorted(you, at)
+                gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - at), np.abs(at - you[np.maximum(right - 1, 0)]))
+                near = 1.0 / (1.0 + gap)
+            known[seen] = len(at) / n, float(near.max()), float(near.mean())
+        density, nearest, mean = known[seen]
+        weights = [lexicon[w] for w in found]
+        of_lexicon = [np.log1p(len(words)), density, float(len(found)), sum(weights), max(weights, default=0.0), len(you) / n, nearest, mean]
+        out.append([*of_lexicon, counts[2] / letters, shouted / letters, *marks])
+    return out
 
 
 @dataclass
@@ -185,34 +193,45 @@ class Model:
         return np.interp(self.trees.margin(x), xs, ys) if len(xs) else np.zeros(len(x))
 
 
-def learned_lexicon(train: DataFrame, text: str = "text", label: str = "y") -> dict[bytes, float]:
-    """The fixed words and those that occur in far more documents of label 1 than of label 0; each with its log odds."""
+def fold_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(FOLDS)).cast("int")
+
+
+def learned_lexicons(train: DataFrame, text: str = "text", label: str = "y", fold: str = "fold") -> list[dict[bytes, float]]:
+    """Lexicons learned from all rows, and from all but each fold: the fixed words, and those that occur in far more documents of label 1 than of label 0 (LEXICON at most, of WORD_BYTES bytes), each with its log odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, ones = Counter(), Counter()
-            for t, y in zip(batch.column(0), batch.column(1), strict=True):
-                own = {w for w in folded_words(t.as_py()) if 2 <= len(w) <= 40}
+            texts, labels, folds = (c.to_pylist() for c in batch.columns)
+            every: Counter[tuple[int, bytes]] = Counter()
+            ones: Counter[tuple[int, bytes]] = Counter()
+            for t, y, f in zip(texts, labels, folds, strict=True):
+                # documents are counted under the empty word
+                own = [(f, w) for w in {b"", *(w for w in folded_words(t) if len(w) in WORD_BYTES)}]
                 every.update(own)
-                if y.as_py():
+                if y:
                     ones.update(own)
-            # the total of documents and of ones travels under the empty word
-            every[b""], ones[b""] = batch.num_rows, sum(1 for y in batch.column(1) if y.as_py())
-            words = list(every)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([ones[w] for w in words], pa.int64())], ["word", "n", "k"])
+            keys = list(every)
+            columns = [[w for _, w in keys], [f for f, _ in keys], [every[k] for k in keys], [ones[k] for k in keys]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["word", "fold", "n", "k"])
 
-    counts = materialise(train.select(text, label).mapInArrow(run, "word binary, n bigint, k bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("k >= 3 OR word = X''"), "lexicon")
+    rows = train.select(text, label, fold).mapInArrow(run, "word binary, fold int, n bigint, k bigint")
+    by_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in "nk" for f in range(FOLDS)]
+    counts = materialise(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), *by_fold).where("k >= 3 OR word = X''"), "lexicon")
     total = counts.where("word = X''").first()
-    out = {w.encode(): 4.0 for w in ABUSIVE}
-    if total is None or not total["k"] or total["k"] == total["n"]:
-        return out
-    docs, toxic = float(total["n"]), float(total["k"])
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    ratio = 2 * (term(k, n * toxic / docs) + term(n - k, n * (docs - toxic) / docs) + term(toxic - k, (docs - n) * toxic / docs) + term(docs - toxic - n + k, (docs - n) * (docs - toxic) / docs))
-    odds = ((k + 0.5) / (toxic + 1)) / ((n - k + 0.5) / (docs - toxic + 1))
-    best = counts.where("word <> X'' AND n < " + str(int(docs))).select("word", ratio.alias("ratio"), odds.alias("odds")).where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS))
-    return out | {bytes(r["word"]): float(np.log(r["odds"])) for r in best.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()}
+    out = []
+    for f in (None, *range(FOLDS)):
+        words = {w.encode(): 4.0 for w in ABUSIVE}
+        docs, toxic = (0.0, 0.0) if total is None else tuple(float(total[c] - (0 if f is None else total[f"{c}{f}"])) for c in "nk")
+        if toxic and toxic < docs:
+            n, k = ((F.col(c) - (F.lit(0) if f is None else F.col(f"{c}{f}"))).cast("double") for c in "nk")
+            term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+            ratio = 2 * (term(k, n * toxic / docs) + term(n - k, n * (docs - toxic) / docs) + term(toxic - k, (docs - n) * toxic / docs) + term(docs - toxic - n + k, (docs - n) * (docs - toxic) / docs))
+            odds = ((k + 0.5) / (toxic + 1)) / ((n - k + 0.5) / (docs - toxic + 1))
+            best = counts.where("word <> X''").where((n < docs) & (k >= 3)).select("word", ratio.alias("ratio"), odds.alias("odds")).where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS))
+            words |= {bytes(r["word"]): float(np.log(r["odds"])) for r in best.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()}
+        out.append(words)
+    return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, key: str, text: str, label: str, most: int) -> DataFrame:
@@ -222,30 +241,36 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, key: str, text: st
     return docs.select(key, text).join(keyed, key).groupBy(key, "y").agg(F.max(text).alias(text))
 
 
-def feature_rows(docs: DataFrame, text: str, lexicon: dict[bytes, float], keep: list[str]) -> DataFrame:
-    fields = [docs.schema[c] for c in keep]
+def feature_rows(train: DataFrame, key: str, text: str, lexicons: list[dict[bytes, float]]) -> DataFrame:
+    """(order, y, fold, x): x has the features under each lexicon, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py(), lexicon) for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
+            x = [sum(features(t.as_py(), *lexicons), []) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["order", "y", "fold", "x"])
 
-    return docs.select(*keep, text).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", x array<double>")
+    return train.select(F.xxhash64(key).alias("order"), "y", "fold", text).mapInArrow(run, "order bigint, y int, fold int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
-    """Learns from the rows of `labels` for which `learn` holds, at most `most` of them. Without any, all scores are 0."""
-    train = materialise(sample(docs, labels, learn, key, text, label, most), "train")
-    lexicon = learned_lexicon(train, text)
-    rows = feature_rows(train, text, lexicon, [key, "y"]).orderBy(F.xxhash64(key), key).toPandas()
-    y = rows["y"].to_numpy(np.float64)
+    """Learns from the rows of `labels` for which `learn` holds, at most `most` of them.
+
+    Without any, or with empty tables, all scores are 0. A null text counts as empty, null keys and labels are left out,
+    labels and texts that repeat a key count once (see sample()). Whole texts are read, however long.
+    """
+    train = materialise(sample(docs, labels, learn, key, text, label, most).withColumn("fold", fold_of(key)), "train")
+    lexicons = learned_lexicons(train, text)
+    rows = feature_rows(train, key, text, lexicons).orderBy("order", "x").toPandas()
+    y, fold = rows["y"].to_numpy(np.float64), rows["fold"].to_numpy()
     if not len(y):
-        return Model(lexicon, boost(np.zeros((0, len(FEATURES))), y), (np.empty(0), np.empty(0)))
-    x = np.stack(rows["x"].to_numpy())
-    fold, apart = np.arange(len(y)) % 4, np.zeros(len(y))
-    for k in range(4):
-        apart[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexicon, boost(x, y), isotonic(apart, y))
+        return Model(lexicons[0], boost(np.zeros((0, len(FEATURES))), y), (np.empty(0), np.empty(0)))
+    x = np.stack(rows["x"].to_numpy()).reshape(len(y), len(lexicons), len(FEATURES))
+    apart = np.zeros(len(y))
+    for k in range(FOLDS):
+        mine = fold == k
+        if mine.any():
+            apart[mine] = boost(x[~mine, k + 1], y[~mine]).margin(x[mine, k + 1])
+    return Model(lexicons[0], boost(x[:, 0], y), isotonic(apart, y))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,14 +280,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                x = np.array([features(t.as_py(), model.lexicon) for t in batch.column(1)])
+                x = np.array([features(t.as_py(), model.lexicon)[0] for t in batch.column(1)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], [key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def flag(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
-    """All rows and columns of docs, and a column of scores, whose name is returned: `score`, longer if docs have that."""
+    """All rows and columns of docs, and a column of scores, whose name is returned: `score`, longer if docs have that. Rows as in score()."""
     name, columns = fresh(docs, "score")[0], docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +295,7 @@ def flag(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame,
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                x = np.array([features(t.as_py(), model.lexicon) for t in batch.column(at)])
+                x = np.array([features(t.as_py(), model.lexicon)[0] for t in batch.column(at)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*columns, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -70,3 +70,52 @@ def test_trees_fit_an_interaction():
     x = r.normal(size=(600, 3))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     assert ((toxicity.boost(x, y).margin(x) > 0) == y).mean() > 0.97
+
+
+def slow_features(text, lexicon):
+    """toxicity.features(), one character after the other."""
+    raw = (text or "").encode()
+    kind = lambda c: ("upper" if 65 <= c <= 90 else "letter" if 97 <= c <= 122 or c >= 128 else "digit" if 48 <= c <= 57 else "symbol" if chr(c) in "#$%&*+/<=>@\\^_`|~" else "stop" if chr(c) in ".,;:'\"()[]{}-" else "!" if c == 33 else "?" if c == 63 else "none")
+    kinds = [kind(c) for c in raw]
+    words, word = [], b""
+    for c, k in zip(raw, kinds, strict=True):
+        if k in ("upper", "letter", "digit"):
+            word += bytes([c]).lower() if k == "upper" else bytes([c])
+        elif word:
+            words, word = [*words, word], b""
+    words += [word] if word else []
+    second = {w.encode() for w in toxicity.SECOND_PERSON}
+    hits = [i for i, w in enumerate(words) if w in lexicon]
+    you = [i for i, w in enumerate(words) if w in second]
+    near = [1 / (1 + min(abs(i - j) for j in you)) for i in hits] if hits and you else [0.0]
+    weights = [lexicon[w] for w in {words[i] for i in hits}]
+    n, total, letters = max(1, len(words)), max(1, len(raw)), max(1, kinds.count("letter") + kinds.count("upper"))
+    spelt = ("letter", "upper")
+    triples = list(zip(kinds, kinds[1:], kinds[2:]))  # noqa: B905
+    obfuscated = sum(a in spelt and c in spelt and b in ("digit", "symbol", "!", "?") for a, b, c in triples)
+    stretched = sum(kinds[i] in spelt and raw[i] == raw[i - 1] == raw[i - 2] for i in range(2, len(raw)))
+    share = lambda k: kinds.count(k) / total
+    return [
+        np.log1p(len(words)), len(hits) / n, len(weights), sum(weights), max(weights, default=0.0), len(you) / n, max(near), sum(near) / len(near),
+        kinds.count("upper") / letters, triples.count(("upper",) * 3) / letters, share("!"), share("?"), share("stop"), share("symbol"), share("digit"),
+        obfuscated / n, stretched / n, letters / n,
+    ]
+
+
+def test_features_against_a_plain_version():
+    r = random.Random(6)
+    bits = ["Idiot", "you", "YOU", "du", " ", "  ", "sc*um", "f.o.o", "aaaa", "é", "字", "!!", "?", "#", "12", "LOUD", "vous,", "scum", "-", "\n"]
+    lexicon, other = {b"idiot": 2.0, b"scum": 1.5, "é".encode(): 0.5}, {b"loud": 3.0}
+    for t in [None, "", "   ", *("".join(r.choice(bits) for _ in range(r.randrange(1, 60))) for _ in range(150))]:
+        one, two = toxicity.features(t, lexicon, other)
+        assert np.allclose(one, slow_features(t, lexicon)) and np.allclose(two, slow_features(t, other))
+
+
+def test_lexicons_of_folds_know_nothing_of_the_fold(spark):
+    """A word that stands only in one fold's documents is in no lexicon learned without that fold."""
+    rows = [(f"plain text {i} here" + (f" mark{i % 4}" if i % 3 == 0 else ""), int(i % 3 == 0), i % 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "text string, y int, fold int")
+    whole, *apart = toxicity.learned_lexicons(df)
+    for f in range(4):
+        assert f"mark{f}".encode() in whole
+        assert [f"mark{g}".encode() in apart[f] for g in range(4)] == [g != f for g in range(4)]
