@@ -20,7 +20,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digest(chat.format_chats(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    return chat.digest(chat.format_chats(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +31,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    held_out = (crc_mod("doc_id", 5) == 0).alias("held_out")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, crc_mod("doc_id", 4) != 2)
-    return language.predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document as `labels.quality` marks it, learned from rows whose crc32(doc_id as text) mod 5 isn't 0; predicted 1: keep."""
     docs = table(spark, sf_dir, "documents")
-    model = cotraining.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    held_out = (crc_mod("doc_id", 5) == 0).alias("held_out")
-    return cotraining.score(docs, model).select("doc_id", held_out, "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    pages = table(spark, sf_dir, "pages")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"), pages, crc_mod("doc_id", 5) != 0)
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return cotraining.score(docs, model, pages).select("doc_id", held_out, "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
