@@ -41,7 +41,7 @@ APART = 2.0
 #: Likest pairs of corners whose transforms are tried on the others.
 TRIED = 40
 #: Corners of a key beyond which its least image is tried first, corners of one key that are held against each other in one task, and one image in so many that large keys are estimated from.
-BUSY, MAX_BLOCK, LOOK = 128, 1024, 16
+BUSY, MAX_BLOCK, LOOK = 128, 8192, 16
 #: Pairs of images, and rows of equal bytes, that are broadcast (16 bytes each); more are joined by shuffle. Pairs that are decided at a time.
 MAX_BROADCAST, SLICE = 1_000_000, 60_000
 #: Pixels that are described together.
