@@ -23,7 +23,7 @@ def bodies() -> dict[str, tuple[str, str, str]]:
     cut = rf"regexp_replace(regexp_replace({_strip(f'regexp_replace({low}, {suffix}, {chr(39) * 2})')}, ',+$', ''), '\\.+$', '')"
     names = "array(" + ", ".join(f"'{n}'" for n in pii.FAKE_NAMES) + ")"
     places = "array(" + ", ".join(f"'{n}'" for n in pii.FAKE_LOCALITIES) + ")"
-    aliases = ", ".join(f"'{a.strip()}', '{k}'" for k, v in T.LOCALITIES.items() for a in v.split(","))
+    aliases = ", ".join(f"'{a}', '{k}'" for k, v in T.LOCALITIES.items() for a in v)
     return {
         "suffix_stripped": ("s STRING", "STRING", f"CASE WHEN {low} RLIKE {suffix} THEN {cut} ELSE {low} END"),
         "punct_stripped": ("s STRING", "STRING", _strip(r"regexp_replace(regexp_replace(s, '[^a-z0-9\\s]', ''), '\\s+', ' ')")),
