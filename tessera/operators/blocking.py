@@ -19,32 +19,36 @@ def normalised(records: DataFrame) -> DataFrame:
     return plain.withColumns({"sound": T.phonetic(F.col("punct_stripped")), "valid_pan": T.valid_pan(F.col("pan")), "valid_gstin": T.valid_gstin(F.col("gstin"))})
 
 
-def _pairs(keyed: DataFrame, cap: int | None) -> DataFrame:
-    """(key, id) to pairs a < b that share a key. The count is a partial aggregate; large groups go before they are joined."""
-    sizes = keyed.groupBy("key").count().where(F.col("count") > 1)
-    keys = sizes.where(F.col("count") <= cap) if cap else sizes
-    rows = keyed.join(keys.select("key"), "key", "left_semi")
-    a, b = rows.select("key", F.col("id").alias("a")), rows.select("key", F.col("id").alias("b"))
-    return a.join(b, "key").where("a < b").select("a", "b")
+def _keyed(norm: DataFrame) -> DataFrame:
+    """(rank, key, id) of all strategies, from one scan of the records."""
+    pin = F.when(F.col("address_pincode") != "", F.col("address_pincode"))
+    key = lambda rank, value: F.when(value.isNotNull(), F.struct(F.lit(rank).alias("rank"), value.alias("key")))
+    by_sound = F.when(pin.isNotNull() & (F.col("sound") != ""), F.concat_ws(":", pin, "sound"))
+    by_prefix = F.when(pin.isNotNull() & (F.length("punct_stripped") >= 3), F.concat_ws(":", pin, F.substring("punct_stripped", 1, 3)))
+    each = F.array(key(0, F.concat(F.lit("P:"), "valid_pan")), key(0, F.concat(F.lit("G:"), "valid_gstin")), key(1, by_sound), key(2, by_prefix))
+    return norm.select(F.explode(F.array_compact(each)).alias("k"), "id").select("k.rank", "k.key", "id")
 
 
-def keys(norm: DataFrame, strategy: str) -> DataFrame:
-    has_pin = F.col("address_pincode").isNotNull() & (F.col("address_pincode") != "")
-    if strategy == "ANCHOR":
-        anchors = F.array(F.concat(F.lit("P:"), "valid_pan"), F.concat(F.lit("G:"), "valid_gstin"))
-        return norm.select(F.explode(F.array_compact(anchors)).alias("key"), "id")
-    if strategy == "PINCODE_SOUNDEX":
-        return norm.where(has_pin & (F.col("sound") != "")).select(F.concat_ws(":", "address_pincode", "sound").alias("key"), "id")
-    return norm.where(has_pin & (F.length("punct_stripped") >= 3)).select(F.concat_ws(":", "address_pincode", F.substring("punct_stripped", 1, 3)).alias("key"), "id")
+def _pairs(keyed: DataFrame, cap: int) -> DataFrame:
+    """(rank, a, b): pairs a < b that share a key. The count is a partial aggregate; large groups of the name strategies go before they are joined."""
+    sizes = keyed.groupBy("rank", "key").count().where((F.col("count") > 1) & ((F.col("rank") == 0) | (F.col("count") <= cap)))
+    rows = keyed.join(sizes.select("rank", "key"), ["rank", "key"], "left_semi")
+    a, b = (rows.select("rank", "key", F.col("id").alias(n)) for n in "ab")
+    return a.join(b, ["rank", "key"]).where("a < b").select("rank", "a", "b")
+
+
+def strategy_pairs(norm: DataFrame, strategy: str, cap: int = CAP) -> DataFrame:
+    """(record_a_id, record_b_id) that one strategy finds, each once."""
+    mine = _keyed(norm).where(F.col("rank") == STRATEGIES.index(strategy))
+    return _pairs(mine, cap).select(F.col("a").alias("record_a_id"), F.col("b").alias("record_b_id")).distinct()
 
 
 def candidate_pairs(norm: DataFrame, cap: int = CAP) -> DataFrame:
-    """(pair_id, record_a_id, record_b_id, blocking_keys): each pair once, labelled with the first strategy that finds it."""
-    every = None
-    for rank, strategy in enumerate(STRATEGIES):
-        found = _pairs(keys(norm, strategy), None if strategy == "ANCHOR" else cap).withColumn("rank", F.lit(rank))
-        every = found if every is None else every.unionByName(found)
-    first = every.groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    """(pair_id, record_a_id, record_b_id, blocking_keys): each pair once, labelled with the first strategy that finds it.
+
+    Read twice: write `norm` first if it is dear. An anchor that many records share gives all their pairs, as it must.
+    """
+    first = _pairs(_keyed(norm), cap).groupBy("a", "b").agg(F.min("rank").alias("rank"))
     label = F.get(F.array(*map(F.lit, STRATEGIES)), F.col("rank"))
     return first.select(pair_id("a", "b").alias("pair_id"), F.col("a").alias("record_a_id"), F.col("b").alias("record_b_id"), F.array(label).alias("blocking_keys"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -119,13 +120,18 @@ def _norm(d: Demo) -> DataFrame:
     return blocking.normalised(d.records())
 
 
+def _written(d: Demo) -> DataFrame:
+    """The normalised records, for plans that read them several times."""
+    return materialise(_norm(d), "norm")
+
+
 def _scored(d: Demo) -> DataFrame:
-    norm = _norm(d)
+    norm = _written(d)
     return scoring.score_pairs(blocking.candidate_pairs(norm), norm)
 
 
 def _features(d: Demo) -> DataFrame:
-    norm = _norm(d)
+    norm = _written(d)
     return scoring.with_features(scoring.with_records(blocking.candidate_pairs(norm), norm))
 
 
@@ -134,13 +140,39 @@ def _reviews(d: Demo) -> DataFrame:
 
 
 def _merges(d: Demo) -> tuple[DataFrame, DataFrame, DataFrame]:
-    norm = materialise(_norm(d), "norm")
+    norm = _written(d)
     assigned = materialise(resolution.assign(norm), "assigned")
     masters = resolution.masters(norm, assigned)
     scored = materialise(scoring.score_pairs(blocking.candidate_pairs(norm), norm), "scored")
     return masters, resolution.merge(resolution.ubid_links(scored, assigned), masters), assigned
 
 
+def _merged(d: Demo) -> DataFrame:
+    """Merges of the view: each tenth identity into the one before it. Each twentieth is reversed, and so is the first, of which the ledger below knows nothing."""
+    u = F.col("ubid")
+    rows = d.masters().where(u % 10 == 0)
+    return rows.select(F.concat(F.lit("m"), u).alias("merge_id"), (u - 1).alias("winner"), u.alias("loser"), ((u % 20 == 0) | (u == 10)).alias("reversed"), F.timestamp_seconds(u).alias("decided_at"))
+
+
+def _story(d: Demo) -> DataFrame:
+    """Ledger entries of all kinds: statuses, identities created, merges, reversals, reviews."""
+    u = F.col("ubid")
+    ids = d.masters().select("ubid")
+    entry = lambda df, kind, who, payload: df.select(F.lit(kind).alias("event_type"), who.alias("aggregate_id"), payload.alias("payload"))
+    none, merge = F.lit("{}"), F.concat(F.lit("m"), u)
+    parts = [
+        entry(_status(d), "STATUS_CHANGED", u.cast("string"), F.to_json(F.struct(F.col("status").alias("new_status")))),
+        entry(ids.where(u % 3 == 0), "UBID_CREATED", u.cast("string"), none),
+        entry(ids.where(u % 10 == 0), "UBID_MERGED", merge, none),
+        entry(ids.where(u % 20 == 0), "MERGE_REVERSED", F.concat(F.lit("r"), u), F.to_json(F.struct(merge.alias("merge_id")))),
+        entry(ids.where(u % 7 == 0), "REVIEW_DECIDED", u.cast("string"), none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _ledger(d: Demo) -> DataFrame:
     """Statuses of all identities as ledger entries in order of id."""
     payload = ledger.canonical(F.struct(F.col("status").alias("new_status"), F.col("ubid").alias("ubid")))
@@ -301,7 +333,7 @@ def _(d):
 
 @query("agg_blocking", sql("SELECT CAST(n AS BIGINT) AS total_records, CAST(p AS BIGINT) AS total_pairs, CAST(n * (n - 1) // 2 AS BIGINT) AS n_squared, printf('%.4f%%', 100.0 * p / greatest(n * (n - 1) // 2, 1)) AS reduction_ratio, a AS anchor, s AS pincode_soundex, x AS pincode_prefix FROM (SELECT count(*) AS n FROM re), (SELECT count(*) AS p, count(*) FILTER (rk = 0) AS a, count(*) FILTER (rk = 1) AS s, count(*) FILTER (rk = 2) AS x FROM pa)", "pa"))
 def _(d):
-    return blocking.statistics(d.records(), blocking.candidate_pairs(_norm(d)))
+    return blocking.statistics(d.records(), blocking.candidate_pairs(_written(d)))
 
 
 @query("agg_decisions", sql("SELECT decision, CAST(count(*) AS BIGINT) AS n FROM sc GROUP BY 1", "sc"))
@@ -309,13 +341,12 @@ def _(d):
     return _scored(d).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query("agg_system", sql("""SELECT (SELECT count(*) FROM re) AS total_records, (SELECT count(*) FROM ma WHERE status = 'ACTIVE') AS active_ubids, 0::BIGINT AS merges, (SELECT count(*) FROM ev) AS events,
+@query("agg_system", sql("""SELECT (SELECT count(*) FROM re) AS total_records, (SELECT count(*) FROM ma WHERE status = 'ACTIVE') AS active_ubids, (SELECT count(*) FROM ma WHERE ubid % 10 = 0 AND ubid % 20 <> 0 AND ubid <> 10) AS merges, (SELECT count(*) FROM ev) AS events,
     count(*) FILTER (status = 'ACTIVE') AS active, count(*) FILTER (status = 'DORMANT') AS dormant, count(*) FILTER (status = 'CLOSED') AS closed,
     (SELECT count(*) FROM rv WHERE decision = 'REVIEW' AND review_status = 'PENDING') AS pending_reviews, (SELECT round(count(*) FILTER (decision = 'AUTO_LINK')::DOUBLE / greatest(count(*), 1), 4) FROM rv) AS auto_link_rate, (SELECT round(avg(score), 3) FROM rv) AS avg_score,
     5::INT AS departments, count(*) AS ledger_entries FROM st""", "st", "rv"))
 def _(d):
-    none = d.spark.createDataFrame([], "reversed boolean")
-    out = named.system_statistics(d.records(), d.masters(), none, d.events(), _status(d), _reviews(d), _ledger(d))
+    out = named.system_statistics(d.records(), d.masters(), _merged(d), d.events(), _status(d), _reviews(d), _ledger(d))
     return out.withColumn("avg_score", F.round("avg_score", 3))
 
 
@@ -351,18 +382,18 @@ def _(d):
 _PAIR = "SELECT a AS record_a_id, b AS record_b_id FROM "
 
 
-def _block(strategy: str, cap: int | None = blocking.CAP) -> Query:
-    return lambda d: blocking._pairs(blocking.keys(_norm(d), strategy), cap).distinct().select(F.col("a").alias("record_a_id"), F.col("b").alias("record_b_id"))
+def _block(strategy: str) -> Query:
+    return lambda d: blocking.strategy_pairs(_norm(d), strategy)
 
 
-query("jn_anchor_blocking", sql("SELECT DISTINCT a AS record_a_id, b AS record_b_id FROM pa0 WHERE rk = 0", "pa"))(_block("ANCHOR", None))
+query("jn_anchor_blocking", sql("SELECT DISTINCT a AS record_a_id, b AS record_b_id FROM pa0 WHERE rk = 0", "pa"))(_block("ANCHOR"))
 query("jn_soundex_blocking", sql("SELECT DISTINCT a AS record_a_id, b AS record_b_id FROM pa0 WHERE rk = 1", "pa"))(_block("PINCODE_SOUNDEX"))
 query("jn_prefix_blocking", sql("SELECT DISTINCT a AS record_a_id, b AS record_b_id FROM pa0 WHERE rk = 2", "pa"))(_block("PINCODE_PREFIX"))
 
 
 @query("set_candidate_pairs", sql("SELECT pair_id, a AS record_a_id, b AS record_b_id, ['ANCHOR', 'PINCODE_SOUNDEX', 'PINCODE_PREFIX'][1 + rk] AS label FROM pa", "pa"))
 def _(d):
-    return blocking.candidate_pairs(_norm(d)).select("pair_id", "record_a_id", "record_b_id", F.col("blocking_keys")[0].alias("label"))
+    return blocking.candidate_pairs(_written(d)).select("pair_id", "record_a_id", "record_b_id", F.col("blocking_keys")[0].alias("label"))
 
 
 @query("sco_pairs", sql("SELECT a AS record_a_id, b AS record_b_id, f1 AS anchor_score, round(f2, 4) AS name_score, round(f3, 4) AS address_score, f4 AS contact_score, round(f5, 4) AS date_proximity_score, round(score, 4) AS score, decision FROM sc", "sc"))
@@ -374,7 +405,7 @@ def _(d):
 @query("sco_field_flags", sql("SELECT a AS record_a_id, b AS record_b_id, lower(na) = lower(nb) AS name_match, lower(na) <> lower(nb) AS name_differs FROM sc", "sc"))
 def _(d):
     same, other = scoring.field_flags(F.col("a.business_name"), F.col("b.business_name"))
-    norm = _norm(d)
+    norm = _written(d)
     return scoring.with_records(blocking.candidate_pairs(norm), norm).select("record_a_id", "record_b_id", same.alias("name_match"), other.alias("name_differs"))
 
 
@@ -397,7 +428,7 @@ _LABELS = """, e AS (SELECT ua AS u, ub AS v FROM lk UNION SELECT ub, ua FROM lk
 
 @query("res_components", sql(_LABELS + " SELECT u AS node, root FROM root", "lk").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n,", ","))
 def _(d):
-    norm = _norm(d)
+    norm = _written(d)
     scored = scoring.score_pairs(blocking.candidate_pairs(norm), norm)
     return resolution.connected_components(resolution.ubid_links(scored, resolution.assign(norm)), "ubid_a", "ubid_b")
 
@@ -407,9 +438,28 @@ def _(d):
     return _merges(d)[1].groupBy("component").agg(F.count("*").alias("merges"))
 
 
-@query("res_merge")
+# one link after the other in each component: the active identity of each node, and its records so far
+_REPLAY = _LABELS + """, nr AS (SELECT ubid, count(*) AS n FROM asg GROUP BY ubid),
+    nd AS (SELECT root AS component, list(u ORDER BY u) AS nodes, list(n ORDER BY u) AS sizes FROM root JOIN nr ON nr.ubid = u GROUP BY root),
+    lo AS (SELECT root AS component, ua, ub, score, a AS ra, b AS rb, row_number() OVER (PARTITION BY root ORDER BY score DESC, a, b) AS rn FROM lk JOIN root ON root.u = ua),
+    rp(component, rn, nodes, sizes, act, steps, w, l, score, ra, rb) AS (
+      SELECT component, 0::BIGINT, nodes, sizes, nodes, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR FROM nd
+      UNION ALL
+      SELECT component, rn, nodes, CASE WHEN w IS NULL THEN sizes ELSE list_transform(range(1, len(nodes) + 1), lambda i: CASE WHEN nodes[i] = w THEN sa + sb ELSE sizes[i] END) END,
+        CASE WHEN w IS NULL THEN act ELSE list_transform(act, lambda x: CASE WHEN x = l THEN w ELSE x END) END, steps + CASE WHEN w IS NULL THEN 0 ELSE 1 END, w, l, score, ra, rb
+      FROM (SELECT *, CASE WHEN aa <> ab THEN CASE WHEN sa >= sb THEN aa ELSE ab END END AS w, CASE WHEN aa <> ab THEN CASE WHEN sa >= sb THEN ab ELSE aa END END AS l
+        FROM (SELECT *, sizes[list_position(nodes, aa)] AS sa, sizes[list_position(nodes, ab)] AS sb
+          FROM (SELECT rp.component, lo.rn, nodes, sizes, act, steps, act[list_position(nodes, ua)] AS aa, act[list_position(nodes, ub)] AS ab, lo.score, lo.ra, lo.rb FROM rp JOIN lo ON lo.component = rp.component AND lo.rn = rp.rn + 1)))),
+    mg AS (SELECT component, CAST(steps - 1 AS INT) AS step, w AS winner, l AS loser, round(score, 4) AS score, ra AS record_a_id, rb AS record_b_id FROM rp WHERE w IS NOT NULL)"""
+
+
+def _recursive(body: str, *ctes: str) -> str:
+    return sql(body, *ctes).replace("WITH ", "WITH RECURSIVE ", 1).replace("\n,", ",")
+
+
+@query("res_merge", _recursive(_REPLAY + " SELECT * FROM mg", "lk"))
 def _(d):
-    return _merges(d)[1]
+    return _merges(d)[1].withColumn("score", F.round("score", 4)).drop("merge_id")
 
 
 @query("res_statistics", sql(_LABELS + " SELECT (SELECT count(*) FROM asg) AS records_assigned, (SELECT count(*) FROM sc WHERE decision = 'AUTO_LINK') AS auto_link_pairs, (SELECT count(*) - count(DISTINCT root) FROM root) AS merges, (SELECT count(DISTINCT ubid) FROM asg) - (SELECT count(*) - count(DISTINCT root) FROM root) AS active_ubids", "lk").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n,", ","))
@@ -427,7 +477,10 @@ def _(d):
     return resolution.active_of(chain)
 
 
-@query("res_repointed_records")
+_CHAINS = """, up(ubid, x, n) AS (SELECT DISTINCT ubid, ubid, 0 FROM asg UNION ALL SELECT up.ubid, mg.winner, n + 1 FROM up JOIN mg ON mg.loser = up.x)"""
+
+
+@query("res_repointed_records", _recursive(_REPLAY + _CHAINS + " SELECT id, e.x AS ubid FROM asg JOIN (SELECT ubid, arg_max(x, n) AS x FROM up GROUP BY ubid) e USING (ubid)", "lk"))
 def _(d):
     masters, merges, assigned = _merges(d)
     return resolution.repoint(assigned, resolution.apply_merges(masters, merges))
@@ -451,16 +504,23 @@ def _(d):
     return _ledger(d).select("ledger_id", "aggregate_id", "prev_hash", "hash")
 
 
-@query("led_verify", sql("SELECT count(*) AS total_entries, 0::BIGINT AS n_errors, true AS verified FROM st", "st"))
+_SPOILT = ", e AS (SELECT row_number() OVER (ORDER BY ubid) AS i FROM st), b AS (SELECT i AS ledger_id, 'hash mismatch' AS error FROM e WHERE i % 50 = 0 AND i % 77 <> 0 UNION ALL SELECT i, 'prev_hash mismatch' FROM e WHERE i > 1 AND (i - 1) % 77 = 0)"
+
+
+def _spoilt(d: Demo) -> DataFrame:
+    """The ledger with each fiftieth payload altered and each seventy-seventh entry gone."""
+    bad = F.when(F.col("ledger_id") % 50 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
+    return _ledger(d).where("ledger_id % 77 <> 0").withColumn("payload", bad)
+
+
+@query("led_verify", sql(_SPOILT + " SELECT 'whole' AS kind, count(*) AS total_entries, 0::BIGINT AS n_errors, true AS verified FROM st UNION ALL SELECT 'spoilt', (SELECT count(*) FROM e WHERE i % 77 <> 0), (SELECT count(*) FROM b), (SELECT count(*) = 0 FROM b)", "st").replace("\n,", ","))
 def _(d):
-    return ledger.verify(_ledger(d))
+    return ledger.verify(_ledger(d)).select(F.lit("whole").alias("kind"), "*").unionByName(ledger.verify(_spoilt(d)).select(F.lit("spoilt").alias("kind"), "*"))
 
 
-@query("led_errors", sql("SELECT CAST(10 AS BIGINT) AS ledger_id, 'hash mismatch' AS error UNION ALL SELECT 21, 'prev_hash mismatch'"))
+@query("led_errors", sql(_SPOILT + " SELECT * FROM b", "st").replace("\n,", ","))
 def _(d):
-    # one payload altered, one entry removed
-    bad = F.when(F.col("ledger_id") == 10, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
-    return ledger.errors(_ledger(d).where("ledger_id <> 20").withColumn("payload", bad)).select("ledger_id", "error")
+    return ledger.errors(_spoilt(d)).select("ledger_id", "error")
 
 
 @query("led_browse", _CHAIN + "SELECT ch.i AS ledger_id, CAST(n.ubid AS VARCHAR) AS aggregate_id, left(hash, 16) AS hash FROM ch JOIN n USING (i) ORDER BY ch.i DESC LIMIT 10 OFFSET 5")
@@ -473,9 +533,10 @@ def _(d):
     return ledger.recent(_ledger(d)).select("ledger_id", "hash")
 
 
-@query("led_recompute", sql("SELECT count(*) AS ledger_entries_replayed, 0::BIGINT AS ubids_created, count(DISTINCT ubid) AS status_changes, 0::BIGINT AS reviews, 0::BIGINT AS net_merges, 0::BIGINT AS live_net_merges, true AS verified FROM st", "st"))
+@query("led_recompute", sql("""SELECT (SELECT count(*) FROM st) + c3 + c10 + c20 + c7 AS ledger_entries_replayed, c3 AS ubids_created, (SELECT count(DISTINCT ubid) FROM st) AS status_changes, c7 AS reviews, c10 - c20 AS net_merges, c10 - c20 - c1 AS live_net_merges, c1 = 0 AS verified
+    FROM (SELECT count(*) FILTER (ubid % 3 = 0) AS c3, count(*) FILTER (ubid % 7 = 0) AS c7, count(*) FILTER (ubid % 10 = 0) AS c10, count(*) FILTER (ubid % 20 = 0) AS c20, count(*) FILTER (ubid = 10) AS c1 FROM ma)""", "st"))
 def _(d):
-    return ledger.recompute(_ledger(d), d.spark.createDataFrame([], "reversed boolean"))
+    return ledger.recompute(_story(d), _merged(d))
 
 
 @query("led_latest_status", sql("SELECT CAST(ubid AS VARCHAR) AS aggregate_id, status FROM st", "st"))
@@ -535,9 +596,11 @@ def _(d):
     t AS (SELECT ubid, unnest(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM m)
     SELECT DISTINCT 'name' AS field, term, ubid FROM t UNION ALL SELECT DISTINCT 'edge_ngram', left(term, n), ubid FROM t, range(2, 16) r(n) WHERE n <= length(term) UNION ALL SELECT DISTINCT 'pincode', pin, ubid FROM m
     UNION ALL SELECT DISTINCT 'variant', unnest(list_filter(string_split_regex(lower(v), '[^a-z0-9]+'), lambda x: x <> '')), ubid FROM (SELECT ubid, unnest(vs) AS v FROM m)
-    UNION ALL SELECT 'anchor', upper(substr(ubid, 10)), ubid FROM m WHERE ubid NOT LIKE 'UBID-INT-%'""", "asg").replace("\n,", ","))
+    UNION ALL SELECT 'anchor', upper(substr(ubid, 10)), ubid FROM m WHERE ubid NOT LIKE 'UBID-INT-%'
+    UNION ALL SELECT DISTINCT 'soundex', CASE WHEN regexp_matches(term, '^[a-z]') THEN upper(left(term, 1)) || rpad(left(replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(upper(left(term, 1)) || regexp_replace(substr(upper(term), 2), '[HW]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW0123456789', '111122222222334556000000000000000000'),
+      '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), 2), '0', ''), 3), 3, '0') ELSE term END, ubid FROM t""", "asg").replace("\n,", ","))
 def _(d):
-    return search.postings(_documents(d)).where("field <> 'soundex'")
+    return search.postings(_documents(d))
 
 
 @query("sea_fuzzy")
@@ -554,6 +617,16 @@ def _(d):
     return _norm(d).select("id", "suffix_stripped", "punct_stripped", "sound", T.locality(F.col("address_locality")).alias("locality"), "valid_pan", "valid_gstin")
 
 
+_ALIASES = sorted((a, k) for k, v in T.LOCALITIES.items() for a in v) + [("somewhere else", "somewhere else"), ("", "")]
+
+
+@query("fn_localities", "SELECT p_partkey AS id, [" + ", ".join(f"'{k}'" for _, k in _ALIASES) + f"][1 + CAST(p_partkey % {len(_ALIASES)} AS INT)] AS locality FROM part")
+def _(d):
+    """All aliases, in capitals and between blanks."""
+    given = F.get(F.array(*[F.lit(f" {a.upper()} ") for a, _ in _ALIASES]), (F.col("p_partkey") % len(_ALIASES)).cast("int"))
+    return d.table("part").select(F.col("p_partkey").alias("id"), T.locality(given).alias("locality"))
+
+
 @query("fn_ratio_native", f"WITH n AS (SELECT DISTINCT p_type AS a FROM part) SELECT x.a AS a, y.a AS b, round({_ratio('x.a', 'y.a')}, 4) AS r FROM n x, n y WHERE x.a <= y.a")
 def _(d):
     types = d.table("part").select(F.col("p_type").alias("a")).distinct()
@@ -581,22 +654,43 @@ def _(d):
     return d.records().select("id", T.content_hash(*map(F.col, ("source_system", "business_name", "address_pincode", "pan", "gstin"))).alias("content_hash"))
 
 
-@query("fn_masks", sql("SELECT id, CASE WHEN length(pan) >= 5 THEN 'XXX' || substr(pan, 4, 2) || 'XXXX' || right(pan, 1) END AS pan, CASE WHEN length(gstin) >= 6 THEN 'XX' || substr(gstin, 3, 2) || 'XXXXXXXXXXX' END AS gstin, CASE WHEN length(phone) >= 4 THEN '+91XXXXXXXX' || right(phone, 2) END AS phone, repeat('x', least(instr(email, '@') - 1, 8)) || substr(email, instr(email, '@')) AS email, 'SRC-' || upper(left(md5(source_record_id), 8)) AS source_record_id FROM re", "re"))
+@query("fn_masks", sql("SELECT id, CASE WHEN length(pan) >= 5 THEN 'XXX' || substr(pan, 4, 2) || 'XXXX' || right(pan, 1) END AS pan, CASE WHEN length(gstin) >= 6 THEN 'XX' || substr(gstin, 3, 2) || 'XXXXXXXXXXX' END AS gstin, CASE WHEN length(phone) >= 4 THEN '+91XXXXXXXX' || right(phone, 2) END AS phone, repeat('x', least(instr(email, '@') - 1, 8)) || substr(email, instr(email, '@')) AS email, 'SRC-' || upper(left(md5(source_record_id), 8)) AS source_record_id, source_system, address_pincode, address_city, address_district, registration_date FROM re", "re"))
 def _(d):
-    return pii.sanitized(d.records()).select("id", "pan", "gstin", "phone", "email", "source_record_id")
+    return pii.sanitized(d.records()).select("id", "pan", "gstin", "phone", "email", "source_record_id", "source_system", "address_pincode", "address_city", "address_district", "registration_date")
 
 
-@query("fn_no_pii_left", sql("SELECT id, CAST(0 AS INT) AS n FROM re", "re"))
+@query("fn_no_pii_left", sql("""SELECT id, leak, array_to_string(list_filter([CASE WHEN leak = 1 AND length(business_name) > 3 THEN 'name' END, CASE WHEN leak = 2 AND length(phone) > 6 THEN 'phone' END, CASE WHEN leak = 3 AND length(split_part(email, '@', 1)) > 3 THEN 'email' END,
+    CASE WHEN leak IN (4, 5) AND length(pan) = 10 AND (leak = 4 OR length(gstin) = 15) THEN 'pan' END, CASE WHEN leak = 5 AND length(gstin) = 15 THEN 'gstin' END], lambda x: x IS NOT NULL), ',') AS kinds FROM re, range(6) r(leak)""", "re"))
 def _(d):
+    """What is found in sanitised records (leak 0), and in those into which one raw value was put, in other case or form."""
     clean = pii.sanitized(d.records())
-    rows = clean.select("id", F.to_json(F.struct(*clean.columns[1:])).alias("payload")).join(d.records().select("id", "business_name", "phone", "email", "pan", "gstin"), "id")
-    return rows.select("id", F.size(pii.violations(*map(F.col, ("payload", "business_name", "phone", "email", "pan", "gstin")))).cast("int").alias("n"))
+    raw = d.records().select("id", "business_name", "phone", "email", "pan", "gstin")
+    rows = clean.select("id", F.to_json(F.struct(*clean.columns[1:])).alias("payload")).join(raw, "id").withColumn("leak", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    bare = F.regexp_replace(F.replace("phone", F.lit("+91")), "[ -]", "")
+    put = F.when(F.col("leak") == 1, F.upper("business_name")).when(F.col("leak") == 2, bare).when(F.col("leak") == 3, F.upper(F.split_part("email", F.lit("@"), F.lit(1)))).when(F.col("leak") == 4, F.col("pan")).when(F.col("leak") == 5, F.col("gstin"))
+    payload = F.concat_ws(" ", "payload", put)
+    kinds = pii.violations(payload, *map(F.col, ("business_name", "phone", "email", "pan", "gstin")))
+    return rows.select("id", "leak", F.array_join(kinds, ",").alias("kinds"))
 
 
-@query("fn_explanation")
+_PCT = lambda c: f"CAST(CAST(round_even({c} * 100, 0) AS INT) AS VARCHAR) || '%'"
+_EXPLAINED = f"""concat_ws(' ', CASE WHEN f1 >= 1 THEN 'These records share an exact PAN or GSTIN match, which is the strongest signal of identity equivalence.' WHEN f1 < 0 THEN 'WARNING: These records have conflicting anchors (different valid PAN or GSTIN), which is a strong signal they are different businesses.' WHEN f1 = 0 THEN 'Neither record has a matching anchor identifier (PAN/GSTIN), so the match depends entirely on other features.' END,
+    CASE WHEN f2 >= 0.9 THEN 'The business names are highly similar (score: ' || {_PCT("f2")} || '), suggesting they refer to the same entity with minor spelling or formatting differences.'
+      WHEN f2 >= 0.7 THEN 'The business names show moderate similarity (score: ' || {_PCT("f2")} || '). Differences may include suffix variations (Pvt Ltd vs Private Limited), abbreviations, or transliteration.'
+      WHEN f2 >= 0.4 THEN 'The business names have limited similarity (score: ' || {_PCT("f2")} || '), which could indicate a legitimate match with significant name changes, or two different businesses.'
+      ELSE 'The business names are quite different (score: ' || {_PCT("f2")} || '), which reduces confidence in a match.' END,
+    CASE WHEN f3 >= 0.8 THEN 'The addresses are a strong match (score: ' || {_PCT("f3")} || '), with matching pincode and locality.' WHEN f3 >= 0.5 THEN 'The addresses partially match (score: ' || {_PCT("f3")} || '). The pincode or locality may differ slightly.' ELSE 'The addresses show limited similarity (score: ' || {_PCT("f3")} || ').' END,
+    CASE WHEN f4 >= 0.8 THEN 'Contact information (phone or email) matches, adding confidence to the identity link.' WHEN f4 > 0 THEN 'Partial contact match detected (score: ' || {_PCT("f4")} || ').' END,
+    CASE WHEN f5 >= 0.8 THEN 'Registration dates are close together, consistent with the same business registering across departments in a similar timeframe.' END, '',
+    CASE decision WHEN 'AUTO_LINK' THEN 'RECOMMENDATION: Auto-link (score: ' || {_PCT("score")} || '). The evidence strongly supports these being the same business.'
+      WHEN 'REVIEW' THEN 'RECOMMENDATION: Human review required (score: ' || {_PCT("score")} || '). The evidence is suggestive but not conclusive.' ELSE 'RECOMMENDATION: Hold separate (score: ' || {_PCT("score")} || '). Insufficient evidence for a match.' END)"""
+
+
+@query("fn_explanation", sql(f"SELECT pair_id, {_EXPLAINED} AS explanation FROM (SELECT pair_id, decision, f1, f4, round(f2, 6) AS f2, round(f3, 6) AS f3, round(f5, 6) AS f5, round(score, 6) AS score FROM sc)", "sc"))
 def _(d):
-    cols = [F.col(c) for c in scoring.FEATURES]
-    return _scored(d).select("pair_id", pii.explanation(*cols, F.col("score"), F.col("decision")).alias("explanation"))
+    # sums in another order differ in the last digit
+    cols = [F.round(c, 6) for c in (*scoring.FEATURES, "score")]
+    return _scored(d).select("pair_id", pii.explanation(*cols, F.col("decision")).alias("explanation"))
 
 
 @query("fn_json_dates", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') AS INT) AS age, strftime(ts, '%Y-%m') AS month FROM events")
@@ -666,33 +760,36 @@ def _(d):
     return adapters.accepted(drops, secret)[0].select("event_id", F.lit(True).alias("ok"))
 
 
-def _events_stream(d: Demo) -> DataFrame:
-    """The table of events, as a folder that a stream reads from."""
-    rows = materialise(d.table("events").withColumn("event_time", F.col("ts").cast("timestamp")).select("event_id", "event_time", "user_id", "event_type", "value"), "stream")
-    folder = rows.inputFiles()[0].rsplit("/", 1)[0] if rows.inputFiles() else None
-    return d.spark.readStream.schema(rows.schema).parquet(folder)
+def _closed(d: Demo, make: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """What a stream over the table of events appends: first all of it, then a tenth of its events again, which are late by then and must not count."""
+    root = f"{shared_dir(d.spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    rows = d.table("events").withColumn("event_time", F.col("ts").cast("timestamp")).select("event_id", "event_time", "user_id", "event_type", "value")
+    late = rows.where("event_id % 10 = 0").join(rows.agg(F.max("event_time").alias("last"))).where("event_time < last - INTERVAL 3 DAYS").select(F.expr("-event_id").alias("event_id"), *rows.columns[1:])
+    for part in (rows, late):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = jobs.run_to_end(make(d.spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/state")
+    return out
 
 
-def _ends(d: Demo, stream: DataFrame, tag: str, mode: str) -> DataFrame:
-    root = f"{shared_dir(d.spark)}/tessera/{tag}-{datetime.now().timestamp():.6f}"
-    return jobs.run_to_end(stream, f"{root}/out", f"{root}/state", mode)
+_WATERMARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
-@query("stm_tumbling", "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+@query("stm_tumbling", f"SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {_WATERMARK} GROUP BY ALL")
 def _(d):
-    out = _ends(d, jobs.windowed(_events_stream(d), "event_time", "event_type", "value"), "tumbling", "complete")
+    out = _closed(d, lambda s: jobs.windowed(s, "event_time", "event_type", "value"), "tumbling")
     return out.select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("stm_sliding", "SELECT CAST(ts_h + h * INTERVAL 1 HOUR AS VARCHAR) AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS ts_h, * FROM events), (SELECT unnest([0, -6]) AS h) GROUP BY ALL")
+@query("stm_sliding", f"SELECT CAST(ts_h + h * INTERVAL 1 HOUR AS VARCHAR) AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS ts_h, * FROM events), (SELECT unnest([0, -6]) AS h) WHERE ts_h + h * INTERVAL 1 HOUR + INTERVAL 12 HOUR <= {_WATERMARK} GROUP BY ALL")
 def _(d):
-    out = _ends(d, jobs.windowed(_events_stream(d), "event_time", "event_type", "value", "12 hours", "6 hours"), "sliding", "complete")
+    out = _closed(d, lambda s: jobs.windowed(s, "event_time", "event_type", "value", "12 hours", "6 hours"), "sliding")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-@query("stm_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("stm_sessions", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {_WATERMARK}""")
 def _(d):
-    out = _ends(d, jobs.sessions(_events_stream(d), "event_time", "user_id", "6 hours"), "sessions", "complete")
+    out = _closed(d, lambda s: jobs.sessions(s, "event_time", "user_id", "6 hours"), "sessions")
     return out.select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
@@ -703,7 +800,7 @@ def _(d):
     return out.select("source_system", F.unix_timestamp("last_beat").alias("last_beat"), "state")
 
 
-@query("stm_routing", sql("SELECT CASE decision WHEN 'AUTO_LINK' THEN 'resolution.auto-link' WHEN 'REVIEW' THEN 'resolution.review-queue' ELSE 'resolution.hold-separate' END AS topic, count(*) AS n FROM sc GROUP BY 1", "sc"))
+@query("stm_routing", sql("SELECT CASE decision WHEN 'AUTO_LINK' THEN 'resolution.auto-link' WHEN 'REVIEW' THEN 'resolution.review-queue' ELSE 'resolution.hold-separate' END AS topic, pair_id FROM sc", "sc"))
 def _(d):
     rows = materialise(_scored(d).select("pair_id", "decision", "score"), "routes")
     root = f"{shared_dir(d.spark)}/tessera/routing-{datetime.now().timestamp():.6f}"
@@ -711,19 +808,19 @@ def _(d):
     jobs.route_decisions(stream, root, f"{root}/state").awaitTermination()
     out = None
     for t in jobs.ROUTES.values():
-        part = d.spark.read.schema("pair_id string, decision string, score double, batch int").json(f"{root}/{t}").agg(F.count("*").alias("n")).select(F.lit(t).alias("topic"), "n")
+        part = d.spark.read.schema("pair_id string, decision string, score double, batch int").json(f"{root}/{t}").select(F.lit(t).alias("topic"), "pair_id")
         out = part if out is None else out.unionByName(part)
-    return out.where("n > 0")
+    return out
 
 
 # ---- plain filters, joins, sinks -----------------------------------------------------------------------------------
 
 
-@query("fil_predicates", sql(f"""SELECT 'equal' AS kind, count(*) AS n FROM ma WHERE status = 'ACTIVE' UNION ALL SELECT 'null', count(*) FROM st WHERE ls IS NULL UNION ALL SELECT 'in', count(*) FROM ev WHERE event_type IN ('INSPECTION', 'TAX_PAYMENT')
-    UNION ALL SELECT 'ilike', count(*) FROM ma WHERE primary_name ILIKE '%C_STOMER%7%' UNION ALL SELECT 'range', count(*) FROM ev WHERE event_date BETWEEN {_REF} - 548 AND {_REF} UNION ALL SELECT 'lower', count(*) FROM ev WHERE event_date >= {_REF} - 540
-    UNION ALL SELECT 'either', count(*) FROM ev WHERE signal_class = 'CLOSURE' OR event_type = 'INSPECTION'""", "st"))
+@query("fil_predicates", sql(f"""SELECT 'equal' AS kind, ubid AS id FROM ma WHERE status = 'ACTIVE' UNION ALL SELECT 'null', ubid FROM st WHERE ls IS NULL UNION ALL SELECT 'in', id FROM ev WHERE event_type IN ('INSPECTION', 'TAX_PAYMENT')
+    UNION ALL SELECT 'ilike', ubid FROM ma WHERE primary_name ILIKE '%C_STOMER%7%' UNION ALL SELECT 'range', id FROM ev WHERE event_date BETWEEN {_REF} - 548 AND {_REF} UNION ALL SELECT 'lower', id FROM ev WHERE event_date >= {_REF} - 540
+    UNION ALL SELECT 'either', id FROM ev WHERE signal_class = 'CLOSURE' OR event_type = 'INSPECTION'""", "st"))
 def _(d):
-    ev, ma, st = d.events(), d.masters(), _status(d)
+    ev, ma, st = d.events(), d.masters().withColumnRenamed("ubid", "id"), _status(d).withColumnRenamed("ubid", "id")
     ref = F.lit(REF)
     rows = {
         "equal": ma.where("status = 'ACTIVE'"),
@@ -734,10 +831,10 @@ def _(d):
         "lower": ev.where(F.col("event_date") >= F.date_sub(ref, 540)),
         "either": ev.where((F.col("signal_class") == "CLOSURE") | (F.col("event_type") == "INSPECTION")),
     }
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in rows.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for k, df in rows.items():
+        one = df.select(F.lit(k).alias("kind"), F.col("id").cast("bigint").alias("id"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -782,15 +879,16 @@ def _(d):
     return s.read("t")
 
 
-@query("qry_identity_detail", sql("SELECT 'sources' AS part, count(*) AS n FROM sr WHERE ubid = 7 UNION ALL SELECT 'timeline', least(count(*), 50) FROM (SELECT * FROM w JOIN st USING (ubid) WHERE ubid = 7) UNION ALL SELECT 'edges', count(*) * (count(*) - 1) // 2 FROM sr WHERE ubid = 7 UNION ALL SELECT 'identity', 1 UNION ALL SELECT 'merges', 0", "st", "sr"))
+@query("qry_identity_detail", sql("""SELECT 'sources' AS part, CAST(record_id AS VARCHAR) AS what FROM sr WHERE ubid = 20 UNION ALL SELECT 'timeline', CAST(id AS VARCHAR) FROM (SELECT w.id FROM w JOIN st USING (ubid) WHERE ubid = 20 ORDER BY event_date DESC, w.id LIMIT 50)
+    UNION ALL SELECT 'edges', x.record_id || '-' || y.record_id FROM sr x JOIN sr y ON x.ubid = 20 AND y.ubid = 20 AND x.record_id < y.record_id UNION ALL SELECT 'identity', primary_name FROM ma WHERE ubid = 20 UNION ALL SELECT 'merges', 'm20'""", "st", "sr"))
 def _(d):
     lines = activity.timeline(d.events(), _status(d), REF)
-    none = d.spark.createDataFrame([], "merge_id string, winner bigint, loser bigint, decided_at timestamp")
     records = d.events().select("id", F.col("event_type").alias("what"))
-    parts = named.identity_detail(7, d.masters(), lines, d.source_records(), records, none)
+    parts = named.identity_detail(20, d.masters(), lines, d.source_records(), records, _merged(d))
+    shown = {"sources": F.col("record_id"), "timeline": F.col("id"), "edges": F.concat_ws("-", "source", "target"), "identity": F.col("primary_name"), "merges": F.col("merge_id")}
     out = None
     for k, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n")
+        one = df.select(F.lit(k).alias("part"), shown[k].cast("string").alias("what"))
         out = one if out is None else out.unionByName(one)
     return out
 
