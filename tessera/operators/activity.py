@@ -87,6 +87,13 @@ def join_events(events: DataFrame, source_records: DataFrame, records: DataFrame
     return known.unionByName(found.withColumn("ubid", F.coalesce("ubid_r", "ubid_g")).drop("ref", "gt", "ubid_r", "ubid_g"))
 
 
+def join_counts(events: DataFrame, joined: DataFrame) -> DataFrame:
+    """One row on join_events(): events that had no identity, how many of them got one, and how many didn't."""
+    open_ = events.agg(F.count_if(F.col("ubid").isNull()).alias("open"))
+    left = joined.agg(F.count_if(F.col("ubid").isNull()).alias("unmatched"))
+    return open_.join(left).select("open", (F.col("open") - F.col("unmatched")).alias("joined"), "unmatched")
+
+
 def upsert(old: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
     """The next snapshot of statuses: new rows replace old ones of their key; status_since moves only where the status changed."""
     o = old.select("ubid", *[F.col(c).alias(f"old_{c}") for c in old.columns if c != "ubid"])

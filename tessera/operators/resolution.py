@@ -67,6 +67,40 @@ def ubid_links(scored: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.where("ubid_a <> ubid_b").select("ubid_a", "ubid_b", "score", "record_a_id", "record_b_id")
 
 
+#: Links of a component that one task sees at first.
+LINKS_A_TASK = 50_000
+
+
+def _forest(rows: DataFrame, most: int = LINKS_A_TASK) -> DataFrame:
+    """Of components of over `most` links, those that can merge anything: parts of such a component go without the links whose ends stronger links of their part connect already. The replay skips these too, so nothing changes but the size of what it gets: a few links for each identity."""
+    sizes = rows.groupBy("component").count().where(F.col("count") > most)
+    large = materialise(sizes.select("component", F.ceil(F.col("count") / most).alias("parts")), "large")
+    if large.isEmpty():
+        return rows
+
+    def strongest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "record_a_id", "record_b_id"], ascending=[False, True, True], kind="stable")
+        up: dict[str, str] = {}
+
+        def root(u: str) -> str:
+            while (v := up.get(u, u)) != u:
+                up[u] = up.get(v, v)
+                u = v
+            return u
+
+        keep = []
+        for a, b in zip(pdf["ubid_a"], pdf["ubid_b"], strict=True):
+            x, y = root(a), root(b)
+            keep.append(x != y)
+            up[y] = x
+        return pdf[keep]
+
+    schema = rows.schema
+    part = F.pmod(F.xxhash64("record_a_id", "record_b_id"), F.col("parts"))
+    cut = rows.join(F.broadcast(large), "component").withColumn("part", part).groupBy("component", "part").applyInPandas(lambda pdf: strongest(pdf)[schema.names], schema)
+    return rows.join(F.broadcast(large), "component", "left_anti").unionByName(cut)
+
+
 def merge(links: DataFrame, counts: DataFrame) -> DataFrame:
     """Links (score, then records decide the order) and records an identity (ubid, n_records) to merges in order: component, step, winner, loser, score, record_a_id, record_b_id. The side with more records wins, side a if equal."""
     links = materialise(links, "links")
@@ -75,6 +109,8 @@ def merge(links: DataFrame, counts: DataFrame) -> DataFrame:
     rows = links.join(roots.select(F.col("node").alias("ubid_a"), F.col("root").alias("component")), "ubid_a")
     rows = rows.join(n.select(F.col("ubid").alias("ubid_a"), F.col("n_records").alias("n_a")), "ubid_a", "left").join(n.select(F.col("ubid").alias("ubid_b"), F.col("n_records").alias("n_b")), "ubid_b", "left")
 
+    rows = _forest(rows)
+
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "record_a_id", "record_b_id"], ascending=[False, True, True], kind="stable")
         size = dict(zip(pdf["ubid_a"], pdf["n_a"].fillna(0), strict=True)) | dict(zip(pdf["ubid_b"], pdf["n_b"].fillna(0), strict=True))

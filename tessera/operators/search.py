@@ -76,23 +76,37 @@ def _entries(field: str, terms: Column) -> Column:
 
 
 def fuzzy_search(index: DataFrame, docs: DataFrame, q: str, filters: dict[str, str] | None = None, limit: int = 20) -> DataFrame:
-    """Identities by the best boosted field that one of the query's words meets; words and variants may differ by 0, 1 or 2 edits as they have up to 2, up to 5, or more letters."""
-    asked = [w for w in "".join(c.lower() if c.isalnum() else " " for c in q).split()]
+    """(ubid, relevance) of identities that one of the query's words meets, the best first.
+
+    Words of names and variants may differ by 0, 1 or 2 edits as the query's word has up to 2, up to 5, or more letters.
+    A field's score is the sum over the query's words of the best term met: the field's boost, times how rare the term is
+    (ln(1 + (N - n + 0.5) / (n + 0.5)) for n of N identities), less the share of the word's letters that are edited. The
+    best field counts. Filters keep the identities with the values given.
+    """
+    asked = list(dict.fromkeys("".join(c.lower() if c.isalnum() else " " for c in q).split()))
     if not asked:
         return docs.limit(0).select("ubid", F.lit(0.0).alias("relevance"))
-    hits = None
+    each = None
     for w in asked:
-        edits = 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
-        near = F.col("field").isin("name", "variant") & (F.levenshtein("term", F.lit(w), edits) >= 0)
-        same = (F.col("field") == "edge_ngram") & (F.col("term") == w[:15])
-        sound = (F.col("field") == "soundex") & (F.col("term") == F.soundex(F.lit(w)))
-        exact = F.col("field").isin("anchor", "pincode") & (F.col("term") == w.upper())
-        hit = near | same | sound | exact
-        hits = hit if hits is None else hits | hit
-    boost = None
-    for field, by in BOOSTS.items():
-        boost = F.when(F.col("field") == field, by) if boost is None else boost.when(F.col("field") == field, by)
-    found = index.where(hits).groupBy("ubid").agg(F.max(boost).alias("relevance"))
+        most = 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+        edits = F.levenshtein("term", F.lit(w), most)
+        field = F.col("field")
+        far = (
+            F.when(field.isin("name", "variant") & (edits >= 0), edits)
+            .when((field == "edge_ngram") & (F.col("term") == w[:15]), 0)
+            .when((field == "soundex") & (F.col("term") == F.soundex(F.lit(w))), 0)
+            .when(field.isin("anchor", "pincode") & (F.col("term") == w.upper()), 0)
+        )
+        one = F.when(far.isNotNull(), F.struct(F.lit(w).alias("word"), (1 - far / F.lit(float(len(w)))).alias("near")))
+        each = [one] if each is None else [*each, one]
+    boost = F.try_element_at(F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv]), F.col("field"))
+    hits = index.select("field", "term", "ubid", F.explode(F.array_compact(F.array(*each))).alias("hit")).select("field", "term", "ubid", "hit.word", "hit.near")
+    # all postings of a term that is met are among the hits
+    known = hits.groupBy("field", "term").agg(F.count_distinct("ubid").alias("n"))
+    total = docs.agg(F.count("*").alias("total"))
+    rare = F.log1p((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    scored = hits.join(known.join(F.broadcast(total)), ["field", "term"]).select("ubid", "field", "word", (boost * rare * F.col("near")).alias("s"))
+    found = scored.groupBy("ubid", "field", "word").agg(F.max("s").alias("s")).groupBy("ubid", "field").agg(F.sum("s").alias("s")).groupBy("ubid").agg(F.max("s").alias("relevance"))
     rows = docs
     for column, value in (filters or {}).items():
         rows = rows.where(F.col(column) == value)

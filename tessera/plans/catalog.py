@@ -220,13 +220,22 @@ def _(d):
 
 @query("act_join_events", sql("SELECT e.id, coalesce(s.ubid, g.ubid) AS ubid, e.event_date FROM ev e LEFT JOIN (SELECT record_id, max(ubid) AS ubid FROM sr GROUP BY 1) s ON e.id % 3 <> 0 AND s.record_id = e.id LEFT JOIN (SELECT record_id % 1000 AS gt, arg_max(ubid, record_id) AS ubid FROM sr GROUP BY 1) g ON g.gt = e.id % 1000", "ev", "sr"))
 def _(d):
+    return _joined(d)[1].select("id", "ubid", "event_date")
+
+
+@query("act_join_counts", sql("SELECT count(*) AS open, count(u) AS joined, count(*) - count(u) AS unmatched FROM (SELECT e.id, coalesce(s.ubid, g.ubid) AS u FROM ev e LEFT JOIN (SELECT record_id, max(ubid) AS ubid FROM sr GROUP BY 1) s ON e.id % 3 <> 0 AND s.record_id = e.id LEFT JOIN (SELECT record_id % 1000 AS gt, arg_max(ubid, record_id) AS ubid FROM sr GROUP BY 1) g ON g.gt = e.id % 1000)", "ev", "sr"))
+def _(d):
+    return activity.join_counts(*_joined(d))
+
+
+def _joined(d: Demo) -> tuple[DataFrame, DataFrame]:
     # events without identities, with a payload that names a record (two of three) and a ground-truth id
     ref = F.when(F.col("id") % 3 != 0, F.col("id").cast("string"))
     payload = F.to_json(F.struct(ref.alias("record_ref"), (F.col("id") % 1000).cast("string").alias("business_gt_id")))
     events = d.events().withColumns({"payload": payload, "ubid": F.lit(None).cast("bigint")})
     sources = d.source_records().withColumn("id", F.col("record_id"))
     records = sources.select(F.col("record_id").alias("id"), (F.col("record_id") % 1000).cast("string").alias("gt_id"))
-    return activity.join_events(events, sources, records).select("id", "ubid", "event_date")
+    return events, activity.join_events(events, sources, records)
 
 
 _OLD = "o AS (SELECT ubid, CASE WHEN ubid % 3 = 0 THEN 'ACTIVE' ELSE status END AS status FROM st WHERE ubid % 5 <> 0 UNION ALL SELECT -1, 'DORMANT')"
@@ -603,10 +612,19 @@ def _(d):
     return search.postings(_documents(d))
 
 
-@query("sea_fuzzy")
+_EDITS = lambda w: 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
+_FAR = lambda w: f"CASE WHEN field IN ('name', 'variant') AND levenshtein(term, '{w}') <= {_EDITS(w)} THEN levenshtein(term, '{w}') WHEN field = 'edge_ngram' AND term = '{w}' THEN 0 WHEN field = 'pincode' AND term = '{w}' THEN 0 WHEN field = 'soundex' AND term = '{{}}' THEN 0 END"
+_BOOST = "CASE field " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in search.BOOSTS.items()) + " END"
+_WORDS = {"blu": "B400", "chocolat": "C243"}
+
+
+@query("sea_fuzzy", ORACLES["sea_postings"].replace("SELECT DISTINCT 'name' AS field, term, ubid FROM t", ", po(field, term, ubid) AS (SELECT DISTINCT 'name', term, ubid FROM t", 1) + "), h AS (" + " UNION ALL ".join(f"SELECT field, term, ubid, '{w}' AS word, 1 - ({_FAR(w).format(s)}) / {float(len(w))}::DOUBLE AS near FROM po" for w, s in _WORDS.items()) + f"""),
+    hh AS (SELECT * FROM h WHERE near IS NOT NULL), k AS (SELECT field, term, count(DISTINCT ubid) AS n FROM hh GROUP BY ALL),
+    s AS (SELECT ubid, field, word, max({_BOOST} * ln(1 + ((SELECT count(*) FROM m) - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) * near) AS s FROM hh JOIN k USING (field, term) GROUP BY ALL)
+    SELECT ubid, round(max(s), 6) AS relevance FROM (SELECT ubid, field, sum(s) AS s FROM s GROUP BY ALL) GROUP BY ubid""")
 def _(d):
     docs = _documents(d)
-    return search.fuzzy_search(search.postings(docs), docs, "blu", limit=50)
+    return search.fuzzy_search(materialise(search.postings(docs), "postings"), docs, " ".join(_WORDS), limit=2**31 - 1).withColumn("relevance", F.round("relevance", 6))
 
 
 # ---- functions -----------------------------------------------------------------------------------------------------
@@ -731,6 +749,13 @@ def _(d):
     return evaluation.calibration(_linear(d)).withColumns({c: F.round(c, 4) for c in ("mean_predicted", "fraction_positive")})
 
 
+@query("ml_split", sql("SELECT label, part, CAST(CASE part WHEN 'train' THEN floor(n * 0.8::DOUBLE + 0.5) ELSE n - floor(n * 0.8::DOUBLE + 0.5) END AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM sc GROUP BY 1), (SELECT unnest(['train', 'test']) AS part)", "sc"))
+def _(d):
+    parts = evaluation.split(evaluation.labelled(_features(d)))
+    out = [p.groupBy("label").agg(F.count("*").alias("n")).select("label", F.lit(n).alias("part"), "n") for n, p in zip(("train", "test"), parts, strict=True)]
+    return out[0].unionByName(out[1])
+
+
 @query("ml_train")
 def _(d):
     model, _ = evaluation.train(materialise(_features(d), "features"))

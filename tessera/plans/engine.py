@@ -23,7 +23,9 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, ref: date, now: datetime | None = None) -> None:
         self.spark, self.store, self.ref = spark, Store(spark, f"{root}/tables"), ref
         self.now = now or datetime.combine(ref, datetime.min.time())
-        self.models = evaluation.Registry(f"{root}/models")
+        #: Of the last run of run_activity(): events that were open, joined, unmatched.
+        self.last_join: dict[str, int] = {}
+        self.models = evaluation.Registry(spark, f"{root}/models")
 
     def t(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -71,7 +73,9 @@ class Engine:
 
     def run_activity(self) -> DataFrame:
         masters = self.t("ubid_master")
-        events = activity.join_events(self.t("activity_events"), self.t("ubid_source_records"), self.t("business_records"))
+        given = self.t("activity_events")
+        events = materialise(activity.join_events(given, self.t("ubid_source_records"), self.t("business_records")), "joined")
+        self.last_join = activity.join_counts(given, events).first().asDict()
         events = resolution.repoint(events, masters)  # events of a merged identity count for the one that it became
         old = self.t("activity_status_current")
         new = materialise(activity.status(events, masters, self.ref), "status")

@@ -192,7 +192,7 @@ def test_train_promote_rollback(spark, tmp_path):
     df = spark.createDataFrame(rows, "pair_id string, a struct<gt_id:string>, b struct<gt_id:string>, " + ", ".join(f"{f} double" for f in scoring.FEATURES))
     model, found = evaluation.train(df)
     assert found["pr_auc"] > 0.97 and found["roc_auc"] > 0.97 and found["false_merge_rate"] < 0.05
-    reg = evaluation.Registry(str(tmp_path))
+    reg = evaluation.Registry(spark, str(tmp_path))
     reg.register(model.version, model, found)
     assert reg.active() == reg.DEFAULT and reg.load() is None
     reg.promote(model.version)
