@@ -25,7 +25,9 @@ from tessera.plans.shared import materialise
 
 COMMON = 0.005
 #: Code points and words under which a text isn't judged by a histogram.
-MIN_CHARS, MIN_WORDS = 400, 50
+MIN_CHARS, MIN_WORDS = 200, 50
+#: What chance alone puts between a text and its reference falls with the root of its length (about 1.34 / sqrt(n) for the classes): texts under STEADY code points are given what they stray more than those.
+STEADY, STRAY = 400, 1.34
 #: Code points and words that a reference must rest on.
 EVIDENCE_CHARS, EVIDENCE_WORDS = 10_000, 2_000
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
@@ -195,6 +197,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     by_class = F.when((n_chars >= MIN_CHARS) & F.col("class_ref").isNotNull(), distance(mine, F.col("class_ref")))
     by_word = F.when((F.col("n_words") >= MIN_WORDS) & F.col("word_ref").isNotNull(), distance(rest(of_words), rest(F.transform("word_ref", lambda r: r["share"]))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"))
-    diverges = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    strays = STRAY * (1 / F.sqrt(F.greatest(F.lit(1), F.least(n_chars, F.lit(STEADY)))) - 1 / STEADY**0.5)
+    limit = MAX_CLASS_DISTANCE + F.coalesce(strays, F.lit(0.0))
+    base = [F.col(c) for c in (key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    out = out.select(*base, failed.alias("base_failed"), by_class.alias("class_distance"), by_word.alias("word_distance"), limit.alias("_limit"))
+    diverges = (F.coalesce("class_distance", F.lit(0.0)) > F.col("_limit")) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return out.select(*out.columns[:7], (~F.col("base_failed") & ~diverges).alias("kept"), "class_distance", "word_distance")

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,21 @@ def test_documents_are_repeated(spark):
     got, taken, _ = check(spark, some)
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got)
+
+
+def test_sizes_and_targets_against_sql(spark, sf):
+    """size, source_size and target of all documents, in DuckDB's SQL: shares by weight, what a source can't take (over three times its size) reshared until none is above."""
+    sql = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        src AS (SELECT source, sum(size)::DOUBLE AS z, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        fix AS (SELECT 0 AS k, list(source ORDER BY source NULLS LAST) AS s, list(z ORDER BY source NULLS LAST) AS z, list(w ORDER BY source NULLS LAST) AS w, list(false ORDER BY source NULLS LAST) AS f FROM src
+          UNION ALL SELECT k + 1, s, z, w, list_transform(range(1, len(z) + 1), lambda i: f[i] OR w[i] * (list_sum(z) - coalesce(list_sum(list_transform(range(1, len(z) + 1), lambda j: CASE WHEN f[j] THEN 3 * z[j] ELSE 0 END)), 0)) / greatest(list_sum(list_transform(range(1, len(z) + 1), lambda j: CASE WHEN f[j] THEN 0 ELSE w[j] END)), 1) > 3 * z[i]) FROM fix WHERE k < 40),
+        en AS (SELECT *, list_sum(z) - coalesce(list_sum(list_transform(range(1, len(z) + 1), lambda j: CASE WHEN f[j] THEN 3 * z[j] ELSE 0 END)), 0) AS rest, greatest(list_sum(list_transform(range(1, len(z) + 1), lambda j: CASE WHEN f[j] THEN 0 ELSE w[j] END)), 1) AS ws FROM fix WHERE k = 40),
+        tg AS (SELECT unnest(s) AS source, unnest(z) AS z, unnest(list_transform(range(1, len(z) + 1), lambda i: CASE WHEN f[i] THEN 3 * z[i] ELSE w[i] * rest / ws END)) AS t FROM en)
+        SELECT doc_id, size, tg.z, tg.t FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source""".replace("WITH d", "WITH RECURSIVE d", 1)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    got = mixing.one_source(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["size"], r["source_size"]) == want[r["doc_id"]][:2] and r["target"] == pytest.approx(want[r["doc_id"]][2], rel=1e-9)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tessera.llm import rules
@@ -68,7 +69,8 @@ def test_judge_matches_brute_force(spark):
             by_word = jensen_shannon([*p, max(0, 1 - sum(p))], [*q, max(0, 1 - sum(q))])
         assert r["class_distance"] == (None if by_class is None else pytest.approx(by_class, abs=1e-6))
         assert r["word_distance"] == (None if by_word is None else pytest.approx(by_word, abs=1e-6))
-        assert r["kept"] == (not r["base_failed"] and (by_class or 0) <= rules.MAX_CLASS_DISTANCE and (by_word or 0) <= rules.MAX_WORD_DISTANCE)
+        limit = rules.MAX_CLASS_DISTANCE + (rules.STRAY * (len(t) ** -0.5 - rules.STEADY**-0.5) if 0 < len(t or "") < rules.STEADY else 0)
+        assert r["kept"] == (not r["base_failed"] and (by_class or 0) <= limit and (by_word or 0) <= rules.MAX_WORD_DISTANCE)
 
 
 def test_the_list_of_words_is_bounded_and_holds_all_common_ones(spark):
@@ -84,3 +86,16 @@ def test_the_list_of_words_is_bounded_and_holds_all_common_ones(spark):
 
 def test_empty_table(spark):
     assert rules.judge(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+
+
+def test_base_against_sql(spark, sf):
+    """The base columns of all documents, in DuckDB's SQL."""
+    sql = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, range(1, len(w) - 3) r(i)), twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+        hit AS (SELECT DISTINCT doc_id, i + k AS at FROM win JOIN twice USING (doc_id, g), range(5) o(k)), rep AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)"""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == want
