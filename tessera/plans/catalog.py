@@ -14,6 +14,7 @@ from tessera.functions import pii
 from tessera.functions import text as T
 from tessera.operators import activity, blocking, evaluation, ledger, resolution, scoring, search
 from tessera.plans import named
+from tessera.plans.engine import Engine
 from tessera.plans.shared import materialise, shared_dir
 from tessera.sources import adapters, store
 from tessera.sources.demo import REF, VIEWS, Demo
@@ -770,6 +771,43 @@ def _(d):
     return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").pull()
 
 
+@query("src_synthetic_events")
+def _(d):
+    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").events()
+
+
+@query("src_synthetic_labels")
+def _(d):
+    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").labels()
+
+
+@query("src_health", sql("SELECT department AS source_system, 'HEALTHY' AS status FROM (SELECT unnest(['SHOP_EST', 'FACTORIES', 'LABOUR', 'KSPCB', 'GST']) AS department)"))
+def _(d):
+    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").health(datetime(2001, 8, 1)).select("source_system", "status")
+
+
+@query("eng_audit", sql("SELECT 'active_not_inspected' AS query_type, '{\"months\": 18, \"pincode\": \"560007\"}' AS query_params, CAST((SELECT count(*) FROM ma m JOIN st s USING (ubid) WHERE m.status = 'ACTIVE' AND s.status = 'ACTIVE' AND primary_pincode = '560007' AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.ubid = m.ubid AND event_type = 'INSPECTION' AND event_date >= DATE '2001-08-01' - 540)) AS INT) AS result_count UNION ALL SELECT 'sector_trend', '{\"district\": \"CHINA\"}', 3", "st"))
+def _(d):
+    """What two queries leave in the audit table of an engine over the view's tables."""
+    e = Engine(d.spark, f"{shared_dir(d.spark)}/tessera/engine-{uuid.uuid4().hex}", REF)
+    for name, rows in {"ubid_master": d.masters(), "activity_status_current": _status(d), "activity_events": d.events(), "ubid_source_records": d.source_records()}.items():
+        e.load(name, rows)
+    e.active_not_inspected("560007")
+    e.sector_trend("CHINA")
+    return e.audit_log().select("query_type", "query_params", "result_count")
+
+
+@query("mdl_registry", "SELECT 'weighted-linear-v1' AS version, false AS was_active, true AS active UNION ALL SELECT 'lr-calibrated-v2', true, false")
+def _(d):
+    """A model registered, promoted and rolled back, kept on the file system of the shared folder."""
+    models = evaluation.Registry(d.spark, f"{shared_dir(d.spark)}/tessera/models-{uuid.uuid4().hex}")
+    models.register("lr-calibrated-v2", evaluation.Calibrated([([1.0] * 5, 0.0, 1.0, 0.0)]), {"pr_auc": 0.99})
+    models.promote("lr-calibrated-v2")
+    was = models.active()
+    now = models.rollback()
+    return d.spark.createDataFrame([(v, v == was, v == now) for v in models.versions()], "version string, was_active boolean, active boolean")
+
+
 @query("src_webhook", "SELECT event_id, true AS ok FROM events WHERE event_id % 3 <> 0")
 def _(d):
     secret = hashlib.sha256(b"a secret for this query alone").hexdigest()

@@ -5,15 +5,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import datetime
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.sources.schemas import SCHEMAS
+from tessera.sources.synthetic import SyntheticRegistry
 
 ADAPTERS: dict[str, type] = {}
 # Names that a read-only adapter's methods must not begin with.
@@ -106,63 +106,24 @@ def parsed(drops: DataFrame) -> DataFrame:
 
 @register_adapter("synthetic")
 class SyntheticAdapter(Adapter):
-    def pull(self) -> DataFrame:
+    """Options: businesses, seed, slices, today. pull() gives the records; events(), labels() and health() what belongs to them."""
+
+    def _table(self, name: str) -> DataFrame:
         self.spark.dataSource.register(SyntheticRegistry)
-        return self.spark.read.format("synthetic_registry").options(**self.options).load()
-
-
-class _Slice(InputPartition):
-    def __init__(self, low: int, high: int) -> None:
-        super().__init__((low, high))
-        self.low, self.high = low, high
-
-
-class SyntheticRegistry(DataSource):
-    """Businesses registered with several departments under varied spellings; every row follows from its number and the seed."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "synthetic_registry"
-
-    def schema(self) -> str:
-        return "id string, source_system string, source_record_id string, business_name string, address_locality string, address_city string, address_district string, address_pincode string, pan string, gstin string, phone string, email string, registration_date string, gt_id string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SyntheticReader({k.lower(): v for k, v in self.options.items()})
-
-
-class _SyntheticReader(DataSourceReader):
-    WORDS = "Apex Shree Lakshmi Balaji Metro Delta Nandi Sagar Vijaya Surya Ganga Kaveri Maruti Royal Star".split()
-    TRADES = "Textiles Engineering Foods Traders Plastics Steels Chemicals Motors Electronics Garments".split()
-    ENDINGS = ["", " Pvt Ltd", " Private Limited", " LLP", " & Co", " Enterprises", " Industries"]
-    DEPARTMENTS = ["SHOP_EST", "FACTORIES", "LABOUR", "KSPCB", "GST"]
-
-    def __init__(self, options: dict[str, str]) -> None:
-        self.n, self.seed, self.slices = int(options.get("businesses", 800)), int(options.get("seed", 42)), int(options.get("slices", 4))
-
-    def partitions(self) -> list[_Slice]:
-        edges = [self.n * i // self.slices for i in range(self.slices + 1)]
-        return [_Slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-
-    def _draw(self, *what: object) -> int:
-        return int.from_bytes(hashlib.sha256(repr((self.seed, *what)).encode()).digest()[:6], "big")
-
-    def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for b in range(partition.low, partition.high):
-            d = lambda *w: self._draw(b, *w)  # noqa: E731, B023
-            stem = f"{self.WORDS[d('w') % 15]} {self.TRADES[d('t') % 10]} {b % 97}"
-            letters = "".join(chr(65 + d("l", i) % 26) for i in range(6))
-            pan = f"{letters[:5]}{d('n') % 10_000:04d}{letters[5]}" if d("pan") % 100 < 60 else None
-            gstin = f"29{pan}1Z5" if pan and d("gst") % 2 else None
-            for k in range(2 + d("many") % 4):
-                e = lambda *w: self._draw(b, k, *w)  # noqa: E731, B023
-                name = stem + self.ENDINGS[e("end") % 7]
-                spelt = [name.upper(), name.lower(), name[:3] + name[4:], f"M/s {name}", name][min(4, e("how") % 100 // 15)]
-                day = 1 + d("day") % 27
-                rows.append((
-                    f"R{b:09d}-{k}", self.DEPARTMENTS[(d("dep") + k) % 5], f"{k}-{b}", spelt, "peenya ind area" if d("loc") % 2 else "Whitefield", "Bengaluru", "Bengaluru Urban", f"5600{d('pin') % 60:02d}",
-                    pan if e("p") % 100 < 60 else None, gstin if e("g") % 100 < 55 else None, f"+9198{d('ph') % 10**8:08d}" if e("f") % 2 else None, f"info{b}@mail{b % 9}.in" if e("m") % 100 < 40 else None, f"20{10 + d('yr') % 12}-{1 + d('mo') % 12:02d}-{day:02d}", f"B{b:09d}",
-                ))
-        names = [f.split()[0] for f in SyntheticRegistry.schema(None).split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * len(names), names)
+        return self.spark.read.format("synthetic_registry").options(**self.options, table=name).load()
+
+    def pull(self) -> DataFrame:
+        return self._table("records")
+
+    def events(self) -> DataFrame:
+        return self._table("events").withColumn("event_date", F.to_date("event_date"))
+
+    def labels(self) -> DataFrame:
+        """All pairs of records of one business."""
+        return self._table("labels")
+
+    def health(self, now: datetime) -> DataFrame:
+        """A row for each department: records, and how many seconds ago it was last read."""
+        per = self.pull().groupBy("source_system").agg(F.count("*").alias("total_records"))
+        age = 10 + F.pmod(F.crc32(F.col("source_system").cast("binary")), F.lit(2900)) / 10.0
+        return per.select("source_system", F.lit(now).alias("last_successful_pull_at"), F.col("total_records").alias("last_record_count"), "total_records", F.lit("HEALTHY").alias("status"), age.alias("freshness_seconds"))

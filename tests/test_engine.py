@@ -118,6 +118,30 @@ def test_adapters(spark, tmp_path):
     assert adapters.get_adapter("parquet")(spark, path=f"{tmp_path}/pq", source_system="GST").pull().where("source_system <> 'GST'").count() == 0
 
 
+def test_synthetic_events_labels_and_health(spark):
+    made = adapters.get_adapter("synthetic")(spark, businesses="400", today="2024-06-30")
+    records, events, labels = made.pull().toPandas(), made.events().toPandas(), made.labels().toPandas()
+    of = records.groupby("gt_id")["id"].apply(set)
+    assert records["id"].is_unique and of.map(len).between(2, 10).all() and len(of) == 400
+    want = {(min(a, b), max(a, b)) for ids in of for a in ids for b in ids if a != b}
+    assert {(min(p), max(p)) for p in zip(labels["record_a_id"], labels["record_b_id"], strict=True)} == want
+    known = set(records["id"])
+    gt = events["payload"].map(lambda p: json.loads(p)["business_gt_id"])
+    assert events["payload"].map(lambda p: json.loads(p)["record_ref"] in known).all() and set(gt) == set(of.index)
+    last = events.groupby(gt)["event_date"].max()
+    silent = sum((date(2024, 6, 30) - d).days >= 540 for d in last)
+    assert 0.06 * 400 <= silent <= 0.2 * 400
+    closed = events[events["event_type"] == "CLOSURE_CERT"]
+    assert 0.01 * 400 <= len(closed) <= 0.1 * 400 and ((date(2024, 6, 30) - closed["event_date"].iloc[0]).days in range(30, 366))
+    share = lambda m: float(m.mean())
+    names = records["business_name"]
+    assert 0.1 < share(names.str.startswith("M/s ") | names.str.startswith("m/s ")) + share(names == names.str.upper()) < 0.5
+    assert 0.01 < share(~records["address_pincode"].str.startswith("5600")) < 0.08
+    health = made.health(datetime(2024, 7, 1)).collect()
+    assert {r["source_system"]: r["total_records"] for r in health} == records["source_system"].value_counts().to_dict()
+    assert all(10 <= r["freshness_seconds"] <= 300 and r["status"] == "HEALTHY" for r in health)
+
+
 class _Writer(adapters.Adapter):
     def update_rows(self): ...
 
