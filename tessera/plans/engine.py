@@ -14,6 +14,7 @@ from tessera.operators import activity, blocking, evaluation, ledger, resolution
 from tessera.plans import named
 from tessera.plans.shared import materialise
 from tessera.sources import adapters
+from tessera.sources.schemas import SCHEMAS
 from tessera.sources.store import Store, export_csv
 
 
@@ -30,6 +31,11 @@ class Engine:
     def t(self, name: str) -> DataFrame:
         return self.store.read(name)
 
+    def pairs(self) -> DataFrame:
+        """Candidate pairs with what reviewers have decided. A decision is one appended row; it is folded in here, at the read."""
+        said = self.t("review_decisions").groupBy("pair_id").agg(F.max_by(F.struct("decision", "reviewer_id", "notes", "reviewed_at"), "said_at").alias("d")).select("pair_id", "d.*")
+        return named.decide(self.t("candidate_pairs").withColumnRenamed("id", "pair_id"), said).withColumnRenamed("pair_id", "id")
+
     # ---- pipeline
 
     def load(self, table: str, df: DataFrame) -> None:
@@ -39,26 +45,26 @@ class Engine:
         """Candidate pairs; decisions of reviewers on pairs that are found again stay."""
         norm = blocking.normalised(self.t("business_records"))
         pairs = blocking.candidate_pairs(norm).withColumnRenamed("pair_id", "id")
-        old = self.t("candidate_pairs").select("id", "review_status", "reviewer_id", "reviewer_notes", "reviewed_at", "created_at")
+        old = self.pairs().select("id", "review_status", "reviewer_id", "reviewer_notes", "reviewed_at", "created_at")
         rows = pairs.join(old, "id", "left").withColumns({"review_status": F.coalesce("review_status", F.lit("PENDING")), "created_at": F.coalesce("created_at", F.lit(self.now)), "score": F.lit(None).cast("double"), "decision": F.lit(None).cast("string")})
         self.store.overwrite("candidate_pairs", rows)
-        return blocking.statistics(self.t("business_records"), self.t("candidate_pairs"))
+        return blocking.statistics(self.t("business_records"), self.pairs())
 
     def run_scoring(self) -> DataFrame:
         """Scores what has no score yet, by the active model."""
-        pairs = self.t("candidate_pairs")
+        pairs = self.pairs()
         norm = blocking.normalised(self.t("business_records"))
         scored = scoring.score_pairs(pairs.drop("feature_breakdown", "model_version", "decided_at"), norm, self.models.load())
         scored = scored.withColumn("feature_breakdown", F.struct(*scoring.FEATURES)).withColumn("decided_at", F.lit(self.now)).drop(*scoring.FEATURES)
         kept = pairs.where("score IS NOT NULL")
         self.store.overwrite("candidate_pairs", kept.unionByName(scored, allowMissingColumns=True))
-        return self.t("candidate_pairs").groupBy("decision").agg(F.count("*").alias("n"))
+        return self.pairs().groupBy("decision").agg(F.count("*").alias("n"))
 
     def run_resolution(self) -> DataFrame:
         norm = blocking.normalised(self.t("business_records"))
         assigned = materialise(resolution.assign(norm), "assigned")
         masters = resolution.masters(norm, assigned)
-        pairs = self.t("candidate_pairs")
+        pairs = self.pairs()
         merges = materialise(resolution.merge(resolution.ubid_links(pairs, assigned), masters), "merges")
         after = materialise(resolution.apply_merges(masters, merges), "masters")
         sources = assigned.join(norm.select("id", "source_system", "source_record_id", "content_hash"), "id").withColumnRenamed("id", "record_id")
@@ -153,10 +159,10 @@ class Engine:
 
     def statistics(self) -> DataFrame:
         t = self.t
-        return named.system_statistics(t("business_records"), t("ubid_master"), t("merge_provenance"), t("activity_events"), t("activity_status_current"), t("candidate_pairs"), t("event_ledger"))
+        return named.system_statistics(t("business_records"), t("ubid_master"), t("merge_provenance"), t("activity_events"), t("activity_status_current"), self.pairs(), t("event_ledger"))
 
     def pipeline_counts(self) -> DataFrame:
-        return named.pipeline_counts(self.t("business_records"), self.t("candidate_pairs"), self.t("ubid_master"), self.t("activity_events"))
+        return named.pipeline_counts(self.t("business_records"), self.pairs(), self.t("ubid_master"), self.t("activity_events"))
 
     def departments(self) -> DataFrame:
         return self.t("business_records").groupBy("source_system").agg(F.count("*").alias("n"))
@@ -170,11 +176,11 @@ class Engine:
     # ---- reviews
 
     def review_queue(self, offset: int = 0, limit: int = 20, by_score: bool = True) -> DataFrame:
-        return named.review_queue(self.t("candidate_pairs").withColumnRenamed("id", "pair_id"), self.t("business_records"), offset, limit, by_score)
+        return named.review_queue(self.pairs().withColumnRenamed("id", "pair_id"), self.t("business_records"), offset, limit, by_score)
 
     def explanation(self, pair_id: str) -> DataFrame:
         """Sanitised records of a pair, the score in words, and what raw personal data is left (nothing should be)."""
-        pair = self.t("candidate_pairs").where(F.col("id") == pair_id).withColumnRenamed("id", "pair_id")
+        pair = self.pairs().where(F.col("id") == pair_id).withColumnRenamed("id", "pair_id")
         raw = self.t("business_records")
         clean = pii.sanitized(raw)
         out = pair
@@ -189,19 +195,17 @@ class Engine:
 
     def decide(self, pair_id: str, decision: str, reviewer: str, notes: str | None = None) -> None:
         """A reviewer's decision: the pair, the ledger, and the merge if it confirms."""
-        pairs = self.t("candidate_pairs").withColumnRenamed("id", "pair_id")
-        before = pairs.where(F.col("pair_id") == pair_id).first()
+        before = self.pairs().where(F.col("id") == pair_id).first()
         if before is None:
             raise KeyError(pair_id)
         if before["review_status"] != "PENDING" and before["reviewer_id"] == reviewer:
             return
-        said = self.spark.createDataFrame([(pair_id, decision, reviewer, notes, self.now)], "pair_id string, decision string, reviewer_id string, notes string, reviewed_at timestamp")
-        after = materialise(named.decide(pairs, said), "pairs")
-        self.store.overwrite("candidate_pairs", after.withColumnRenamed("pair_id", "id"))
+        said = self.spark.createDataFrame([(pair_id, decision, reviewer, notes, self.now, time.time_ns())], SCHEMAS["review_decisions"])
+        self.store.append("review_decisions", said)
         entry = said.select(F.lit(3).alias("o"), F.col("pair_id").alias("aggregate_id"), F.lit("REVIEW_DECIDED").alias("event_type"), F.lit("REVIEW").alias("aggregate_type"), ledger.canonical(F.struct("decision", "notes", "reviewer_id", F.lit(before["score"]).cast("double").alias("score"))).alias("payload"))
         self._record(entry)
         if decision == "CONFIRM":
-            links = materialise(named.confirmed_links(after.where(F.col("pair_id") == pair_id), self.t("ubid_source_records")), "confirmed")
+            links = materialise(named.confirmed_links(self.pairs().where(F.col("id") == pair_id), self.t("ubid_source_records")), "confirmed")
             if not links.isEmpty():
                 self._merge(links)
 
@@ -223,16 +227,16 @@ class Engine:
         self._record(reversal.select(F.lit(4).alias("o"), F.col("reversal_id").alias("aggregate_id"), F.lit("MERGE_REVERSED").alias("event_type"), F.lit("MERGE").alias("aggregate_type"), ledger.canonical(F.struct("merge_id", "reason", "reversed_by")).alias("payload")))
 
     def reviewer_history(self, reviewer: str, limit: int = 50) -> DataFrame:
-        return named.reviewer_history(self.t("candidate_pairs").withColumnRenamed("id", "pair_id"), reviewer, limit)
+        return named.reviewer_history(self.pairs().withColumnRenamed("id", "pair_id"), reviewer, limit)
 
     def reviewer_kpis(self) -> DataFrame:
-        return named.reviewer_kpis(self.t("candidate_pairs"))
+        return named.reviewer_kpis(self.pairs())
 
     # ---- models
 
     def _features(self) -> DataFrame:
         norm = blocking.normalised(self.t("business_records"))
-        pairs = self.t("candidate_pairs").select(F.col("id").alias("pair_id"), "record_a_id", "record_b_id")
+        pairs = self.pairs().select(F.col("id").alias("pair_id"), "record_a_id", "record_b_id")
         return materialise(scoring.with_features(scoring.with_records(pairs, norm)), "features")
 
     def train(self) -> dict:
@@ -241,7 +245,7 @@ class Engine:
         return found
 
     def active_learning(self) -> dict:
-        n = self.t("candidate_pairs").where(F.col("review_status").isin("CONFIRM", "REJECT")).count()
+        n = self.pairs().where(F.col("review_status").isin("CONFIRM", "REJECT")).count()
         return evaluation.active_learning(self._features(), n)
 
     def predict(self, *features: float) -> float:

@@ -10,6 +10,7 @@ SCHEMAS: dict[str, str] = {
     "merge_provenance": "merge_id string, ubid_winner string, ubid_loser string, score double, model_version string, decided_by string, decided_at timestamp, feature_breakdown string, reversed boolean",
     "merge_reversals": "reversal_id string, merge_id string, reason string, reversed_by string, reversed_at timestamp",
     "candidate_pairs": "id string, record_a_id string, record_b_id string, blocking_keys array<string>, score double, decision string, feature_breakdown struct<anchor_score:double,name_score:double,address_score:double,contact_score:double,date_proximity_score:double>, model_version string, decided_at timestamp, review_status string, reviewer_id string, reviewer_notes string, reviewed_at timestamp, created_at timestamp",
+    "review_decisions": "pair_id string, decision string, reviewer_id string, notes string, reviewed_at timestamp, said_at bigint",
     "activity_events": "id string, ubid string, source_system string, source_event_id string, event_type string, signal_class string, event_date date, payload string, ingested_at timestamp, joined_at timestamp",
     "activity_status_current": "ubid string, status string, score double, last_strong_active_at timestamp, status_since timestamp, last_recomputed_at timestamp, event_count int, last_event_date date",
     "event_ledger": "ledger_id bigint, event_type string, aggregate_type string, aggregate_id string, payload string, prev_hash string, hash string, created_at timestamp",

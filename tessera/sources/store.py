@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,8 @@ class Store:
         return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{name}/{v}" for v in use])
 
     def _write(self, name: str, df: DataFrame, kind: str) -> None:
-        n = len(self._versions(name))
-        df.write.parquet(f"{self.root}/{name}/{n:08d}-{uuid.uuid4().hex[:8]}-{kind}")
+        # named by the time of writing, so two writers never take one name, and the later one is the newer version
+        df.write.parquet(f"{self.root}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{kind}")
 
     def overwrite(self, name: str, df: DataFrame) -> None:
         """Readers of the old version keep it, so a table may be made from itself."""
