@@ -6,17 +6,16 @@ the texts that are left are the rule's candidates, and the expression is run on
 trigrams scans all texts. A posting names a text by its 64-bit hash, so copies share postings, and a hash collision
 only adds a candidate that the expression then rejects.
 
-The trigrams that any query asks for are cut from a text in one pass of one expression. The candidates (16 bytes each) are
+A text is first asked for one trigram of each clause, and for the rest only where that one stands. The candidates (16 bytes each) are
 broadcast while they are at most MAX_BROADCAST; beyond that they are joined by shuffle. Places come from running totals in
 blocks, so a text of very many matches costs in proportion to them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import groupby
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,21 +55,31 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,first:bigint,l
 BLOCK = 32
 
 
-def any_of(grams: list[str]) -> str:
-    """An expression whose first group is each of the trigrams wherever one stands, overlaps included; shared beginnings are tried once."""
-    one = lambda tails: "(?:" + "|".join(tails) + ")"
-    tree = []
-    for a, of_a in groupby(sorted(grams), lambda g: g[0]):
-        tree.append(re.escape(a) + one([re.escape(b) + one([re.escape(g[2]) for g in of_b]) for b, of_b in groupby(of_a, lambda g: g[1])]))
-    first = "".join(sorted({re.escape(g[0]) for g in grams}))
-    return f"(?=[{first}])(?=({one(tree)}))"
+def leads(clauses: list[frozenset[str]]) -> dict[frozenset[str], str]:
+    """A trigram of each clause, as few different ones as a greedy choice takes."""
+    out: dict[frozenset[str], str] = {}
+    while left := [c for c in clauses if c not in out]:
+        best = max(sorted(set().union(*left)), key=lambda g: sum(g in c for c in left))
+        out |= {c: best for c in left if best in c}
+    return out
 
 
-def postings(texts: DataFrame, text: str, grams: list[str]) -> DataFrame:
-    """The index: distinct (gram, h), with gram as its place in the list and h as the text's hash."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(any_of(grams)), F.lit(1)))
-    rows = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.explode(found).alias("found"))
-    return rows.select("h", (F.array_position(F.array(*map(F.lit, grams)), F.col("found")) - 1).cast("int").alias("gram")).distinct()
+def postings(texts: DataFrame, text: str, clauses: list[frozenset[str]], grams: list[str]) -> DataFrame:
+    """The index: distinct (gram, h), with gram as its place in the list and h as the text's hash.
+
+    A trigram is looked for only in texts that have the lead of a clause that asks for it: in others its posting could
+    meet nothing.
+    """
+    first = leads(clauses)
+    columns = {g: F.col(f"lead{i}") for i, g in enumerate(sorted(set(first.values())))}
+    low = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.lower(text).alias("low"))
+    led = low.select("h", "low", *[F.contains("low", F.lit(g)).alias(f"lead{i}") for i, g in enumerate(columns)])
+    found = []
+    for i, g in enumerate(grams):
+        asked = {first[c] for c in clauses if g in c}
+        any_lead = reduce(lambda a, b: a | b, [columns[x] for x in sorted(asked)])
+        found.append(F.when(columns[g] if g in asked else any_lead & F.contains("low", F.lit(g)), F.lit(i)))
+    return led.where(reduce(lambda a, b: a | b, columns.values())).select("h", F.explode(F.array_compact(F.array(*found))).alias("gram")).distinct()
 
 
 def candidates(texts: DataFrame, text: str, rules: list[Rule]) -> tuple[DataFrame | None, dict[str, int]]:
@@ -82,7 +91,7 @@ def candidates(texts: DataFrame, text: str, rules: list[Rule]) -> tuple[DataFram
     bits = {kind: i for i, kind in enumerate(queries)}
     clauses = [(bits[kind], n, len(alternative), grams.index(g)) for kind, q in queries.items() for n, alternative in enumerate(q) for g in sorted(alternative)]
     asked = F.broadcast(texts.sparkSession.createDataFrame(clauses, "bit int, alternative int, needs int, gram int"))
-    meet = postings(texts, text, grams).join(asked, "gram").groupBy("h", "bit", "alternative", "needs").count().where("count = needs")
+    meet = postings(texts, text, [c for q in queries.values() for c in q], grams).join(asked, "gram").groupBy("h", "bit", "alternative", "needs").count().where("count = needs")
     return meet.groupBy("h").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")), bits
 
 

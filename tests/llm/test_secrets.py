@@ -94,11 +94,23 @@ def test_running_totals(spark):
         assert row["m"] == [max(row["v"][:i], default=0) for i in range(len(row["v"]))]
 
 
-def test_any_of_cuts_every_trigram(spark):
-    grams = ["abc", "bca", "a.c", "ab]", "xyz", "zzz"]
-    t = "abcabca.cab]xyzzzz zz"
-    df = spark.createDataFrame([(t,)], "t string").select(F.regexp_extract_all("t", F.lit(secrets.any_of(grams)), F.lit(1)).alias("g"))
-    assert df.first()["g"] == [t[i : i + 3] for i in range(len(t)) if t[i : i + 3] in grams]
+def test_postings_give_the_candidates_of_a_full_index(spark):
+    """A text is a candidate of a rule if and only if it has all trigrams of one of the rule's clauses."""
+    words = ["pas", "passwd", "password", "assw", "tok", "oken", "token", "api", "key", "AKIA", "akia", "ghp", "hp_", "ghp_", "xox", "xoxb-", "é", " ", "zz"]
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(words) for _ in range(r.randrange(8)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    found, bits = secrets.candidates(df, "t", secrets.RULES)
+    got = {x["i"]: x["mask"] or 0 for x in df.withColumn("h", F.xxhash64("t")).join(found, "h", "left").collect()}
+    for i, t in rows:
+        want = sum(1 << b for kind, b in bits.items() for rule in secrets.RULES if rule.kind == kind and any(all(g in t.lower() for g in c) for c in trigram_query(rule.pattern)))
+        assert got[i] == want
+
+
+def test_leads_cover_every_clause():
+    clauses = [c for rule in secrets.RULES for c in trigram_query(rule.pattern) if c]
+    found = secrets.leads(clauses)
+    assert set(found) == set(clauses) and all(g in c for c, g in found.items()) and len(set(found.values())) < len(clauses)
 
 
 def test_very_many_matches(spark):
