@@ -142,8 +142,9 @@ def stitch(chunks: list[dict]) -> bytes:
 
 def _apply(docs: DataFrame, key: str, text: str, rank_file: str, pattern: str, out: Callable[[Codec, bytes], tuple], fields: list[tuple[str, str, pa.DataType]], chunk: int, overlap: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in fields)
-    whole = docs.select(key, F.coalesce(text, F.lit("")).alias("_text"))
+    schema = f"key {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in fields)
+    # names of its own inside, whatever the columns are called
+    whole = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
@@ -152,7 +153,7 @@ def _apply(docs: DataFrame, key: str, text: str, rank_file: str, pattern: str, o
                 part = batch.slice(at, 512)
                 rows = [out(c, c.encode(t.as_py())) for t in part.column(1)]
                 columns = [pa.array(x, t) for x, (_, _, t) in zip(zip(*rows, strict=True), fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, *(n for n, _, _ in fields)])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", *(n for n, _, _ in fields)])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
@@ -167,15 +168,15 @@ def _apply(docs: DataFrame, key: str, text: str, rank_file: str, pattern: str, o
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         c = codec(rank_file, pattern)
         got = out(c, stitch(pdf.sort_values("no").to_dict("records")))
-        return pd.DataFrame({key: [pdf["key"].iloc[0]]} | {n: [v] for (n, _, _), v in zip(fields, got, strict=True)} | {"_copies": [pdf["copies"].iloc[0]]})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]]} | {n: [v] for (n, _, _), v in zip(fields, got, strict=True)} | {"_copies": [pdf["copies"].iloc[0]]})
 
-    size = F.char_length("_text")
+    size = F.char_length("text")
     near = whole.where(size <= chunk).mapInArrow(short, schema)
-    parts = chunk_rows(whole.where(size > chunk), key, "_text", chunk, overlap).repartition("digest", "no")
+    parts = chunk_rows(whole.where(size > chunk), "key", "text", chunk, overlap).repartition("digest", "no")
     parts = parts.mapInArrow(pieces, f"key {kind}, digest binary, no bigint, copies bigint, ids binary, head_at binary, head_n binary, tail_at binary, tail_n binary")
     far = parts.groupBy("key", "digest").applyInPandas(join, schema + ", _copies bigint")
     far = far.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_copies")
-    return near.unionByName(far)
+    return near.unionByName(far).withColumnRenamed("key", key)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -49,3 +49,11 @@ def test_encode_then_decode(spark):
     encoded = bpe.encode(df, PATH, public_tokenizers.PATTERN, chunk=64)
     assert {x["doc_id"]: bytes(x["bytes"]).decode() for x in bpe.decode(encoded, PATH, public_tokenizers.PATTERN).collect()} == dict(rows)
     assert bpe.encode(df.where("false"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, t) for i, t in enumerate(texts()[:12])]
+    for key, text in (("_text", "key"), ("text", "_copies"), ("copies", "piece")):
+        df = spark.createDataFrame(rows, f"{key} bigint, {text} string")
+        got = bpe.round_trip(df, PATH, public_tokenizers.PATTERN, key=key, text=text, chunk=16, overlap=2).collect()
+        assert sorted((x[key], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in got) == [(k, *expected(t)) for k, t in rows]
