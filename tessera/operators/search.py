@@ -52,8 +52,15 @@ def documents(masters: DataFrame, statuses: DataFrame, source_records: DataFrame
     )
 
 
+# Letters with marks, and the plain letters that they are searched as.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+
+
 def words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    """Words of plain letters and digits in lower case; letters with marks count as plain ones."""
+    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN)
+    return F.filter(F.split(folded, "[^a-z0-9]+"), lambda t: t != "")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -83,7 +90,8 @@ def fuzzy_search(index: DataFrame, docs: DataFrame, q: str, filters: dict[str, s
     (ln(1 + (N - n + 0.5) / (n + 0.5)) for n of N identities), less the share of the word's letters that are edited. The
     best field counts. Filters keep the identities with the values given.
     """
-    asked = list(dict.fromkeys("".join(c.lower() if c.isalnum() else " " for c in q).split()))
+    plain = q.lower().translate(str.maketrans(MARKED, PLAIN))
+    asked = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in plain).split()))
     if not asked:
         return docs.limit(0).select("ubid", F.lit(0.0).alias("relevance"))
     each = None

@@ -333,6 +333,22 @@ def _(d):
     return _search(d, "", None, "1")
 
 
+@query("qry_search_shapes", sql("SELECT 'id' AS shape, min(ubid) AS ubid FROM asg WHERE ubid LIKE 'UBID-GST-%' UNION ALL SELECT 'gstin', min(ubid) FROM asg WHERE ubid LIKE 'UBID-GST-%' UNION ALL SELECT 'pan', min(ubid) FROM asg WHERE ubid LIKE 'UBID-PAN-%'", "asg"))
+def _(d):
+    """An identity by its id, and by either anchor, in any case and between blanks."""
+    norm = _written(d)
+    assigned = materialise(resolution.assign(norm), "assigned")
+    masters = materialise(resolution.masters(norm, assigned), "masters")
+    states = d.spark.createDataFrame([], "ubid string, status string, score double")
+    first = {r["anchor_type"]: r["u"] for r in masters.groupBy("anchor_type").agg(F.min("ubid").alias("u")).collect()}
+    asked = {"id": first["GSTIN"].lower(), "gstin": f" {first['GSTIN'][9:].lower()} ", "pan": first["PAN"][9:].lower()}
+    out = None
+    for shape, q in asked.items():
+        one = search.identity_search(masters, states, assigned, q).select(F.lit(shape).alias("shape"), "ubid")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- statistics ----------------------------------------------------------------------------------------------------
 
 
@@ -593,11 +609,12 @@ def _(d):
 def _documents(d: Demo) -> DataFrame:
     norm = _norm(d)
     assigned = resolution.assign(norm)
-    none = d.spark.createDataFrame([], "ubid string, status string, score double")
-    return search.documents(resolution.masters(norm, assigned), none, assigned.withColumnRenamed("id", "record_id"), d.records())
+    known = assigned.select("ubid").distinct().where(F.substring("ubid", 12, 1).isin(*"ABC0123"))
+    states = known.select("ubid", F.lit("ACTIVE").alias("status"), F.lit(2.5).alias("score"))
+    return search.documents(resolution.masters(norm, assigned), states, assigned.withColumnRenamed("id", "record_id"), d.records())
 
 
-@query("sea_documents", sql("SELECT ubid, array_to_string(list_sort(list(DISTINCT business_name)), ';') AS variants, 'UNKNOWN' AS status, count(*) AS source_record_count FROM asg JOIN re USING (id) GROUP BY ubid", "asg"))
+@query("sea_documents", sql("SELECT ubid, array_to_string(list_sort(list(DISTINCT business_name)), ';') AS variants, CASE WHEN substr(ubid, 12, 1) IN ('A', 'B', 'C', '0', '1', '2', '3') THEN 'ACTIVE' ELSE 'UNKNOWN' END AS status, count(*) AS source_record_count FROM asg JOIN re USING (id) GROUP BY ubid", "asg"))
 def _(d):
     return _documents(d).select("ubid", F.array_join("name_variants", ";").alias("variants"), "status", "source_record_count")
 
@@ -856,6 +873,21 @@ def _(d):
     return out.select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
+@query("stm_topics", "SELECT event_id, event_type AS value, CAST(1 AS INT) AS partitions_of_key, true AS whole FROM events")
+def _(d):
+    """Events published in two batches and read back: each once, each user's in one partition, all offsets from 0 on without a gap."""
+    root = f"{shared_dir(d.spark)}/tessera/topics-{uuid.uuid4().hex}"
+    for rest in (0, 1):
+        some = d.table("events").where(F.col("event_id") % 2 == rest)
+        jobs.publish(some.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "event_type")).alias("value")), root, "ubid.events")
+    log = jobs.messages(d.spark, root, "ubid.events")
+    per = log.groupBy("key").agg(F.count_distinct("partition").cast("int").alias("partitions_of_key"))
+    gaps = jobs.topic_statistics(d.spark, root).agg(F.bool_and(F.col("messages") == F.col("next_offset")).alias("dense"))
+    once = log.agg((F.count("*") == F.count_distinct("partition", "offset")).alias("once"))
+    value = F.from_json("value", "event_id bigint, event_type string").alias("v")
+    return log.join(per, "key").join(gaps).join(once).select(value, "partitions_of_key", (F.col("dense") & F.col("once")).alias("whole")).select("v.event_id", F.col("v.event_type").alias("value"), "partitions_of_key", "whole")
+
+
 @query("stm_heartbeats", "SELECT event_type AS source_system, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_beat, CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - CAST(floor(epoch(max(ts))) AS BIGINT) > 3600 THEN 'STALE' ELSE 'ALIVE' END AS state FROM events GROUP BY 1")
 def _(d):
     beats = d.table("events").select(F.col("event_type").alias("source_system"), F.col("ts").cast("timestamp").alias("beat_at"))

@@ -95,7 +95,9 @@ class Engine:
 
     def run_all(self) -> dict[str, DataFrame]:
         """All four stages, each committed by itself."""
-        return {"blocking": self.run_blocking(), "scoring": self.run_scoring(), "resolution": self.run_resolution(), "activity": self.run_activity()}
+        done = {"blocking": self.run_blocking(), "scoring": self.run_scoring(), "resolution": self.run_resolution(), "activity": self.run_activity()}
+        self.build_index()
+        return done
 
     # ---- ledger and audit
 
@@ -147,9 +149,24 @@ class Engine:
         rows = search.identity_search(self.t("ubid_master"), self.t("activity_status_current"), self.t("ubid_source_records"), q, status, district, limit)
         return self._audited("identity_search", {"q": q, "status": status, "district": district}, rows)
 
+    def build_index(self) -> None:
+        """Search documents and their postings as tables; run_all() ends with it."""
+        self.store.overwrite("search_documents", search.documents(self.t("ubid_master"), self.t("activity_status_current"), self.t("ubid_source_records"), self.t("business_records")))
+        self.store.overwrite("search_postings", search.postings(self.t("search_documents")))
+
     def fuzzy_search(self, q: str, filters: dict[str, str] | None = None, limit: int = 20) -> DataFrame:
-        docs = search.documents(self.t("ubid_master"), self.t("activity_status_current"), self.t("ubid_source_records"), self.t("business_records"))
-        return search.fuzzy_search(search.postings(docs), docs, q, filters, limit)
+        """By the index as it was last built; it is built if there's none."""
+        if self.t("search_documents").isEmpty():
+            self.build_index()
+        return search.fuzzy_search(self.t("search_postings"), self.t("search_documents"), q, filters, limit)
+
+    def find(self, q: str, status: str | None = None, district: str | None = None, limit: int = 20) -> tuple[str, DataFrame]:
+        """How the search was made, and its rows: 'index' if an index was built, else 'predicates'."""
+        if self.t("search_documents").isEmpty() or not q:
+            return "predicates", self.search(q, status, district, limit)
+        asked = {k: v for k, v in (("status", status), ("primary_district", district)) if v}
+        found = self.fuzzy_search(q, asked, limit)
+        return "index", found.join(self.t("search_documents"), "ubid").orderBy(F.desc("relevance"), "ubid")
 
     def identity(self, ubid: str) -> dict[str, DataFrame]:
         events = self.t("activity_events")

@@ -15,6 +15,8 @@ SCHEMAS: dict[str, str] = {
     "activity_status_current": "ubid string, status string, score double, last_strong_active_at timestamp, status_since timestamp, last_recomputed_at timestamp, event_count int, last_event_date date",
     "event_ledger": "ledger_id bigint, event_type string, aggregate_type string, aggregate_id string, payload string, prev_hash string, hash string, created_at timestamp",
     "query_audit": "id string, query_type string, query_params string, result_count int, latency_ms double, executed_at timestamp",
+    "search_documents": "ubid string, primary_name string, name_variants array<string>, anchor_type string, anchor_value string, primary_pincode string, primary_district string, status string, activity_score double, source_record_count bigint",
+    "search_postings": "field string, term string, ubid string",
     "adapter_health": "source_system string, last_successful_pull_at timestamp, last_record_count int, total_records int, last_error string, freshness_seconds double, status string, updated_at timestamp",
 }
 # Domains.

@@ -1,7 +1,8 @@
 """Streaming jobs: ingest from folders, routing by decision, windows of status signals, staleness of heartbeats.
 
-Sources are folders of files (a Kafka source plugs in at `read_topic`). All state is keyed and bounded by a watermark; all
-sinks are idempotent by batch id, so a query that restarts from its checkpoint writes nothing twice.
+A topic is a folder of files, or a Kafka topic where servers are given and Spark has that connector (it isn't here, so that
+path is untested). In append and update mode all state is keyed and bounded by a watermark; all sinks are idempotent by batch
+id, so a query that restarts from its checkpoint writes nothing twice.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.activity import SIGNALS, lookup
+from tessera.plans.shared import materialise, names_in
 
 # Topics with partitions and days of retention, and the topic of each decision.
 TOPICS = {
@@ -36,13 +39,56 @@ ROUTES = {"AUTO_LINK": "resolution.auto-link", "REVIEW": "resolution.review-queu
 STALE_AFTER = 60
 
 
-def read_topic(spark: SparkSession, root: str, topic: str, schema: str, fmt: str = "json") -> DataFrame:
-    """A topic as a stream, from its first message on."""
+def read_topic(spark: SparkSession, root: str, topic: str, schema: str, fmt: str = "json", servers: str | None = None) -> DataFrame:
+    """A topic as a stream, from its first message on; with Kafka servers, the values of its messages read as JSON."""
     if topic not in TOPICS:
         raise KeyError(topic)
+    if servers:
+        rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+        return rows.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
     return spark.readStream.schema(schema).format(fmt).load(f"{root}/{topic}")
 
 
+MESSAGE = "partition int, offset bigint, key string, value string"
+
+
+def topic_settings(topic: str) -> dict[str, int]:
+    """What a topic is created with."""
+    partitions, days = TOPICS[topic]
+    return {"partitions": partitions, "retention.ms": days * 86_400_000}
+
+
+def messages(spark: SparkSession, root: str, topic: str) -> DataFrame:
+    """The log of a topic: partition, offset within it, key, value. Reading from an offset on is a filter."""
+    log = f"{root}/log/{topic}"
+    return spark.read.schema(MESSAGE).parquet(log) if names_in(spark, log) else spark.createDataFrame([], MESSAGE)
+
+
+def publish(rows: DataFrame, root: str, topic: str) -> None:
+    """Append messages (key, value) to a topic's log. A key always goes to one partition; within it offsets go on without a gap. One writer at a time."""
+    spark, parts = rows.sparkSession, topic_settings(topic)["partitions"]
+    part = F.pmod(F.crc32(F.coalesce("key", F.lit("")).cast("binary")), F.lit(parts)).cast("int")
+    held = materialise(rows.select(part.alias("partition"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")), "messages")
+    # a running number in blocks: the window sees one block of one partition, never a whole one
+    block = F.pmod(F.xxhash64("key", "value"), F.lit(1024)).cast("int")
+    ranked = held.withColumn("block", block)
+    sizes = ranked.groupBy("partition", "block").count()
+    before = sizes.select("partition", "block", F.coalesce(F.sum("count").over(W.partitionBy("partition").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    base = messages(spark, root, topic).groupBy("partition").agg((F.max("offset") + 1).alias("base"))
+    numbered = ranked.withColumn("no", F.row_number().over(W.partitionBy("partition", "block").orderBy("key", "value")) - 1)
+    out = numbered.join(F.broadcast(before), ["partition", "block"]).join(F.broadcast(base), "partition", "left")
+    out.select("partition", (F.coalesce("base", F.lit(0)) + F.col("before") + F.col("no")).cast("bigint").alias("offset"), "key", "value").write.mode("append").parquet(f"{root}/log/{topic}")
+
+
+def topic_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """(topic, partition, messages, next_offset) of all topics that have any."""
+    out = spark.createDataFrame([], "topic string, partition int, messages bigint, next_offset bigint")
+    for topic in names_in(spark, f"{root}/log"):
+        per = messages(spark, root, topic).groupBy("partition").agg(F.count("*").alias("messages"), (F.max("offset") + 1).alias("next_offset"))
+        out = out.unionByName(per.select(F.lit(topic).alias("topic"), "*"))
+    return out
+
+
 def emit(df: DataFrame, root: str, topic: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a topic, until what is there now is done."""
     return df.writeStream.format("json").option("path", f"{root}/{topic}").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,6 +46,8 @@ def test_queries_are_audited(engine):
     assert {"sector_trend", "active_not_inspected", "ghost_candidates", "identity_search"} <= {r["query_type"] for r in e.audit_log().collect()}
     assert e.department_coverage().count() > 0 and e.statistics().count() == 1 and e.pipeline_counts().count() == 4 and e.departments().count() == 5
     assert e.fuzzy_search("apxe").count() > 0
+    mode, rows = e.find("ápex textiles")
+    assert mode == "index" and rows.count() > 0 and e.find("")[0] == "predicates"
     assert e.infrastructure()["read_only"]["verified"]
 
 
@@ -102,6 +104,24 @@ def test_store(spark, tmp_path):
     assert text.splitlines()[:2] == ["k,v", "1,"]
 
 
+def test_topic_logs(spark, tmp_path):
+    root = str(tmp_path)
+    made = lambda a, b: spark.range(a, b).selectExpr("CAST(id % 7 AS string) AS key", "CAST(id AS string) AS value")
+    for a, b in ((0, 100), (100, 130), (130, 130)):
+        jobs.publish(made(a, b), root, "ubid.events")
+    log = jobs.messages(spark, root, "ubid.events").collect()
+    assert sorted(int(r["value"]) for r in log) == list(range(130))
+    by = {}
+    for r in log:
+        by.setdefault(r["partition"], []).append((r["offset"], int(r["value"]), r["key"]))
+    assert all(sorted(o for o, *_ in rows) == list(range(len(rows))) for rows in by.values())
+    assert all(max(o for o, v, _ in rows if v < 100) < min((o for o, v, _ in rows if v >= 100), default=10**9) for rows in by.values())
+    assert len({(k, p) for p, rows in by.items() for *_, k in rows}) == 7 and set(by) <= set(range(6))
+    assert {r["partition"]: r["next_offset"] for r in jobs.topic_statistics(spark, root).collect()} == {p: len(rows) for p, rows in by.items()}
+    assert jobs.topic_settings("system.alerts") == {"partitions": 1, "retention.ms": 30 * 86_400_000}
+    assert jobs.messages(spark, root, "system.alerts").count() == 0
+
+
 def test_adapters(spark, tmp_path):
     assert adapters.list_adapters() == ["api", "parquet", "synthetic", "webhook"]
     assert adapters.get_adapter("api")(spark).pull().count() == 0
