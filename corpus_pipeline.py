@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. run() writes each stage's result to the
 shared folder and reads it back, so a lost executor repeats one stage's tasks at most.
+
+In every stage a null text counts as empty, nulls in other columns are values like others, an empty table gives an empty
+one, and texts are read whole, however long. Columns beyond those of documents go along, whatever their names (maps aside,
+which can't be compared). Repeated rows stay as many, but for near-duplicates, where they are one.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores under 0.5; it learns from the labels of the rows that op4 learns from."""
+    """Documents that the toxicity model scores under 0.5; it learns from the labels of the rows that op4 learns from. Without any label all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     scored, score = toxicity.flag(docs, model)
     return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest key, nulls last; ties by a hash of the whole row."""
     return simhash.deduplicate(docs)
 
 
@@ -37,7 +41,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
