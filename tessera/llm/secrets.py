@@ -174,17 +174,18 @@ def redact(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, mark:
     A null text stays null, an empty one empty; repeated rows are kept, and an empty table gives an empty one.
     """
     found, spans = find(docs, text, rules)
-    raw = F.col(text).cast("binary")
-    part = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
 
-    def clean(all_: Column) -> Column:
+    def clean(all_: Column, raw: Column) -> Column:
+        part = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
         ends = F.transform(all_, lambda s: s["last"])
         reached = _let(ends, lambda v: before(v, F.greatest, F.lit(0).cast("bigint")))
         # a secret that starts within an earlier one is under that one's mark
         pieces = F.zip_with(all_, reached, lambda s, at: F.when(s["first"] >= at, F.concat(part(at, s["first"]), F.lit(mark))).otherwise(F.lit("")))
-        return F.concat(F.array_join(pieces, ""), part(F.array_max(ends), F.octet_length(text)))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(ends), F.length(raw)))
 
-    made = F.when(F.size(spans) > 0, _let(F.col(spans), clean)).otherwise(F.col(text))
+    # the bytes are made once: a cast within the pieces would copy the whole text for each
+    marked = _let(F.col(text).cast("binary"), lambda raw: _let(F.col(spans), lambda all_: clean(all_, raw)))
+    made = F.when(F.size(spans) > 0, marked).otherwise(F.col(text))
     return found.select(*[made.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
