@@ -8,9 +8,9 @@ in WIDE of the wider patch's at most: smooth pictures share many small patches,
 linked when corners, which now may differ in ALIKE tests whether they share a key or not, agree on one similarity
 transform: CONSENSUS of them, or fewer that differ little.
 
-Images of equal bytes are one class. Where a key has over BUSY corners, their images are first held against its least image alone,
-so a large group of near copies is mostly one component at the price of a row an image. Then all pairs that meet and are
-still of different components are decided, once each; a key of over MAX_BLOCK corners is dealt out in salted blocks.
+Images of equal bytes are one class. In two bands the images of a key are first held against its least image alone, so a
+large group of near copies is mostly one component at the price of a row an image. Then all pairs that meet and are still
+of different components are decided, once each; a key of over MAX_BLOCK corners is dealt out in salted blocks.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ NEAR, WIDE = 20, 18
 APART = 2.0
 #: Likest pairs of corners whose transforms are tried on the others.
 TRIED = 40
-#: Corners of a key beyond which its least image is tried first, corners of one key that are held against each other in one task, and one image in so many that large keys are estimated from.
-BUSY, MAX_BLOCK, LOOK = 128, 8192, 16
+#: Corners of one key that are held against each other in one task, and one image in so many that large keys are estimated from.
+MAX_BLOCK, LOOK = 8192, 16
 #: Pairs of images, and rows of equal bytes, that are broadcast (16 bytes each); more are joined by shuffle. Pairs that are decided at a time.
 MAX_BROADCAST, SLICE = 1_000_000, 60_000
 #: Pixels that are described together.
@@ -271,7 +271,7 @@ def _agreed(features: DataFrame, pairs: DataFrame) -> DataFrame:
         found = materialise(both.repartition("id", "pid").sortWithinPartitions("id", "pid", "side").mapInArrow(run, "id bigint, pid bigint"), "links")
         out = found if out is None else out.unionByName(found)
         del both
-        features.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle of this slice
+        _let_go(features)
     return out
 
 
@@ -327,8 +327,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d += 1
             i = i[i + d < end[i]]
             a = i[(root[i] != root[i + d]) & ((side[i] == 0) | (side[i] != side[i + d]))]
-            for one, two, most in ((*bits[:2], NEAR), (*bits[2:], WIDE)):
-                a = a[sum(np.bitwise_count((c[a] ^ c[a + d]).view(np.uint64)).astype(np.int16) for c in (one, two)) <= most]
+            a = a[_near([c[a] for c in bits], [c[a + d] for c in bits])]
             if len(a):
                 found.append(np.stack([np.maximum(id_[a], id_[a + d]), np.minimum(id_[a], id_[a + d])]))
         if found:
@@ -351,7 +350,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _meetings(features: DataFrame, heavy: DataFrame) -> DataFrame:
     """Pairs of images (id, pid) of different roots that have corners of one key that differ in NEAR and WIDE tests at most."""
-    spark, out, any_heavy = features.sparkSession, None, not heavy.isEmpty()
+    out, any_heavy = None, not heavy.isEmpty()
     for band in range(BANDS):
         rows = _keyed(features, band)
         task = rows.withColumn("side", F.lit(0).cast("bigint"))
@@ -363,33 +362,62 @@ def _meetings(features: DataFrame, heavy: DataFrame) -> DataFrame:
             side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("bigint")
             cut = cut.select(F.xxhash64("word", low, high).alias("word"), *rows.columns[1:], side.alias("side"))
             task = task.join(F.broadcast(large.select("word")), "word", "left_anti").select(cut.columns).unionByName(cut)
-        found = materialise(task.repartition("word").sortWithinPartitions("word").mapInArrow(_met, "id bigint, pid bigint"), "seeds")
+        found = materialise(task.repartition("word").sortWithinPartitions("word").mapInArrow(_met, "id bigint, pid bigint").distinct(), "seeds")
         out = found if out is None else out.unionByName(found)
         del rows, task
-        spark._jvm.System.gc()  # lets Spark remove the shuffle of this band
+        _let_go(features)
     return out.distinct()
 
 
-def _with_pivots(features: DataFrame, large: DataFrame) -> DataFrame:
-    """Of the large keys of two bands, the images that meet the key's least image: (id, pid)."""
+def _near(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Which of two corners, each given by b0, b1, c0 and c1, differ in NEAR and WIDE tests at most."""
+    far = [np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) for x, y in zip(one, other, strict=True)]
+    return (far[0] + far[1] <= NEAR) & (far[2] + far[3] <= WIDE)
+
+
+def _beside_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, id, b0, b1, c0, c1), sorted by word and id, to (id, pid): the images that meet the least image of a word."""
+    first: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        if first is not None:
+            rows = [np.concatenate(x) for x in zip(first, rows, strict=True)]
+        new = np.append(True, rows[0][1:] != rows[0][:-1])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        met = (rows[1] != rows[1][lead]) & _near(rows[2:], [c[lead] for c in rows[2:]])
+        pairs = np.unique(np.stack([rows[1][met], rows[1][lead][met]]), axis=1)
+        first = [c[lead[-1:]] for c in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["id", "pid"])
+
+
+def _with_pivots(features: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Of the keys of two bands, the images that meet the key's least image: (id, pid). A large key has several such, one a part."""
     out = None
     for band in range(0, BANDS, BANDS // 2):
-        words = large.where(F.col("band") == band).select("word")
-        rows = _keyed(features.withColumn("root", F.col("id")), band)
-        rows = rows.join(F.broadcast(words) if words.count() <= MAX_BROADCAST else words, "word").drop("root")
-        bits = ["b0", "b1", "c0", "c1"]
-        pivots = rows.groupBy("word").agg(F.min(F.struct("id", *bits)).alias("p"))
-        far = lambda *c: sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in c)
-        found = rows.join(pivots, "word").where((F.col("id") != F.col("p.id")) & (far("b0", "b1") <= NEAR) & (far("c0", "c1") <= WIDE)).select("id", F.col("p.id").alias("pid"))
+        rows = _keyed(features.withColumn("root", F.col("id")), band).drop("root")
+        large = F.broadcast(heavy.where(F.col("band") == band).select("word", "k"))
+        part = F.when(F.col("k").isNull(), F.col("word")).otherwise(F.xxhash64("word", F.pmod(F.xxhash64("id"), F.col("k"))))
+        rows = rows.join(large, "word", "left").select(part.alias("word"), *rows.columns[1:])
+        found = rows.repartition("word").sortWithinPartitions("word", "id").mapInArrow(_beside_first, "id bigint, pid bigint").distinct()
+        found = materialise(found, "tried")
         out = found if out is None else out.unionByName(found)
+        del rows
+        _let_go(features)
     return out.distinct()
 
 
+def _let_go(df: DataFrame) -> None:
+    """Lets Spark remove the shuffles that no plan refers to any more."""
+    df.sparkSession._jvm.System.gc()
+
+
 def _linked(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.col("id").alias("src"), F.col("pid").alias("dst"))).withColumnRenamed("node", "id")
 
 
-def copies(media: DataFrame, key: str = "media_id", image: str = "image", busy: int = BUSY, max_block: int = MAX_BLOCK, look: int = LOOK) -> DataFrame:
+def copies(media: DataFrame, key: str = "media_id", image: str = "image", max_block: int = MAX_BLOCK, look: int = LOOK) -> DataFrame:
     """One row an image: key, copy_of (the smallest key of its component), n_corners.
 
     Images of equal bytes are copies, unreadable, empty and null ones too (null with null). Repeated rows and null keys
@@ -403,10 +431,9 @@ def copies(media: DataFrame, key: str = "media_id", image: str = "image", busy:
     features = every.where(F.size("words") > 0).select("id", "row", "words", "around", "places")
     features = features.join(F.broadcast(again) if n <= MAX_BROADCAST else again, "row", "left_anti") if n else features
     # sizes of keys are only for speed: they are estimated from one image in `look`
-    looked = _keys(features.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(look)) == 0)).groupBy("band", "word").agg((F.count("*") * look).alias("n")).where(F.col("n") > busy)
-    looked = materialise(looked, "looked")
-    heavy = materialise(looked.where(F.col("n") > max_block).select("band", "word", F.ceil(F.col("n") / max_block).alias("k")), "heavy")
-    tried = _with_pivots(features, looked)
+    looked = _keys(features.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(look)) == 0)).groupBy("band", "word").agg((F.count("*") * look).alias("n")).where(F.col("n") > max_block)
+    heavy = materialise(looked.select("band", "word", F.ceil(F.col("n") / max_block).alias("k")), "heavy")
+    tried = _with_pivots(features, heavy)
     links = _agreed(features, tried)
     first = _linked(links)
     k = first.count()

@@ -116,8 +116,8 @@ def test_images_that_are_no_pivot_meet(spark, monkeypatch):
     described = [(n, n, n, [w for v in c for w in words[v]], [w for v in c for w in around[v]], [place(v) for v in c]) for n, c in enumerate(corners)]
     lists = "words array<bigint>, around array<bigint>, places array<bigint>"
     monkeypatch.setattr(media, "descriptors", lambda *_: spark.createDataFrame(described, f"media_id bigint, row bigint, id bigint, {lists}"))
-    for busy in (0, 100):
-        assert {x["copy_of"] for x in media.copies(None, busy=busy, max_block=3, look=1).collect()} == {0}
+    for block in (3, 100):
+        assert {x["copy_of"] for x in media.copies(None, max_block=block, look=1).collect()} == {0}
     features = spark.createDataFrame([(n, n % 4, *rest) for n, _, _, *rest in described], f"id bigint, root bigint, {lists}")
     heavy = media._keys(features).groupBy("band", "word").count().where("count > 2").selectExpr("band", "word", "ceil(count / 2) AS k")
     want = {(a, b) for a in range(8) for b in range(a) if a % 4 != b % 4 and set(corners[a]) & set(corners[b])}
