@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, cotraining, language, media, mixing, rules, secrets, simhash, toxicity
+from tessera.llm import bpe, chat, collocations, cotraining, language, media, mixing, negatives, packing, rules, secrets, simhash, toxicity
 from tessera.llm.common import crc_mod, table
 
 
@@ -67,6 +67,22 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose vec_id is divisible by 7 are moved on by one first, so that some rows look like another label's."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_chat": op2_chat,
@@ -78,5 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotraining": op8_cotraining,
     "op9_media": op9_media,
     "op10_rules": op10_rules,
+    "op11_negatives": op11_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_packing": op13_packing,
 }
-ORACLES: dict[str, str] = {"op6_secrets": secrets.oracle_sql()}
+ORACLES: dict[str, str] = {"op6_secrets": secrets.oracle_sql(), "op11_negatives": negatives.ORACLE, "op12_collocations": collocations.ORACLE}
