@@ -53,6 +53,18 @@ def candidate_pairs(norm: DataFrame, cap: int = CAP) -> DataFrame:
     return first.select(pair_id("a", "b").alias("pair_id"), F.col("a").alias("record_a_id"), F.col("b").alias("record_b_id"), F.array(label).alias("blocking_keys"))
 
 
+#: What scores are made of.
+CONTENT = ["business_name", "address_pincode", "address_locality", "address_district", "pan", "gstin", "phone", "email", "registration_date"]
+
+
+def with_content(pairs: DataFrame, norm: DataFrame) -> DataFrame:
+    """Pairs with content_key: a hash of the pair and of all that its score is made of, so a pair whose records have changed counts as another."""
+    own = norm.select("id", F.xxhash64(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"})).alias("h"))
+    a, b = (own.select(F.col("id").alias(f"record_{s}_id"), F.col("h").alias(f"h_{s}")) for s in "ab")
+    joined = pairs.join(a, "record_a_id").join(b, "record_b_id")
+    return joined.select(*pairs.columns, F.xxhash64("pair_id", "h_a", "h_b").alias("content_key"))
+
+
 def pair_id(a: str, b: str):
     """The same id for a pair in every run."""
     return F.sha2(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")), 256)

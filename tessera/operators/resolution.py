@@ -26,28 +26,27 @@ def assign(norm: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
     A record joins the GSTIN's identity if there is one, else the PAN's, else it founds one (by GSTIN, then PAN, then an
     internal id). `existing` are masters (ubid, anchor_type, anchor_value, status): active ones come before all records; a
-    deprecated one blocks its id, and records that would found it get internal ones.
+    deprecated one blocks its id, so a record that would found it gets an internal one, which no other record joins.
     """
     rows = norm.select("id", F.col("valid_pan").alias("p"), F.col("valid_gstin").alias("g"), F.lit(1).alias("late"))
-    taken = None
+    free_p = free_g = F.lit(True)
     if existing is not None:
-        old = existing.where("status = 'ACTIVE'")
+        old, gone = existing.where("status = 'ACTIVE'"), existing.where("status <> 'ACTIVE'")
         anchor = lambda kind: F.when(F.col("anchor_type") == kind, F.col("anchor_value"))
         no_id = F.lit(None).cast(norm.schema["id"].dataType)
         rows = rows.unionByName(old.select(no_id.alias("id"), anchor("PAN").alias("p"), anchor("GSTIN").alias("g"), F.lit(0).alias("late")).where("p IS NOT NULL OR g IS NOT NULL"))
-        taken = existing.where("status <> 'ACTIVE'").select(F.col("ubid").alias("founded"), F.lit(True).alias("blocked")).distinct()
+        for c, prefix in (("p", "UBID-PAN-"), ("g", "UBID-GST-")):
+            taken = gone.where(F.col("ubid").startswith(prefix)).select(F.col("ubid").substr(F.lit(len(prefix) + 1), F.length("ubid")).alias(c), F.lit(True).alias(f"gone_{c}"))
+            rows = rows.join(taken.distinct(), c, "left")
+        free_p, free_g = ((F.col("late") == 0) | F.col(f"gone_{c}").isNull() for c in "pg")
     at = F.struct("late", "id")
-    first_p = rows.where("p IS NOT NULL AND g IS NULL").groupBy("p").agg(F.min(at).alias("first_p"))
+    first_p = rows.where(F.col("p").isNotNull() & F.col("g").isNull() & free_p).groupBy("p").agg(F.min(at).alias("first_p"))
     rows = rows.join(first_p, "p", "left")
-    founders = rows.where(F.col("g").isNotNull() & (F.col("first_p").isNull() | (F.col("first_p") > at)))
+    founders = rows.where(F.col("g").isNotNull() & free_g & (F.col("first_p").isNull() | (F.col("first_p") > at)))
     rows = rows.join(founders.groupBy("g").agg(F.min(at).alias("first_g")), "g", "left").where("late = 1")
     by_g, by_p = F.coalesce(F.col("first_g") <= at, F.lit(False)), F.coalesce(F.col("first_p") <= at, F.lit(False))
     founded = F.when(by_g, F.concat(F.lit("UBID-GST-"), "g")).when(by_p, F.concat(F.lit("UBID-PAN-"), "p"))
-    rows = rows.select("id", founded.alias("founded"))
-    if taken is None:
-        return rows.select("id", F.coalesce("founded", internal_id(F.col("id"))).alias("ubid"))
-    rows = rows.join(taken, "founded", "left")
-    return rows.select("id", F.when(F.col("blocked") | F.col("founded").isNull(), internal_id(F.col("id"))).otherwise(F.col("founded")).alias("ubid"))
+    return rows.select("id", F.coalesce(founded, internal_id(F.col("id"))).alias("ubid"))
 
 
 def masters(norm: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -180,6 +179,34 @@ def reverse(all_masters: DataFrame, merges: DataFrame, merge_id: str, reason: st
     return back, after, reversal
 
 
+def resolve(norm: DataFrame, pairs: DataFrame, held_masters: DataFrame, held_sources: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One run over kept state: (created masters, merges, all masters, source records).
+
+    A record whose source key (source_system, source_record_id) is held keeps its identity, whatever made it what it is:
+    merges of reviewers stay, and so do reversals, as a reversed merge leaves its records with the winner. Other records are
+    assigned after the identities there are. AUTO_LINK pairs merge only where their records' identities still differ, so the
+    links, their components and the replay are those of what has changed. `earlier` are all merges so far (winner, loser):
+    a merge of the same two gets an id of its own.
+    """
+    key = ["source_system", "source_record_id"]
+    known = held_sources.groupBy(*key).agg(F.min("ubid").alias("ubid"))
+    new = materialise(norm.join(known, key, "left_anti"), "new_records")
+    placed = materialise(assign(new, held_masters), "assigned")
+    created = materialise(masters(new, placed).drop("n_records").join(held_masters.select("ubid"), "ubid", "left_anti"), "created")
+    attached = placed.join(new.select("id", *key, "content_hash"), "id").withColumnRenamed("id", "record_id")
+    sources = materialise(held_sources.select("ubid", *key, "record_id", "content_hash").unionByName(attached), "sources")
+    assigned = norm.join(known, key).select("id", "ubid").unionByName(placed)
+    links = ubid_links(pairs, assigned)
+    merges = merge(links, sources.groupBy("ubid").agg(F.count("*").alias("n_records")))
+    again = earlier.groupBy("winner", "loser").agg(F.count("*").alias("times"))
+    number = F.when(F.col("times").isNotNull(), F.sha2(F.concat_ws("|", "merge_id", F.col("times").cast("string")), 256)).otherwise(F.col("merge_id"))
+    merges = materialise(merges.join(again, ["winner", "loser"], "left").withColumn("merge_id", number).drop("times"), "merges")
+    every = held_masters.select(created.columns).unionByName(created)
+    after = materialise(apply_merges(every, merges), "masters")
+    lost = after.join(merges.select(F.col("loser").alias("ubid")).distinct(), "ubid", "left_semi")  # only what this run has merged moves
+    return created, merges, after, repoint(sources, lost)
+
+
 def cluster_edges(source_records: DataFrame) -> DataFrame:
     """All pairs of the source records of each identity, weight 0.8: the graph that is drawn of one identity. Filter to the identities wanted first."""
     a = source_records.select("ubid", F.col("record_id").alias("source"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def predicate(q: str) -> Column | None:
 
 
 def identity_search(masters: DataFrame, statuses: DataFrame, source_records: DataFrame, q: str = "", status: str | None = None, district: str | None = None, limit: int = 20) -> DataFrame:
-    """Identities that match, with status (UNKNOWN if none), score and number of source records, by id."""
-    rows, asked = masters, predicate(q)
+    """Active identities that match, with status (UNKNOWN if none), score and number of source records, by id."""
+    rows, asked = masters.where("status = 'ACTIVE'"), predicate(q)
     rows = rows if asked is None else rows.where(asked)
     if status:
         rows = rows.join(statuses.where(F.col("status") == status).select("ubid"), "ubid", "left_semi")
@@ -82,40 +84,110 @@ def _entries(field: str, terms: Column) -> Column:
     return F.transform(F.array_compact(terms), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
 
 
-def fuzzy_search(index: DataFrame, docs: DataFrame, q: str, filters: dict[str, str] | None = None, limit: int = 20) -> DataFrame:
-    """(ubid, relevance) of identities that one of the query's words meets, the best first.
-
-    Words of names and variants may differ by 0, 1 or 2 edits as the query's word has up to 2, up to 5, or more letters.
-    A field's score is the sum over the query's words of the best term met: the field's boost, times how rare the term is
-    (ln(1 + (N - n + 0.5) / (n + 0.5)) for n of N identities), less the share of the word's letters that are edited. The
-    best field counts. Filters keep the identities with the values given.
-    """
+def asked_words(q: str) -> list[str]:
+    """The distinct words of a query, letters with marks as plain ones."""
     plain = q.lower().translate(str.maketrans(MARKED, PLAIN))
-    asked = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in plain).split()))
-    if not asked:
-        return docs.limit(0).select("ubid", F.lit(0.0).alias("relevance"))
-    each = None
-    for w in asked:
-        most = 0 if len(w) <= 2 else 1 if len(w) <= 5 else 2
-        edits = F.levenshtein("term", F.lit(w), most)
-        field = F.col("field")
-        far = (
-            F.when(field.isin("name", "variant") & (edits >= 0), edits)
-            .when((field == "edge_ngram") & (F.col("term") == w[:15]), 0)
-            .when((field == "soundex") & (F.col("term") == F.soundex(F.lit(w))), 0)
-            .when(field.isin("anchor", "pincode") & (F.col("term") == w.upper()), 0)
-        )
-        one = F.when(far.isNotNull(), F.struct(F.lit(w).alias("word"), (1 - far / F.lit(float(len(w)))).alias("near")))
-        each = [one] if each is None else [*each, one]
+    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in plain).split()))
+
+
+def most_edits(word: str) -> int:
+    return 0 if len(word) <= 2 else 1 if len(word) <= 5 else 2
+
+
+def _met(word: str) -> Column:
+    """(word, near) if the posting's term meets the word, else null."""
+    edits, field = F.levenshtein("term", F.lit(word), most_edits(word)), F.col("field")
+    far = (
+        F.when(field.isin("name", "variant") & (edits >= 0), edits)
+        .when((field == "edge_ngram") & (F.col("term") == word[:15]), 0)
+        .when((field == "soundex") & (F.col("term") == F.soundex(F.lit(word))), 0)
+        .when(field.isin("anchor", "pincode") & (F.col("term") == word.upper()), 0)
+    )
+    return F.when(far.isNotNull(), F.struct(F.lit(word).alias("word"), (1 - far / F.lit(float(len(word)))).alias("near")))
+
+
+def _hits(postings_: DataFrame, words_: list[str]) -> DataFrame:
+    """Postings (field, term, ubid) to (field, term, ubid, word, near) of each word of the query that they meet."""
+    each = F.explode(F.array_compact(F.array(*[_met(w) for w in words_])))
+    return postings_.select("field", "term", "ubid", each.alias("hit")).select("field", "term", "ubid", "hit.word", "hit.near")
+
+
+def ranked(hits: DataFrame, docs: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
+    """(ubid, relevance) of all identities that the hits and filters leave. All postings of a term that is met must be among the hits."""
     boost = F.try_element_at(F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv]), F.col("field"))
-    hits = index.select("field", "term", "ubid", F.explode(F.array_compact(F.array(*each))).alias("hit")).select("field", "term", "ubid", "hit.word", "hit.near")
-    # all postings of a term that is met are among the hits
     known = hits.groupBy("field", "term").agg(F.count_distinct("ubid").alias("n"))
     total = docs.agg(F.count("*").alias("total"))
     rare = F.log1p((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    scored = hits.join(known.join(F.broadcast(total)), ["field", "term"]).select("ubid", "field", "word", (boost * rare * F.col("near")).alias("s"))
+    scored = hits.join(known.join(F.broadcast(total)), ["field", "term"]).select("ubid", "field", "word", (boost * rare * F.col("near")).alias("s"))  # one row
     found = scored.groupBy("ubid", "field", "word").agg(F.max("s").alias("s")).groupBy("ubid", "field").agg(F.sum("s").alias("s")).groupBy("ubid").agg(F.max("s").alias("relevance"))
     rows = docs
     for column, value in (filters or {}).items():
         rows = rows.where(F.col(column) == value)
-    return rows.join(found, "ubid").select("ubid", "relevance").orderBy(F.desc("relevance"), "ubid").limit(limit)
+    return rows.join(found, "ubid").select("ubid", "relevance")
+
+
+def fuzzy_search(index: DataFrame, docs: DataFrame, q: str, filters: dict[str, str] | None = None, limit: int = 20) -> DataFrame:
+    """(ubid, relevance) of identities that one of the query's words meets, the best first.
+
+    Words of names and variants may differ by 0, 1 or 2 edits as the query's word has up to 2, up to 5, or more letters.
+    A field's score is the sum over the query's words of the best term met: the field's boost, times how rare the term is
+    (ln(1 + (N - n + 0.5) / (n + 0.5)) for n of N identities), less the share of the word's letters that are edited. The
+    best field counts. Filters keep the identities with the values given. All postings are read: see lookup().
+    """
+    words_ = asked_words(q)
+    if not words_:
+        return docs.limit(0).select("ubid", F.lit(0.0).alias("relevance"))
+    return ranked(_hits(index, words_), docs, filters).orderBy(F.desc("relevance"), "ubid").limit(limit)
+
+
+#: Buckets that terms and keys are dealt out to. A word of ten letters has 56 keys at most, so with many more buckets than that a query reads few of them.
+BUCKETS = 256
+
+
+def bucket(c: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.crc32(c.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def bucketed(postings_: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Postings with the bucket of their term, to be kept in partitions of field and bucket."""
+    return postings_.withColumn("bucket", bucket(F.col("term"), buckets))
+
+
+def term_keys(postings_: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(key, field, term, bucket): distinct terms of names and variants under each of their deletions, to be kept in partitions of bucket, which is that of the key."""
+    terms = postings_.where(F.col("field").isin("name", "variant")).select("field", "term").distinct()
+    keyed = terms.withColumn("key", F.explode(T.deletions(F.col("term"))))
+    return keyed.select("key", "field", "term", bucket(F.col("key"), buckets).alias("bucket"))
+
+
+def without(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without up to `most` of its characters."""
+    out, last = {word}, {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
+def lookup(keys: DataFrame, index: DataFrame, docs: DataFrame, q: str, filters: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The same as fuzzy_search() without a limit or an order, from kept tables: term_keys() by bucket, and bucketed() postings by field and bucket. Only partitions that the query's words can meet are read.
+
+    Which partitions have terms within the edits allowed goes to the driver: at most two fields of `buckets` numbers.
+    """
+    words_ = asked_words(q)
+    if not words_:
+        return docs.limit(0).select("ubid", F.lit(0.0).alias("relevance"))
+    at = lambda s: zlib.crc32(s.encode()) % buckets
+    wanted = sorted(set().union(*[without(w, most_edits(w)) for w in words_]))
+    near = keys.where(F.col("bucket").isin(sorted({at(k) for k in wanted})) & F.col("key").isin(wanted)).select("field", "term").distinct()
+    met = near.where(F.coalesce(*[_met(w)["near"] for w in words_]).isNotNull())
+    places = {(r["field"], r["bucket"]) for r in met.select("field", bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()}
+    sounds = index.sparkSession.range(1).select(F.array(*[F.soundex(F.lit(w)) for w in words_])).first()[0]
+    places |= {(f, at(t)) for w, sound in zip(words_, sounds, strict=True) for f, t in (("edge_ngram", w[:15]), ("soundex", sound), ("anchor", w.upper()), ("pincode", w.upper()))}
+    by_field: dict[str, list[int]] = {}
+    for f, b in sorted(places):
+        by_field.setdefault(f, []).append(b)
+    there = F.lit(False)
+    for f, bs in by_field.items():
+        there = there | ((F.col("field") == f) & F.col("bucket").isin(bs))
+    return ranked(_hits(index.where(there), words_), docs, filters)

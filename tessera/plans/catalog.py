@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import pii
 from tessera.functions import text as T
-from tessera.operators import activity, blocking, evaluation, ledger, resolution, scoring, search
+from tessera.operators import activity, blocking, evaluation, ledger, pair_filter, resolution, scoring, search
 from tessera.plans import named
 from tessera.plans.engine import Engine
 from tessera.plans.shared import materialise, shared_dir
@@ -83,7 +83,14 @@ CTES |= {
       asg AS (SELECT id, CASE WHEN fg <= id THEN 'UBID-GST-' || vg WHEN fp <= id THEN 'UBID-PAN-' || vp ELSE 'UBID-INT-' || upper(left(sha256(id), 12)) END AS ubid FROM as0 LEFT JOIN fg USING (vg))""",
     "lk": "lk AS (SELECT x.ubid AS ua, y.ubid AS ub, s.* FROM sc s JOIN asg x ON s.a = x.id JOIN asg y ON s.b = y.id WHERE decision = 'AUTO_LINK' AND x.ubid <> y.ubid)",
 }
-_NEEDS = {"st": ["ev", "ma"], "no": ["re"], "pa": ["no"], "sc": ["pa"], "rv": ["sc"], "asg": ["no"], "lk": ["sc", "asg"]}
+CTES["ex"] = """of0 AS (SELECT vp, min(id) AS fp FROM no WHERE CAST(source_record_id AS BIGINT) % 3 <> 0 AND vp IS NOT NULL AND vg IS NULL GROUP BY vp),
+      of1 AS (SELECT id, vp, vg, fp FROM no LEFT JOIN of0 USING (vp) WHERE CAST(source_record_id AS BIGINT) % 3 <> 0), of2 AS (SELECT vg, min(id) AS fg FROM of1 WHERE vg IS NOT NULL AND (fp IS NULL OR fp > id) GROUP BY vg),
+      ex AS (SELECT DISTINCT CASE WHEN fg <= id THEN 'UBID-GST-' || vg WHEN fp <= id THEN 'UBID-PAN-' || vp ELSE 'UBID-INT-' || upper(left(sha256(id), 12)) END AS ubid, substr(ubid, 12, 1) IN ('A', 'C', 'E', '1', '3') AS gone FROM of1 LEFT JOIN of2 USING (vg)),
+      r0 AS (SELECT id, vp AS p, vg AS g, '1' || id AS o FROM no WHERE CAST(source_record_id AS BIGINT) % 3 = 0 UNION ALL
+        SELECT NULL, CASE WHEN ubid LIKE 'UBID-PAN-%' THEN substr(ubid, 10) END, CASE WHEN ubid LIKE 'UBID-GST-%' THEN substr(ubid, 10) END, '0' FROM ex WHERE NOT gone AND ubid NOT LIKE 'UBID-INT-%'),
+      rg AS (SELECT *, p IS NOT NULL AND 'UBID-PAN-' || p IN (SELECT ubid FROM ex WHERE gone) AS gp, g IS NOT NULL AND 'UBID-GST-' || g IN (SELECT ubid FROM ex WHERE gone) AS gg FROM r0),
+      r1 AS (SELECT rg.*, fp FROM rg LEFT JOIN (SELECT p, min(o) AS fp FROM rg WHERE p IS NOT NULL AND g IS NULL AND (o = '0' OR NOT gp) GROUP BY p) USING (p))"""
+_NEEDS = {"ex": ["no"], "st": ["ev", "ma"], "no": ["re"], "pa": ["no"], "sc": ["pa"], "rv": ["sc"], "asg": ["no"], "lk": ["sc", "asg"]}
 
 
 def sql(body: str, *ctes: str) -> str:
@@ -311,7 +318,7 @@ def _(d):
     return named.sector_trend(d.masters(), _status(d), "2")
 
 
-_SEARCH = "SELECT m.ubid, m.primary_name, m.primary_pincode, m.primary_district, coalesce(s.status, 'UNKNOWN') AS activity_status, round(coalesce(s.score, 0), 4) AS activity_score, CAST(coalesce(c.n, 0) AS BIGINT) AS source_count FROM ma m LEFT JOIN st s USING (ubid) LEFT JOIN (SELECT ubid, count(*) AS n FROM sr GROUP BY 1) c USING (ubid) WHERE {} ORDER BY m.ubid LIMIT 20"
+_SEARCH = "SELECT m.ubid, m.primary_name, m.primary_pincode, m.primary_district, coalesce(s.status, 'UNKNOWN') AS activity_status, round(coalesce(s.score, 0), 4) AS activity_score, CAST(coalesce(c.n, 0) AS BIGINT) AS source_count FROM ma m LEFT JOIN st s USING (ubid) LEFT JOIN (SELECT ubid, count(*) AS n FROM sr GROUP BY 1) c USING (ubid) WHERE m.status = 'ACTIVE' AND {} ORDER BY m.ubid LIMIT 20"
 
 
 def _search(d: Demo, *args) -> DataFrame:
@@ -512,6 +519,58 @@ def _(d):
     return resolution.repoint(assigned, resolution.apply_merges(masters, merges))
 
 
+@query(
+    "res_again",
+    _recursive(
+        _REPLAY
+        + _CHAINS
+        + """, ends AS (SELECT id, e.x AS ubid FROM asg JOIN (SELECT ubid, arg_max(x, n) AS x FROM up GROUP BY ubid) e USING (ubid))
+        SELECT u.ubid, CASE WHEN mg.loser IS NULL OR mg.loser = (SELECT min(loser) FROM mg) THEN 'ACTIVE' ELSE 'DEPRECATED' END AS status, count(ends.id) AS n_records
+        FROM (SELECT DISTINCT ubid FROM asg) u LEFT JOIN mg ON mg.loser = u.ubid LEFT JOIN ends ON ends.ubid = u.ubid GROUP BY u.ubid, mg.loser""",
+        "lk",
+    ),
+)
+def _(d):
+    """A run, the reversal of one merge, and a second run, which keeps both: all identities with status and source records."""
+    norm, pairs, state = _written(d).withColumn("content_hash", F.lit(None).cast("string")), materialise(_scored(d), "scored"), _no_state(d)
+    _, merges, masters, sources = resolution.resolve(norm, pairs, *state)
+    masters, sources = materialise(masters, "masters"), materialise(sources, "sources")
+    if first := merges.orderBy("loser").first():
+        masters, _, _ = resolution.reverse(masters, merges.withColumn("reversed", F.lit(False)), first["merge_id"], "again", "admin", datetime(2024, 1, 1))
+    _, more, after, sources = resolution.resolve(norm, pairs, materialise(masters, "masters"), sources, merges.select("winner", "loser"))
+    counts = sources.groupBy("ubid").agg(F.count("*").alias("n_records"))
+    return after.join(counts, "ubid", "left").select("ubid", "status", F.coalesce("n_records", F.lit(0)).alias("n_records")).join(more.select(F.col("loser").alias("ubid")), "ubid", "left_anti")
+
+
+def _no_state(d: Demo) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Masters, source records and merges before any run."""
+    return (
+        d.spark.createDataFrame([], "ubid string, anchor_type string, anchor_value string, primary_name string, primary_address string, primary_pincode string, primary_district string, status string, deprecated_by_ubid string"),
+        d.spark.createDataFrame([], "ubid string, source_system string, source_record_id string, record_id string, content_hash string"),
+        d.spark.createDataFrame([], "winner string, loser string"),
+    )
+
+
+_OLD_RECORD, _GONE = "CAST(source_record_id AS BIGINT) % 3 <> 0", "substr(ubid, 12, 1) IN ('A', 'C', 'E', '1', '3')"
+
+
+@query(
+    "res_assign_held",
+    sql(
+        """SELECT id, CASE WHEN fg <= o THEN 'UBID-GST-' || g WHEN fp <= o THEN 'UBID-PAN-' || p ELSE 'UBID-INT-' || upper(left(sha256(id), 12)) END AS ubid
+        FROM r1 LEFT JOIN (SELECT g, min(o) AS fg FROM r1 WHERE g IS NOT NULL AND (o = '0' OR NOT gg) AND (fp IS NULL OR fp > o) GROUP BY g) USING (g) WHERE o > '0'""",
+        "ex",
+    ),
+)
+def _(d):
+    """Records of the second load over the identities of the first, of which some are deprecated."""
+    norm = _written(d)
+    old = F.expr(_OLD_RECORD)
+    held = resolution.masters(norm.where(old), resolution.assign(norm.where(old)))
+    held = materialise(held.withColumn("status", F.when(F.expr(_GONE), "DEPRECATED").otherwise("ACTIVE")), "held")
+    return resolution.assign(norm.where(~old), held)
+
+
 @query("res_cluster_edges", sql("SELECT x.ubid, x.id AS source, y.id AS target, 0.8::DOUBLE AS weight FROM asg x JOIN asg y ON x.ubid = y.ubid AND x.id < y.id", "asg"))
 def _(d):
     return resolution.cluster_edges(resolution.assign(_norm(d)).withColumnRenamed("id", "record_id"))
@@ -645,6 +704,29 @@ def _(d):
     return search.fuzzy_search(materialise(search.postings(docs), "postings"), docs, " ".join(_WORDS), limit=2**31 - 1).withColumn("relevance", F.round("relevance", 6))
 
 
+@query("sea_fuzzy_index", ORACLES["sea_fuzzy"])
+def _(d):
+    """The same search from kept tables of keys and postings, of which only some partitions are read."""
+    docs = materialise(_documents(d), "documents")
+    found = materialise(search.postings(docs), "postings")
+    kept = store.Store(d.spark, f"{shared_dir(d.spark)}/tessera/search-{uuid.uuid4().hex}")
+    kept.overwrite("search_postings", search.bucketed(found), ["field", "bucket"], ["term"])
+    kept.overwrite("search_keys", search.term_keys(found), ["bucket"], ["key"])
+    got = search.lookup(kept.read("search_keys"), kept.read("search_postings"), docs, " ".join(_WORDS))
+    return got.withColumn("relevance", F.round("relevance", 6))
+
+
+@query("set_add_if_absent", sql("SELECT pair_id FROM pa WHERE substr(pair_id, 1, 1) IN ('0', '1', '2', '3')", "pa"))
+def _(d):
+    """Pairs that weren't seen: the filter holds those of other ids, and what it only may have seen is looked up."""
+    pairs = materialise(blocking.candidate_pairs(_written(d)).select("pair_id"), "pairs")
+    old = pairs.where(~F.substring("pair_id", 1, 1).isin("0", "1", "2", "3"))
+    blocks = pair_filter.blocks_for(max(1, pairs.count()), 0.01)
+    half = [pair_filter.of(old.where(c), "pair_id", blocks) for c in ("right(pair_id, 1) < '8'", "right(pair_id, 1) >= '8'")]
+    return pair_filter.unseen(pairs, "pair_id", materialise(pair_filter.merged(*half), "filter"), old, blocks)
+
+
+
 # ---- functions -----------------------------------------------------------------------------------------------------
 
 
@@ -663,11 +745,13 @@ def _(d):
     return d.table("part").select(F.col("p_partkey").alias("id"), T.locality(given).alias("locality"))
 
 
-@query("fn_ratio_native", f"WITH n AS (SELECT DISTINCT p_type AS a FROM part) SELECT x.a AS a, y.a AS b, round({_ratio('x.a', 'y.a')}, 4) AS r FROM n x, n y WHERE x.a <= y.a")
+@query("fn_ratio_native", f"SELECT x.p_partkey AS id, round({_ratio('x.n', 'y.n')}, 4) AS r FROM (SELECT p_partkey, p_brand || ' ' || p_name AS n FROM part) x JOIN (SELECT p_partkey - 1 AS p_partkey, p_name || ' ' || p_type AS n FROM part) y USING (p_partkey)")
 def _(d):
-    types = d.table("part").select(F.col("p_type").alias("a")).distinct()
-    pairs = types.join(types.withColumnRenamed("a", "b"), F.col("a") <= F.col("b"))
-    return pairs.select("a", "b", F.round(T.ratio_native(F.col("a"), F.col("b")), 4).alias("r"))
+    """Similarity of each part's name to the next part's."""
+    p = d.table("part")
+    a = p.select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("a"))
+    b = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat_ws(" ", "p_name", "p_type").alias("b"))
+    return a.join(b, "p_partkey").select(F.col("p_partkey").alias("id"), F.round(T.ratio(F.col("a"), F.col("b")), 4).alias("r"))
 
 
 @query("fn_gstin_check", sql("SELECT id, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(1 + (36 - list_sum(list_transform(range(1, 15), lambda i: ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(vg, i, 1)) - 1) * (1 + CAST(i % 2 = 0 AS INT))) // 36 + ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(vg, i, 1)) - 1) * (1 + CAST(i % 2 = 0 AS INT))) % 36)) % 36) % 36 AS BIGINT), 1) AS digit FROM no WHERE vg IS NOT NULL", "no"))
@@ -767,20 +851,48 @@ def _(d):
     return evaluation.calibration(_linear(d)).withColumns({c: F.round(c, 4) for c in ("mean_predicted", "fraction_positive")})
 
 
-@query("ml_split", sql("SELECT label, part, CAST(CASE part WHEN 'train' THEN floor(n * 0.8::DOUBLE + 0.5) ELSE n - floor(n * 0.8::DOUBLE + 0.5) END AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM sc GROUP BY 1), (SELECT unnest(['train', 'test']) AS part)", "sc"))
+@query("ml_split", sql("SELECT pair_id, label, CASE WHEN rn <= floor(n * 0.8::DOUBLE + 0.5) THEN 'train' ELSE 'test' END AS part FROM (SELECT pair_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || pair_id)) AS rn, count(*) OVER (PARTITION BY label) AS n FROM sc)", "sc"))
 def _(d):
-    parts = evaluation.split(evaluation.labelled(_features(d)))
-    out = [p.groupBy("label").agg(F.count("*").alias("n")).select("label", F.lit(n).alias("part"), "n") for n, p in zip(("train", "test"), parts, strict=True)]
-    return out[0].unionByName(out[1])
+    parts = evaluation.split(materialise(evaluation.labelled(_features(d)), "labelled"))
+    each = [p.select("pair_id", "label", F.lit(part).alias("part")) for p, part in zip(parts, ("train", "test"), strict=True)]
+    return each[0].unionByName(each[1])
 
 
-@query("ml_train")
+_SUMS = ["loss", *[f"g{i}" for i in range(6)], *[f"h{i}_{j}" for i in range(6) for j in range(i + 1)]]
+_TERMS = {"loss": "w * (ln(1 + exp(-abs(z))) + greatest(z, 0) - label * z)"} | {f"g{i}": f"w * (p - label) * x{i}" for i in range(6)} | {f"h{i}_{j}": f"w * p * (1 - p) * x{i} * x{j}" for i in range(6) for j in range(i + 1)}
+
+
+@query(
+    "ml_newton",
+    sql(
+        f""", m AS (SELECT unnest([-1, 0, 1, 2]) AS model), f AS (SELECT *, CAST(('0x' || left(sha256('7:' || pair_id), 8))::BIGINT % 3 AS INT) AS fold FROM sc),
+        a AS (SELECT model, label, f1 AS x0, f2 AS x1, f3 AS x2, f4 AS x3, f5 AS x4, 1.0::DOUBLE AS x5, count(*) OVER (PARTITION BY model) / (2.0::DOUBLE * count(*) OVER (PARTITION BY model, label)) AS w FROM f, m WHERE model <> fold),
+        b AS (SELECT *, (model + 2) * (4.0::DOUBLE * x0 + 9.0::DOUBLE * x1 + 5.0::DOUBLE * x2 + 3.0::DOUBLE * x3 + 8.0::DOUBLE * x4 - 18.0::DOUBLE) / 4 AS z FROM a), c AS (SELECT *, 1 / (1 + exp(-z)) AS p FROM b)
+        SELECT model, {", ".join(f"round(sum({_TERMS[n]}), 3) AS {n}" for n in _SUMS)} FROM c GROUP BY model""",
+        "sc",
+    ).replace("\n,", ","),
+)
 def _(d):
-    model, _ = evaluation.train(materialise(_features(d), "features"))
-    return evaluation.metrics(materialise(model(evaluation.split(evaluation.labelled(_features(d)))[1]), "scored"))
+    """One step of the fit of all folds: loss, gradient and Hessian of each model at a point of its own."""
+    rows = materialise(evaluation.labelled(_features(d)), "labelled").withColumn("fold", evaluation.fold_of())
+    models = [evaluation.WHOLE, 0, 1, 2]
+    each = rows.withColumn("model", F.explode(F.array(*map(F.lit, models)))).where("model <> fold")
+    per = each.groupBy("model", "label").agg(F.count("*").alias("k"))
+    total = per.groupBy("model").agg(F.sum("k").alias("n"))
+    weight = per.join(total, "model").select("model", "label", (F.col("n") / (2.0 * F.col("k"))).alias("w"))
+    each = each.join(F.broadcast(weight), ["model", "label"]).withColumns({"one": F.lit(1.0), "y": F.col("label").cast("double")})  # eight rows
+    points = {m: [(m + 2) * v / 4 for v in (4.0, 9.0, 5.0, 3.0, 8.0, -18.0)] for m in models}
+    sums = evaluation.newton_sums(each, [*scoring.FEATURES, "one"], points)
+    return sums.select("model", *[F.round(n, 3).alias(n) for n in _SUMS])
 
 
-# ---- sources and streams -------------------------------------------------------------------------------------------
+@query("ml_train")
+def _(d):
+    """The trained model's figures on held-out pairs."""
+    _, found = evaluation.train(_features(d))
+    weights = found.pop("coefficients")
+    rows = [(k, float(v)) for k, v in {**found, **{f"weight of {k}": v for k, v in weights.items()}}.items()]
+    return d.spark.createDataFrame(rows, "figure string, value double")
 
 
 @query("src_synthetic")
@@ -888,6 +1000,33 @@ def _(d):
     return log.join(per, "key").join(gaps).join(once).select(value, "partitions_of_key", (F.col("dense") & F.col("once")).alias("whole")).select("v.event_id", F.col("v.event_type").alias("value"), "partitions_of_key", "whole")
 
 
+@query("stm_groups", "SELECT g.grp, event_id, event_type AS value FROM events, (SELECT unnest(['all', 'again', 'late']) AS grp) g WHERE g.grp <> 'late' OR event_id % 2 = 0")
+def _(d):
+    """Events as three groups read them: one in polls, one that loses its consumer before each second commit, and one that begins after the odd events were published."""
+    root = f"{shared_dir(d.spark)}/tessera/topics-{uuid.uuid4().hex}"
+    rows = d.table("events").select("event_id", F.col("user_id").cast("string").alias("key"), F.concat_ws(":", "event_id", "event_type").alias("value"))
+    jobs.publish(rows.where("event_id % 2 = 1").select("key", "value"), root, "ubid.events")
+    late = jobs.Consumer(d.spark, root, "ubid.events", "late")
+    late.poll(2**62)
+    late.commit()
+    jobs.publish(rows.where("event_id % 2 = 0").select("key", "value"), root, "ubid.events")
+    most = max(1, d.table("events").count() // 12)
+    polls = []
+    for group, loses in (("all", False), ("again", True), ("late", False)):
+        consumer, turn = jobs.Consumer(d.spark, root, "ubid.events", group), 0
+        while not (got := consumer.poll(most)).isEmpty():
+            turn += 1
+            if loses and turn % 2 == 0:
+                consumer = jobs.Consumer(d.spark, root, "ubid.events", group)  # nothing was committed: the same messages come again
+                continue
+            consumer.commit()
+            polls.append(got.select(F.lit(group).alias("grp"), "value"))
+    out = polls[0]
+    for p in polls[1:]:
+        out = out.unionByName(p)
+    return out.select("grp", F.split_part("value", F.lit(":"), F.lit(1)).cast("bigint").alias("event_id"), F.split_part("value", F.lit(":"), F.lit(2)).alias("value"))
+
+
 @query("stm_heartbeats", "SELECT event_type AS source_system, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_beat, CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - CAST(floor(epoch(max(ts))) AS BIGINT) > 3600 THEN 'STALE' ELSE 'ALIVE' END AS state FROM events GROUP BY 1")
 def _(d):
     beats = d.table("events").select(F.col("event_type").alias("source_system"), F.col("ts").cast("timestamp").alias("beat_at"))

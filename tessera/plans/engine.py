@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import pii
-from tessera.operators import activity, blocking, evaluation, ledger, resolution, scoring, search
+from tessera.operators import activity, blocking, evaluation, ledger, pair_filter, resolution, scoring, search
 from tessera.plans import named
 from tessera.plans.shared import materialise
 from tessera.sources import adapters
 from tessera.sources.schemas import SCHEMAS
 from tessera.sources.store import Store, export_csv
 
+# Pairs that the filter of seen pairs is made for, and its share of false positives.
+FILTER_PAIRS, FILTER_RATE = 50_000_000, 0.001
+
 
 class Engine:
     """`ref` is the reference date of all decay and windows, `now` what is written as the time of changes: neither is read from a clock."""
@@ -26,6 +29,9 @@ class Engine:
         self.now = now or datetime.combine(ref, datetime.min.time())
         #: Of the last run of run_activity(): events that were open, joined, unmatched.
         self.last_join: dict[str, int] = {}
+        #: Pairs that the last run of run_blocking() hadn't seen.
+        self.last_new = 0
+        self.filter_blocks = pair_filter.blocks_for(FILTER_PAIRS, FILTER_RATE)
         self.models = evaluation.Registry(spark, f"{root}/models")
 
     def t(self, name: str) -> DataFrame:
@@ -42,12 +48,19 @@ class Engine:
         self.store.overwrite(table, df)
 
     def run_blocking(self) -> DataFrame:
-        """Candidate pairs; decisions of reviewers on pairs that are found again stay."""
-        norm = blocking.normalised(self.t("business_records"))
-        pairs = blocking.candidate_pairs(norm).withColumnRenamed("pair_id", "id")
-        old = self.pairs().select("id", "review_status", "reviewer_id", "reviewer_notes", "reviewed_at", "created_at")
-        rows = pairs.join(old, "id", "left").withColumns({"review_status": F.coalesce("review_status", F.lit("PENDING")), "created_at": F.coalesce("created_at", F.lit(self.now)), "score": F.lit(None).cast("double"), "decision": F.lit(None).cast("string")})
-        self.store.overwrite("candidate_pairs", rows)
+        """Candidate pairs. Pairs that are found again, between records with the same content, stay as they are, with score and review; the pair filter tells new ones mostly without a look at the old."""
+        norm = materialise(blocking.normalised(self.t("business_records")), "norm")
+        pairs = materialise(blocking.with_content(blocking.candidate_pairs(norm), norm).withColumnRenamed("pair_id", "id"), "pairs")
+        held = self.pairs()
+        fresh = pair_filter.unseen(pairs, "content_key", self.t("pair_filter"), held.where("content_key IS NOT NULL"), self.filter_blocks)
+        fresh = materialise(fresh, "fresh")
+        reviewed = held.select("id", "review_status", "reviewer_id", "reviewer_notes", "reviewed_at", "created_at")
+        new = fresh.join(reviewed, "id", "left").withColumns({"review_status": F.coalesce("review_status", F.lit("PENDING")), "created_at": F.coalesce("created_at", F.lit(self.now)), "score": F.lit(None).cast("double"), "decision": F.lit(None).cast("string")})
+        kept = held.join(pairs.select("content_key"), "content_key", "left_semi")
+        self.last_new = fresh.count()
+        self.store.overwrite("candidate_pairs", kept.unionByName(new, allowMissingColumns=True))
+        if self.last_new:
+            self.store.overwrite("pair_filter", pair_filter.merged(self.t("pair_filter"), pair_filter.of(fresh, "content_key", self.filter_blocks)))
         return blocking.statistics(self.t("business_records"), self.pairs())
 
     def run_scoring(self) -> DataFrame:
@@ -61,20 +74,22 @@ class Engine:
         return self.pairs().groupBy("decision").agg(F.count("*").alias("n"))
 
     def run_resolution(self) -> DataFrame:
+        """Over the state that is kept: what is assigned, merged or reversed already stays, and the ledger gets only what is new."""
         norm = blocking.normalised(self.t("business_records"))
-        assigned = materialise(resolution.assign(norm), "assigned")
-        masters = resolution.masters(norm, assigned)
-        pairs = self.pairs()
-        merges = materialise(resolution.merge(resolution.ubid_links(pairs, assigned), masters), "merges")
-        after = materialise(resolution.apply_merges(masters, merges), "masters")
-        sources = assigned.join(norm.select("id", "source_system", "source_record_id", "content_hash"), "id").withColumnRenamed("id", "record_id")
+        held, given = self.t("ubid_master"), self.t("ubid_source_records")
+        done = self.t("merge_provenance").select(F.col("ubid_winner").alias("winner"), F.col("ubid_loser").alias("loser"))
+        created, merges, after, sources = resolution.resolve(norm, self.pairs(), held, given, done)
         when = F.lit(self.now)
-        self.store.overwrite("ubid_master", after.withColumns({"created_at": when, "updated_at": when}))
-        self.store.overwrite("ubid_source_records", resolution.repoint(sources, after).withColumns({"id": F.xxhash64("record_id"), "joined_at": when}))
-        self.store.overwrite("merge_provenance", merges.select("merge_id", F.col("winner").alias("ubid_winner"), F.col("loser").alias("ubid_loser"), "score", F.lit(scoring.MODEL_VERSION).alias("model_version"), F.lit("SYSTEM").alias("decided_by"), when.alias("decided_at"), F.lit(None).cast("string").alias("feature_breakdown"), F.lit(False).alias("reversed")))
-        created = after.select(F.lit(0).alias("o"), F.col("ubid").alias("aggregate_id"), F.lit("UBID_CREATED").alias("event_type"), F.lit("UBID").alias("aggregate_type"), ledger.canonical(F.struct("anchor_type", "anchor_value", "primary_name")).alias("payload"))
+        was = held.select("ubid", "created_at", "updated_at", F.struct("status", "deprecated_by_ubid").alias("was"))
+        rows = after.join(was, "ubid", "left").withColumn("updated_at", F.when(F.col("was") == F.struct("status", "deprecated_by_ubid"), F.col("updated_at")).otherwise(when))
+        self.store.overwrite("ubid_master", rows.withColumn("created_at", F.coalesce("created_at", when)).drop("was"))
+        joined = given.select("record_id", "joined_at").groupBy("record_id").agg(F.min("joined_at").alias("joined_at"))
+        sources = sources.join(joined, "record_id", "left").withColumns({"id": F.xxhash64("record_id"), "joined_at": F.coalesce("joined_at", when)})
+        self.store.overwrite("ubid_source_records", sources)
+        self.store.append("merge_provenance", merges.select("merge_id", F.col("winner").alias("ubid_winner"), F.col("loser").alias("ubid_loser"), "score", F.lit(scoring.MODEL_VERSION).alias("model_version"), F.lit("SYSTEM").alias("decided_by"), when.alias("decided_at"), F.lit(None).cast("string").alias("feature_breakdown"), F.lit(False).alias("reversed")))
+        born = created.select(F.lit(0).alias("o"), F.col("ubid").alias("aggregate_id"), F.lit("UBID_CREATED").alias("event_type"), F.lit("UBID").alias("aggregate_type"), ledger.canonical(F.struct("anchor_type", "anchor_value", "primary_name")).alias("payload"))
         merged = merges.select(F.lit(1).alias("o"), F.col("merge_id").alias("aggregate_id"), F.lit("UBID_MERGED").alias("event_type"), F.lit("MERGE").alias("aggregate_type"), ledger.canonical(F.struct("loser", "score", "winner")).alias("payload"))
-        self._record(created.unionByName(merged))
+        self._record(born.unionByName(merged))
         return self.t("merge_provenance").agg(F.count("*").alias("merges")).join(self.t("ubid_master").agg(F.count_if(F.col("status") == "ACTIVE").alias("active_ubids")))
 
     def run_activity(self) -> DataFrame:
@@ -103,7 +118,11 @@ class Engine:
 
     def _record(self, entries: DataFrame) -> None:
         """Append a batch (o, aggregate_id, event_type, aggregate_type, payload) to the ledger, in order of o and id."""
-        last = self.t("event_ledger").agg(F.max_by("hash", "ledger_id").alias("h"), F.max("ledger_id").alias("n")).first()
+        entries = materialise(entries, "entries")
+        if entries.isEmpty():
+            return
+        # ids go on from batch to batch, so the head is in what was written last
+        last = self.store.newest("event_ledger").agg(F.max_by("hash", "ledger_id").alias("h"), F.max("ledger_id").alias("n")).first()
         rows = entries.withColumn("seq", F.struct("o", "aggregate_id"))
         chained = ledger.chain(rows.drop("o"), "seq", "payload", last["h"] or ledger.GENESIS, (last["n"] or 0) + 1)
         self.store.append("event_ledger", chained.drop("seq").withColumn("created_at", F.lit(self.now)))
@@ -152,21 +171,33 @@ class Engine:
     def build_index(self) -> None:
         """Search documents and their postings as tables; run_all() ends with it."""
         self.store.overwrite("search_documents", search.documents(self.t("ubid_master"), self.t("activity_status_current"), self.t("ubid_source_records"), self.t("business_records")))
-        self.store.overwrite("search_postings", search.postings(self.t("search_documents")))
+        found = materialise(search.postings(self.t("search_documents")), "postings")
+        self.store.overwrite("search_postings", search.bucketed(found), ["field", "bucket"], ["term"])
+        self.store.overwrite("search_keys", search.term_keys(found), ["bucket"], ["key"])
 
-    def fuzzy_search(self, q: str, filters: dict[str, str] | None = None, limit: int = 20) -> DataFrame:
-        """By the index as it was last built; it is built if there's none."""
+    def _lookup(self, q: str, filters: dict[str, str] | None) -> DataFrame:
         if self.t("search_documents").isEmpty():
             self.build_index()
-        return search.fuzzy_search(self.t("search_postings"), self.t("search_documents"), q, filters, limit)
+        return search.lookup(self.t("search_keys"), self.t("search_postings"), self.t("search_documents"), q, filters)
+
+    def fuzzy_search(self, q: str, filters: dict[str, str] | None = None, limit: int = 20) -> DataFrame:
+        """By the index as it was last built, of which only the partitions are read that the words can meet; it is built if there's none."""
+        return self._lookup(q, filters).orderBy(F.desc("relevance"), "ubid").limit(limit)
 
     def find(self, q: str, status: str | None = None, district: str | None = None, limit: int = 20) -> tuple[str, DataFrame]:
         """How the search was made, and its rows: 'index' if an index was built, else 'predicates'."""
+        mode, _, rows = self.find_page(q, status, district, limit)
+        return mode, rows
+
+    def find_page(self, q: str, status: str | None = None, district: str | None = None, limit: int = 20) -> tuple[str, int, DataFrame]:
+        """As find(), with the number of all that match: by the index all of them, by predicates those of the page."""
         if self.t("search_documents").isEmpty() or not q:
-            return "predicates", self.search(q, status, district, limit)
+            rows = self.search(q, status, district, limit)
+            return "predicates", rows.count(), rows
         asked = {k: v for k, v in (("status", status), ("primary_district", district)) if v}
-        found = self.fuzzy_search(q, asked, limit)
-        return "index", found.join(self.t("search_documents"), "ubid").orderBy(F.desc("relevance"), "ubid")
+        every = materialise(self._lookup(q, asked), "found")
+        page = every.orderBy(F.desc("relevance"), "ubid").limit(limit)
+        return "index", every.count(), page.join(self.t("search_documents"), "ubid").orderBy(F.desc("relevance"), "ubid")
 
     def identity(self, ubid: str) -> dict[str, DataFrame]:
         events = self.t("activity_events")
@@ -276,7 +307,7 @@ class Engine:
 
     def infrastructure(self) -> dict:
         """What runs, and that adapters only read."""
-        return {"spark": self.spark.version, "master": self.spark.sparkContext.master, "adapters": adapters.list_adapters(), "read_only": adapters.read_only_report(), "model": self.models.active(), "pair_filter": bloom_sizing(50_000_000, 0.001)}
+        return {"spark": self.spark.version, "master": self.spark.sparkContext.master, "adapters": adapters.list_adapters(), "read_only": adapters.read_only_report(), "model": self.models.active(), "pair_filter": bloom_sizing(FILTER_PAIRS, FILTER_RATE)}
 
 
 def bloom_sizing(n: int, p: float) -> dict[str, int]:

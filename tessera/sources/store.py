@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.sources.schemas import SCHEMAS
 
+#: Appended parts of a table that a read may have to list.
+MAX_PARTS = 50
+
 
 class Store:
     """A folder of tables, reached through Spark's own file systems."""
@@ -36,16 +39,27 @@ class Store:
         use = found[found.index(base[-1]) :] if base else found
         return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{name}/{v}" for v in use])
 
-    def _write(self, name: str, df: DataFrame, kind: str) -> None:
+    def _write(self, name: str, df: DataFrame, kind: str, by: list[str] | None = None) -> None:
         # named by the time of writing, so two writers never take one name, and the later one is the newer version
-        df.write.parquet(f"{self.root}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{kind}")
+        df.write.parquet(f"{self.root}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}-{kind}", partitionBy=by)
 
-    def overwrite(self, name: str, df: DataFrame) -> None:
-        """Readers of the old version keep it, so a table may be made from itself."""
-        self._write(name, df, "full")
+    def overwrite(self, name: str, df: DataFrame, by: list[str] | None = None, sort: list[str] | None = None) -> None:
+        """Readers of the old version keep it, so a table may be made from itself. With `by` it is kept in partitions of these columns, one file each, in the order of `sort`."""
+        if by:
+            df = df.repartition(*by).sortWithinPartitions(*by, *(sort or []))
+        self._write(name, df, "full", by)
 
     def append(self, name: str, df: DataFrame) -> None:
+        """One more part; when there are MAX_PARTS of them they become one version."""
         self._write(name, df, "part")
+        found = self._versions(name)
+        if len(found) - max([i for i, v in enumerate(found) if v.endswith("-full")], default=0) > MAX_PARTS:
+            self.overwrite(name, self.read(name))
+
+    def newest(self, name: str) -> DataFrame:
+        """Only what was written last: the last part, or the last full version."""
+        found = self._versions(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{found[-1]}") if found else self.read(name)
 
     def upsert(self, name: str, df: DataFrame, key: str) -> None:
         """Rows of df replace those of their key."""

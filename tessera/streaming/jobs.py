@@ -7,6 +7,7 @@ id, so a query that restarts from its checkpoint writes nothing twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.activity import SIGNALS, lookup
-from tessera.plans.shared import materialise, names_in
+from tessera.plans.shared import get_text, materialise, names_in, put_text
 
 # Topics with partitions and days of retention, and the topic of each decision.
 TOPICS = {
@@ -80,6 +81,72 @@ def publish(rows: DataFrame, root: str, topic: str) -> None:
     out.select("partition", (F.coalesce("base", F.lit(0)) + F.col("before") + F.col("no")).cast("bigint").alias("offset"), "key", "value").write.mode("append").parquet(f"{root}/log/{topic}")
 
 
+class Consumer:
+    """What one group has read of a topic: an offset for each partition, kept beside the log.
+
+    poll() gives the next messages, commit() says that they are dealt with; a consumer that starts anew goes on from the last
+    commit, so messages polled but not committed come again. follow() does both as a stream.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, topic: str, group: str) -> None:
+        if topic not in TOPICS:
+            raise KeyError(topic)
+        self.spark, self.root, self.topic = spark, root, topic
+        self.home = f"{root}/groups/{group}/{topic}"
+        self.ahead: dict[int, int] = {}
+
+    def position(self) -> dict[int, int]:
+        """The next offset of each partition, one number for each; 0 where nothing was committed."""
+        at = dict.fromkeys(range(TOPICS[self.topic][0]), 0)
+        if text := get_text(self.spark, f"{self.home}/offsets.json"):
+            at |= {int(k): v for k, v in json.loads(text).items()}
+        return at
+
+    def poll(self, most: int = 1000) -> DataFrame:
+        """The next messages, `most` of each partition at most, after those that were polled last. The offsets asked for reach the scan of the log as filters."""
+        at = self.position() | self.ahead
+        there = F.lit(False)
+        for p, n in at.items():
+            there = there | ((F.col("partition") == p) & (F.col("offset") >= n) & (F.col("offset") < n + most))
+        got = materialise(messages(self.spark, self.root, self.topic).where(there), "polled")
+        self.ahead = at | {r["partition"]: r["n"] + 1 for r in got.groupBy("partition").agg(F.max("offset").alias("n")).collect()}  # a row for each partition
+        return got
+
+    def commit(self) -> None:
+        """All that was polled is dealt with."""
+        put_text(self.spark, f"{self.home}/offsets.json", json.dumps(self.position() | self.ahead))
+
+    def seek(self, offsets: dict[int, int]) -> None:
+        """Go on from these offsets, forwards or back; other partitions stay where they are."""
+        self.ahead = {}
+        put_text(self.spark, f"{self.home}/offsets.json", json.dumps(self.position() | offsets))
+
+    def lag(self) -> DataFrame:
+        """(partition, lag): messages after the last commit."""
+        ends = messages(self.spark, self.root, self.topic).groupBy("partition").agg((F.max("offset") + 1).alias("end"))
+        at = self.spark.createDataFrame(list(self.position().items()), "partition int, at bigint")
+        return at.join(ends, "partition", "left").select("partition", (F.coalesce("end", "at") - F.col("at")).alias("lag"))
+
+    def follow(self, each: Callable[[DataFrame, int], None], files: int | None = None) -> None:
+        """Hand all that isn't read yet to `each` with the number of its batch, as a stream that ends when all is read; at most so many files of the log a batch. A batch that failed comes again under its number and with the same messages, so a sink that overwrites by number has each message once."""
+        start = self.position()
+        rows = self.spark.readStream.schema(MESSAGE)
+        rows = rows.option("maxFilesPerTrigger", files) if files else rows
+        past = F.lit(True)
+        for p, n in start.items():
+            past = past & ~((F.col("partition") == p) & (F.col("offset") < n))
+
+        def deal(batch: DataFrame, no: int) -> None:
+            held = batch.persist()
+            each(held, no)
+            self.ahead |= {r["partition"]: r["n"] + 1 for r in held.groupBy("partition").agg(F.max("offset").alias("n")).collect()}
+            self.commit()
+            held.unpersist()
+
+        stream = rows.parquet(f"{self.root}/log/{self.topic}").where(past)
+        stream.writeStream.foreachBatch(deal).option("checkpointLocation", f"{self.home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def topic_statistics(spark: SparkSession, root: str) -> DataFrame:
     """(topic, partition, messages, next_offset) of all topics that have any."""
     out = spark.createDataFrame([], "topic string, partition int, messages bigint, next_offset bigint")

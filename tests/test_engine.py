@@ -71,10 +71,19 @@ def test_reviews_merge_and_reverse(engine):
     said = e.explanation(pair["pair_id"]).first()
     assert said["violations"] == [] and "RECOMMENDATION" in said["explanation"]
     mine = e.t("merge_provenance").where("decided_by = 'ann'").collect()
-    if mine:
+    assert len(mine) == 1  # what waits for review isn't one identity yet
+    e.reverse_merge(mine[0]["merge_id"], "test")
+    with pytest.raises(ValueError):
         e.reverse_merge(mine[0]["merge_id"], "test")
-        with pytest.raises(ValueError):
-            e.reverse_merge(mine[0]["merge_id"], "test")
+    kept = sorted(map(tuple, e.t("merge_provenance").select("merge_id", "decided_by", "reversed").collect()))
+    states = {r["ubid"]: r["status"] for r in e.t("ubid_master").collect()}
+    homes = {r["record_id"]: r["ubid"] for r in e.t("ubid_source_records").collect()}
+    entries = e.t("event_ledger").count()
+    e.run_resolution()  # another run keeps the reviewer's merge and its reversal, and tells nothing twice
+    assert sorted(map(tuple, e.t("merge_provenance").select("merge_id", "decided_by", "reversed").collect())) == kept
+    assert {r["ubid"]: r["status"] for r in e.t("ubid_master").collect()} == states
+    assert {r["record_id"]: r["ubid"] for r in e.t("ubid_source_records").collect()} == homes
+    assert e.t("event_ledger").count() == entries
     assert e.verify_ledger().first()["verified"] and e.recompute_from_ledger().first()["verified"]
     with pytest.raises(KeyError):
         e.decide("none", "CONFIRM", "ann")
@@ -219,3 +228,87 @@ def test_stale_sources(spark, tmp_path):
         collect = lambda b, n: said.extend(map(tuple, b.select("source_system", "state").collect()))
         stream.writeStream.outputMode("update").foreachBatch(collect).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert ("GST", "ALIVE") in said and ("GST", "STALE") in said and ("LABOUR", "ALIVE") in said
+
+
+def test_blocking_again_scores_only_what_is_new(engine):
+    e, _ = engine
+    before = {r["id"]: (r["score"], r["review_status"]) for r in e.pairs().collect()}
+    e.run_blocking()
+    assert e.last_new == 0
+    assert {r["id"]: (r["score"], r["review_status"]) for r in e.pairs().collect()} == before
+    # a record changes: its pairs are new ones, the others keep their scores
+    records = e.t("business_records").persist()
+    one = e.pairs().first()["record_a_id"]
+    e.load("business_records", records.withColumn("email", F.when(F.col("id") == one, "new@firm.in").otherwise(F.col("email"))))
+    e.run_blocking()
+    open_ = e.pairs().where("score IS NULL").collect()
+    assert open_ and e.last_new == len(open_) and all(one in (r["record_a_id"], r["record_b_id"]) for r in open_)
+    e.run_scoring()
+    after = {r["id"]: r["review_status"] for r in e.pairs().collect()}
+    assert after == {k: v[1] for k, v in before.items()}
+    e.load("business_records", records)
+
+
+def test_parts_become_one_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MAX_PARTS", 3)
+    s = Store(spark, str(tmp_path))
+    for i in range(10):
+        s.append("ledger", spark.createDataFrame([(i,)], "n int"))
+        assert [r["n"] for r in s.newest("ledger").collect()][-1:] == [i] or s.newest("ledger").count() > 1
+    assert sorted(r["n"] for r in s.read("ledger").collect()) == list(range(10))
+    last = [v.endswith("-full") for v in s._versions("ledger")]
+    assert any(last) and len(last) - 1 - max(i for i, full in enumerate(last) if full) <= 3
+
+
+def test_search_tells_how_many(engine):
+    e, _ = engine
+    mode, total, rows = e.find_page("textiles", limit=2)
+    assert mode == "index" and rows.count() == min(2, total) and total >= 1
+    assert e.find_page("")[0] == "predicates"
+
+
+def test_deprecated_identities_are_not_found(engine):
+    e, _ = engine
+    gone = e.t("ubid_master").where("status = 'DEPRECATED'").first()
+    assert gone is not None and e.search(gone["ubid"]).count() == 0
+
+
+def test_consumers_of_a_topic(spark, tmp_path):
+    """Polls go on from the last commit, a group has offsets of its own, and a stream that fails in a batch has each message once in the end."""
+    root, topic = str(tmp_path), "system.alerts"
+    put = lambda a, b: jobs.publish(spark.range(a, b).selectExpr("CAST(id AS string) AS key", "CAST(id AS string) AS value"), root, topic)
+    read = lambda df: sorted(int(r["value"]) for r in df.collect())
+    put(0, 10)
+    one = jobs.Consumer(spark, root, topic, "g")
+    first = read(one.poll(4))
+    assert len(first) == 4
+    again = jobs.Consumer(spark, root, topic, "g")
+    assert read(again.poll(4)) == first  # not committed
+    again.commit()
+    rest = read(again.poll(100))
+    assert sorted(first + rest) == list(range(10)) and again.poll(5).isEmpty()
+    again.commit()
+    assert jobs.Consumer(spark, root, topic, "other").lag().first()["lag"] == 10
+    assert jobs.Consumer(spark, root, topic, "g").lag().first()["lag"] == 0
+    again.seek({0: 7})
+    assert len(read(jobs.Consumer(spark, root, topic, "g").poll())) == 3
+    seen, fail = {}, [True]
+
+    def sink(batch, no):
+        if no == 1 and fail:
+            fail.clear()
+            raise RuntimeError("lost")
+        seen[no] = read(batch)
+
+    live = jobs.Consumer(spark, root, topic, "live")
+    live.follow(sink)
+    put(10, 30)
+    with pytest.raises(Exception, match="lost"):
+        live.follow(sink)
+    jobs.Consumer(spark, root, topic, "live").follow(sink, files=1)
+    put(30, 35)
+    live.follow(sink)
+    assert sorted(x for xs in seen.values() for x in xs) == list(range(35))
+    assert jobs.Consumer(spark, root, topic, "live").lag().first()["lag"] == 0
+    with pytest.raises(KeyError):
+        jobs.Consumer(spark, root, "none", "g")

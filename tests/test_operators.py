@@ -208,6 +208,49 @@ def test_train_promote_rollback(spark, tmp_path):
     assert "<table>" in evaluation.report(found, [], [])
 
 
+def pairs_of_a_model(spark, n=900):
+    """Pairs whose labels follow the features with noise."""
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        f = [r.choice([-0.5, 0.0, 1.0]), *[r.random() for _ in range(4)]]
+        y = int(2 * f[0] + 3 * f[1] + f[2] - f[3] + r.gauss(0, 1) > 2)
+        rows.append((f"p{i}", *f, y))
+    return spark.createDataFrame(rows, "pair_id string, " + ", ".join(f"{f} double" for f in scoring.FEATURES) + ", label int")
+
+
+def test_folds_are_fitted_as_by_another_solver(spark):
+    """All folds at once, by Newton steps, against one fit after the other by the library."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    df = pairs_of_a_model(spark).withColumn("fold", evaluation.fold_of()).persist()
+    found = evaluation.fit_folds(df.drop("fold"))
+    assert {r["fold"] for r in df.select("fold").distinct().collect()} == {0, 1, 2}
+    for k in (evaluation.WHOLE, 0, 1, 2):
+        part = df.where(F.col("fold") != k)
+        n = {r["label"]: r["count"] for r in part.groupBy("label").count().collect()}
+        total = sum(n.values())
+        part = part.withColumn("w", F.when(F.col("label") == 1, total / (2.0 * n[1])).otherwise(total / (2.0 * n[0])))
+        made = VectorAssembler(inputCols=scoring.FEATURES, outputCol="features").transform(part)
+        want = LogisticRegression(weightCol="w", regParam=1.0 / total, standardization=False, maxIter=500, tol=1e-12).fit(made)
+        assert found[k] == pytest.approx([*want.coefficients, want.intercept], abs=2e-4)
+
+
+def test_newton_ends_where_the_slope_is_zero(spark):
+    df = pairs_of_a_model(spark, 300).withColumns({"model": F.lit(4), "one": F.lit(1.0), "y": F.col("label").cast("double"), "w": F.lit(1.0)})
+    x = [*scoring.FEATURES, "one"]
+    point = evaluation.newton(df, x, [0.0] * 6, [30.0, -30.0, 30.0, -30.0, 30.0, 5.0], [4])  # a bad start: steps are halved
+    sums = evaluation.newton_sums(df, x, point).first()
+    assert all(abs(sums[f"g{i}"]) < 1e-6 for i in range(6))
+
+
+def test_folds_of_one_class(spark):
+    df = pairs_of_a_model(spark, 60).withColumn("label", F.lit(1))
+    model, _ = evaluation.fit_calibrated(df)
+    assert all(0 <= r["score"] <= 1 for r in model(df).collect())
+
+
 def test_history_of_a_reviewer_without_a_limit(spark):
     rows = spark.range(120).selectExpr("CAST(id AS string) AS pair_id", "'r' AS reviewer_id", "'CONFIRM' AS review_status", "timestamp_seconds(id) AS reviewed_at")
     assert named.reviewer_history(rows, "r", None).count() == 120 and named.reviewer_history(rows, "r").count() == 50
