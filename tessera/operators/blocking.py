@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.plans.shared import materialise
 
 #: Groups of the two name strategies that are larger are skipped; anchor groups are never.
 CAP = 50
@@ -65,6 +66,41 @@ def with_content(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     return joined.select(*pairs.columns, F.xxhash64("pair_id", "h_a", "h_b").alias("content_key"))
 
 
+def anchor_classes(norm: DataFrame) -> DataFrame:
+    """(class, record, n, key): records that are equal in all that scores are made of are one class, with the first of them, how many they are, and each valid anchor. An anchor that n records share makes as many rows as they have different contents, not n (n - 1) / 2."""
+    keys = F.array_compact(F.array(F.concat(F.lit("P:"), "valid_pan"), F.concat(F.lit("G:"), "valid_gstin")))
+    same = F.xxhash64(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"}))
+    rows = norm.where("valid_pan IS NOT NULL OR valid_gstin IS NOT NULL").select(same.alias("class"), "id", keys.alias("keys"))
+    per = rows.groupBy("class").agg(F.min("id").alias("record"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    return per.select("class", "record", "n", F.explode("keys").alias("key"))
+
+
+def anchor_stars(norm: DataFrame) -> DataFrame:
+    """(record_a_id, record_b_id, links): the pairs of records that share an anchor, without writing them all out.
+
+    One row stands for all pairs between two classes, or within one: its records are the first of each class (the same one
+    twice within a class), and `links` is how many pairs it stands for. All of these have the same score. The sum of links
+    is the number of pairs that the anchor strategy finds.
+    """
+    rows = materialise(anchor_classes(norm), "classes")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "record", "n")]) for s in "ab")
+    between = a.join(b, "key").where("class_a < class_b").dropDuplicates(["class_a", "class_b"])
+    between = between.select(F.least("record_a", "record_b").alias("record_a_id"), F.greatest("record_a", "record_b").alias("record_b_id"), (F.col("n_a") * F.col("n_b")).alias("links"))
+    inside = rows.where("n > 1").select("class", "record", "n").distinct()
+    return between.unionByName(inside.select(F.col("record").alias("record_a_id"), F.col("record").alias("record_b_id"), F.expr("n * (n - 1) div 2").alias("links")))
+
+
+def star_links(scored: DataFrame, norm: DataFrame) -> DataFrame:
+    """Rows of anchor_stars() with a decision to (record_a_id, record_b_id, score) of AUTO_LINK pairs whose components are those of all such pairs: one link for each row between two classes, and, where a class links within or to another, one from each of its records to its first. A class of n records gives n - 1 links."""
+    linked = scored.where("decision = 'AUTO_LINK'")
+    same = F.xxhash64(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"}))
+    members = norm.where("valid_pan IS NOT NULL OR valid_gstin IS NOT NULL").select(same.alias("class"), "id")
+    first = members.groupBy("class").agg(F.min("id").alias("record"))
+    ends = linked.select(F.col("record_a_id").alias("record"), "score").unionByName(linked.select(F.col("record_b_id").alias("record"), "score")).groupBy("record").agg(F.max("score").alias("score"))
+    spokes = members.join(first, "class").where("id <> record").join(ends, "record").select(F.col("record").alias("record_a_id"), F.col("id").alias("record_b_id"), "score")
+    return linked.where("record_a_id <> record_b_id").select("record_a_id", "record_b_id", "score").unionByName(spokes)
+
+
 def pair_id(a: str, b: str):
     """The same id for a pair in every run."""
     return F.sha2(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")), 256)

@@ -424,6 +424,15 @@ query("jn_soundex_blocking", sql("SELECT DISTINCT a AS record_a_id, b AS record_
 query("jn_prefix_blocking", sql("SELECT DISTINCT a AS record_a_id, b AS record_b_id FROM pa0 WHERE rk = 2", "pa"))(_block("PINCODE_PREFIX"))
 
 
+@query("jn_anchor_stars", sql("SELECT decision, count(*) AS n, round(sum(score), 3) AS total FROM (SELECT pair_id, min(rk) AS rk FROM (SELECT sha256(a || ':' || b) AS pair_id, rk FROM pa0 WHERE rk = 0) GROUP BY 1) JOIN sc USING (pair_id) GROUP BY 1", "sc"))
+def _(d):
+    """Decisions of all pairs that share an anchor, from one row for each two contents that meet."""
+    norm = _written(d)
+    stars = blocking.anchor_stars(norm).withColumn("pair_id", blocking.pair_id("record_a_id", "record_b_id"))
+    scored = scoring.score_pairs(stars, norm)
+    return scored.groupBy("decision").agg(F.sum("links").alias("n"), F.round(F.sum(F.col("links") * F.col("score")), 3).alias("total"))
+
+
 @query("set_candidate_pairs", sql("SELECT pair_id, a AS record_a_id, b AS record_b_id, ['ANCHOR', 'PINCODE_SOUNDEX', 'PINCODE_PREFIX'][1 + rk] AS label FROM pa", "pa"))
 def _(d):
     return blocking.candidate_pairs(_written(d)).select("pair_id", "record_a_id", "record_b_id", F.col("blocking_keys")[0].alias("label"))

@@ -111,6 +111,30 @@ def test_groups_over_the_cap_are_skipped(spark):
     assert blocking.candidate_pairs(blocking.normalised(anchored)).count() == 60 * 59 // 2
 
 
+def test_stars_stand_for_all_pairs_of_an_anchor(spark):
+    """Counts, scores and components equal those of all pairs; a large group of equal records costs a row."""
+    from tessera.operators.components import connected_components
+
+    r = random.Random(2)
+    rows = []
+    for i in range(80):
+        kind = r.randrange(6)
+        rows.append((f"r{i:03d}", ["zeta motors", "zeta motor", "yak foods"][kind % 3], "560001", f"ABCDE123{kind // 2}F", "29ABCDE1230F1Z5" if kind == 5 else None, "whitefield", "X", None, None, date(2020, 1, 1), None))
+    norm = blocking.normalised(records(spark, rows)).persist()
+    full = scoring.score_pairs(blocking.candidate_pairs(norm).where("blocking_keys[0] = 'ANCHOR'"), norm).persist()
+    stars = blocking.anchor_stars(norm).withColumn("pair_id", blocking.pair_id("record_a_id", "record_b_id"))
+    scored = scoring.score_pairs(stars, norm).persist()
+    assert scored.count() < 40 < full.count()
+    tell = lambda df, n: sorted((x["decision"], round(x["score"], 9), x["n"]) for x in df.groupBy("decision", "score").agg(n.alias("n")).collect())
+    assert tell(scored, F.sum("links")) == tell(full, F.count("*"))
+    parts = lambda links: {(x["node"], x["root"]) for x in connected_components(links, "record_a_id", "record_b_id").collect()}
+    links = blocking.star_links(scored, norm)
+    assert parts(links) == parts(full.where("decision = 'AUTO_LINK'")) and links.count() < 120
+    many = records(spark, [(f"m{i:06d}", "one name", "560001", "ABCDE1234F") for i in range(20_000)])
+    big = blocking.anchor_stars(blocking.normalised(many)).collect()
+    assert [(x["record_a_id"], x["links"]) for x in big] == [("m000000", 20_000 * 19_999 // 2)]
+
+
 def test_first_strategy_wins(spark):
     df = records(spark, [("a", "zeta motors", "560001", "ABCDE1234F"), ("b", "zeta motors", "560001", "ABCDE1234F")])
     assert [x["blocking_keys"] for x in blocking.candidate_pairs(blocking.normalised(df)).collect()] == [["ANCHOR"]]
