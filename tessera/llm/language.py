@@ -108,15 +108,16 @@ class Model:
 
 
 def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most: int) -> DataFrame:
-    """(text, lang) of about `most` documents at most, shared evenly by the languages: those whose keys hash lowest. Each language gives LEAST_EACH at least if it has them, so with more than most / LEAST_EACH languages there are LEAST_EACH of each."""
+    """(text, lang) of about `most` documents at most, shared evenly by the languages: those whose keys and texts hash lowest. Each language gives LEAST_EACH at least if it has them, so with more than most / LEAST_EACH languages there are LEAST_EACH of each. Rows that repeat a key and a text are one document, however many they are."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.xxhash64(text)).alias("h"))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     each = max(LEAST_EACH, most // max(1, len(sizes)))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.xxhash64(text)), F.lit(1 << 30)) / float(1 << 30)
-    # a hash threshold by language takes a few more than `each`; the window then sees these alone
+    draw = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    # a hash threshold by language takes a few more than `each`; repeats meet before the shuffle, and the window sees these few alone
     share = spark_map({g: min(1.0, 1.5 * each / n + 10 / n) for g, n in sizes.items()})
-    few = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw")).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    return few.withColumn("no", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).where(F.col("no") <= each).select("text", "lang")
+    few = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return few.withColumn("no", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("no") <= each).select("text", "lang")
 
 
 def spark_map(values: dict[str, float]) -> Column:
@@ -125,7 +126,11 @@ def spark_map(values: dict[str, float]) -> Column:
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Model:
-    """Learns from the texts and languages of the rows for which `learn` holds, at most about `most` of them."""
+    """Learns from the texts and languages of the rows for which `learn` holds, at most about `most` of them.
+
+    Rows with a null text or language, and texts without a letter, teach nothing; null keys are one key. Repeated rows count
+    once. Texts are read whole, however long. Without a row to learn from the model predicts `und`. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

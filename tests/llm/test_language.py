@@ -62,3 +62,55 @@ def test_every_language_is_sampled(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = language.sample(docs, F.lit(True), "doc_id", "text", "lang", 2 * language.LEAST_EACH).groupBy("lang").count().collect()
     assert {r["lang"]: r["count"] for r in got} == {f"l{g:02d}": language.LEAST_EACH for g in range(6)}
+
+
+def test_repeats_of_one_row_are_learned_once(spark):
+    """A language that is one row repeated, far more often than any sample is large, is learned, whatever its key."""
+    for key in range(5):
+        docs = spark.range(3000).selectExpr("id AS doc_id", "concat('the weather of number ', id) AS text", "'en' AS lang")
+        again = spark.range(20000).selectExpr(f"CAST({key} AS bigint) AS doc_id", "'qqz zzq xqx qzx' AS text", "'xx' AS lang")
+        got = language.sample(docs.unionByName(again), F.lit(True), "doc_id", "text", "lang", 300).groupBy("lang").count().collect()
+        assert {r["lang"]: r["count"] for r in got} == {"en": 150, "xx": 1}
+    model = language.fit(docs.unionByName(again), F.lit(True))
+    assert {r["lang_pred"] for r in language.predict(again.limit(3), model).collect()} == {"xx"}
+
+
+def test_machine_is_near_the_minimum():
+    """The dual solver's weights against plain gradient steps on the loss itself."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 6)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.4 * r.normal(size=120) > 0.3, 1, -1)
+    one = np.hstack([x, np.ones((120, 1))]).astype(float)
+    weight = 4.0 * np.array([120 / (2 * (y == s).sum()) for s in y])
+    loss = lambda w: 0.5 * w @ w + (weight * np.maximum(0, 1 - y * (one @ w)) ** 2).sum()
+    w = np.zeros(7)
+    for _ in range(200):  # Newton steps of a loss that is quadratic by pieces
+        on = y * (one @ w) < 1
+        slope = w - 2 * one[on].T @ (weight[on] * (y[on] - one[on] @ w))
+        w = w - np.linalg.solve(np.eye(7) + 2 * (one[on].T * weight[on]) @ one[on], slope)
+    got = language.machine(x, y, rounds=200).astype(float)
+    assert loss(got) <= 1.001 * loss(w) and np.abs(got - w).max() < 0.05
+
+
+def test_votes_by_hand():
+    """The family of the highest margin; in it the language with most wins, ties by the sum of margins."""
+    r = np.random.default_rng(1)
+    langs, families = ["de", "en", "es", "fr", "ja", "nl", "sv"], ["germanic", "ja", "romance"]
+    pairs = [(a, b) for i, a in enumerate(langs) for b in langs[i + 1 :] if language.family(a) == language.family(b)]
+    width = (1 << language.BITS) + 1
+    model = language.Model(langs, families, r.normal(size=(3, width)).astype(np.float32), pairs, r.normal(size=(len(pairs), width)).astype(np.float32))
+    x = r.normal(size=(60, width - 1)).astype(np.float32) / 60
+    got, scores = model.predict(x)
+    for i in range(60):
+        row = np.append(x[i], 1).astype(np.float32)
+        own = families[int(np.argmax([row @ f for f in model.by_family]))]
+        mine = [g for g in langs if language.family(g) == own]
+        wins, total = dict.fromkeys(mine, 0), dict.fromkeys(mine, 0.0)
+        for (a, b), w in zip(pairs, model.by_pair, strict=True):
+            if a in mine:
+                m = float(row @ w)
+                wins[a if m >= 0 else b] += 1
+                total[a] += m
+                total[b] -= m
+        assert got[i] == max(mine, key=lambda g: (wins[g], total[g]))
+    assert set(got) > {"ja"} and len(set(got)) > 4 and ((scores >= 0) & (scores <= 1)).all()
