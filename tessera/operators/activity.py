@@ -50,19 +50,55 @@ def classify(score: Column, closed: Column, last_strong: Column, ref: date) -> C
     return F.when(closed | (score <= CLOSED_FROM), "CLOSED").when((score >= ACTIVE_FROM) & recent, "ACTIVE").otherwise("DORMANT")
 
 
-def status(events: DataFrame, masters: DataFrame, ref: date) -> DataFrame:
-    """One row for each ACTIVE master: status, score (unrounded), last strong signal, number of events, last event. One partial aggregate over the events, then one join."""
-    per = weighted(events.where("ubid IS NOT NULL"), ref).groupBy("ubid").agg(
+STATE = ["score", "closures", "event_count", "last_strong_active", "last_event_date"]
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """Weighted events to one row an identity (STATE)."""
+    return rows.groupBy("ubid").agg(
         F.sum("weight").alias("score"),
-        F.max(F.when(F.col("signal_class") == "STRONG_ACTIVE", F.col("event_date"))).alias("last_strong_active"),
-        F.bool_or(F.col("signal_class") == "CLOSURE").alias("closed"),
+        F.count_if(F.col("signal_class") == "CLOSURE").alias("closures"),
         F.count("*").alias("event_count"),
+        F.max(F.when(F.col("signal_class") == "STRONG_ACTIVE", F.col("event_date"))).alias("last_strong_active"),
         F.max("event_date").alias("last_event_date"),
     )
-    rows = masters.where("status = 'ACTIVE'").select("ubid").join(per, "ubid", "left")
+
+
+def window_state(events: DataFrame, ref: date) -> DataFrame:
+    """What the lookback window holds of each identity: one partial aggregate over the events."""
+    return _summed(weighted(events.where("ubid IS NOT NULL"), ref))
+
+
+def advance(state: DataFrame, events: DataFrame, was: date, ref: date) -> DataFrame:
+    """window_state() at a later date from that of an earlier one, and from those events alone that have come into the window or left it: the old score decays by the days gone.
+
+    Rounding errors of many steps add up, so make the state anew now and then. Raises ValueError if `ref` is earlier.
+    """
+    if ref < was:
+        raise ValueError(f"{ref} is before {was}")
+    own = events.where("ubid IS NOT NULL")
+    first, new_first = F.date_sub(F.lit(was), LOOKBACK), F.date_sub(F.lit(ref), LOOKBACK)
+    come = own.where((F.col("event_date") > F.lit(was)) & (F.col("event_date") <= F.lit(ref)) & (F.col("event_date") >= new_first))
+    gone = own.where((F.col("event_date") >= first) & (F.col("event_date") < new_first) & (F.col("event_date") <= F.lit(was)))
+    weigh = lambda rows: rows.withColumn("weight", lookup(SIGNALS, F.col("signal_class"), 0.0) * decay(F.datediff(F.lit(ref), "event_date")))
+    old = state.select("ubid", (F.col("score") * decay(F.lit((ref - was).days))).alias("score"), *STATE[1:])
+    left = _summed(weigh(gone)).select("ubid", *[(-F.col(c)).alias(c) for c in STATE[:3]], *[F.lit(None).cast("date").alias(c) for c in STATE[3:]])
+    both = old.unionByName(_summed(weigh(come))).unionByName(left)
+    rows = both.groupBy("ubid").agg(*[F.sum(c).alias(c) for c in STATE[:3]], *[F.max(c).alias(c) for c in STATE[3:]]).where("event_count > 0")
+    return rows.withColumns({c: F.when(F.col(c) >= new_first, F.col(c)) for c in STATE[3:]})
+
+
+def status_of(state: DataFrame, masters: DataFrame, ref: date) -> DataFrame:
+    """One row for each ACTIVE master: status, score (unrounded), last strong signal, number of events, last event."""
+    rows = masters.where("status = 'ACTIVE'").select("ubid").join(state, "ubid", "left")
     score = F.coalesce("score", F.lit(0.0))
-    state = classify(score, F.coalesce("closed", F.lit(False)), F.col("last_strong_active"), ref)
-    return rows.select("ubid", state.alias("status"), score.alias("score"), "last_strong_active", F.coalesce("event_count", F.lit(0)).alias("event_count"), "last_event_date")
+    kind = classify(score, F.coalesce(F.col("closures") > 0, F.lit(False)), F.col("last_strong_active"), ref)
+    return rows.select("ubid", kind.alias("status"), score.alias("score"), "last_strong_active", F.coalesce("event_count", F.lit(0)).alias("event_count"), "last_event_date")
+
+
+def status(events: DataFrame, masters: DataFrame, ref: date) -> DataFrame:
+    """status_of() from all events: one partial aggregate, then one join."""
+    return status_of(window_state(events, ref), masters, ref)
 
 
 def timeline(events: DataFrame, statuses: DataFrame, ref: date) -> DataFrame:

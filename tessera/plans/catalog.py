@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,6 +196,16 @@ def _(d):
     return _status(d).select("ubid", "status", F.round("score", 4).alias("score"), "last_strong_active", "event_count", "last_event_date")
 
 
+@query("act_advance", ORACLES["act_status"])
+def _(d):
+    """The same from the state of 400 days before, moved on in three steps that read only what came into the window or left it."""
+    days = [REF - timedelta(days=n) for n in (400, 399, 150, 0)]
+    state = activity.window_state(d.events(), days[0])
+    for was, ref in zip(days, days[1:], strict=False):
+        state = activity.advance(state, d.events(), was, ref)
+    return activity.status_of(state, d.masters(), REF).withColumn("score", F.round("score", 4))
+
+
 @query("act_distribution", sql("SELECT status, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY status", "st"))
 def _(d):
     return _status(d).groupBy("status").agg(F.count("*").alias("n"))
@@ -1043,6 +1053,22 @@ def _(d):
     return out.select("source_system", F.unix_timestamp("last_beat").alias("last_beat"), "state")
 
 
+@query("stm_stale", "SELECT event_type AS source_system, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_beat, 'STALE' AS state FROM events GROUP BY 1")
+def _(d):
+    """Events as heartbeats in a stream with a timer for each source: all have gone silent once one more beat of another source, two days later, has moved the time on."""
+    root = f"{shared_dir(d.spark)}/tessera/beats-{uuid.uuid4().hex}"
+    rows = d.table("events").select(F.col("event_type").alias("source_system"), F.col("ts").cast("timestamp").alias("beat_at"))
+    end = rows.agg((F.max("beat_at") + F.expr("INTERVAL 2 DAYS")).alias("beat_at")).select(F.lit("end").alias("source_system"), "beat_at")
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+    for part in (rows, end):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = jobs.stale_sources(d.spark.readStream.schema(rows.schema).parquet(f"{root}/in"), 60)
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    told = d.spark.read.parquet(f"{root}/out").where("source_system <> 'end'")
+    last = told.groupBy("source_system").agg(F.max_by(F.struct("last_beat", "state"), "batch").alias("r"))
+    return last.select("source_system", F.unix_timestamp("r.last_beat").alias("last_beat"), "r.state")
+
+
 @query("stm_routing", sql("SELECT CASE decision WHEN 'AUTO_LINK' THEN 'resolution.auto-link' WHEN 'REVIEW' THEN 'resolution.review-queue' ELSE 'resolution.hold-separate' END AS topic, pair_id FROM sc", "sc"))
 def _(d):
     rows = materialise(_scored(d).select("pair_id", "decision", "score"), "routes")

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators import scoring
 from tessera.operators.activity import SIGNALS, lookup
+from tessera.operators.evaluation import Registry
 from tessera.plans.shared import get_text, materialise, names_in, put_text
 
 # Topics with partitions and days of retention, and the topic of each decision.
@@ -174,6 +176,18 @@ def route_decisions(scored: DataFrame, root: str, checkpoint: str) -> StreamingQ
     return scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def score_stream(features: DataFrame, models: Registry, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Score pairs (with the columns of FEATURES) by the model that the registry's pointer names when a batch begins: a promotion or a rollback counts from the next batch on, without a restart. Hands (..., score, decision, model_version) and the number of the batch to `each`."""
+
+    def run(batch: DataFrame, no: int) -> None:
+        version = models.active()
+        model = models.load(version)
+        scored = model(batch) if model else batch.withColumn("score", scoring.linear_score(*map(F.col, scoring.FEATURES)))
+        each(scored.withColumns({"decision": scoring.route(F.col("score"), F.col("anchor_score")), "model_version": F.lit(version)}), no)
+
+    return features.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def deduplicated(stream: DataFrame, key: list[str], ts: str, late: str = "1 day") -> DataFrame:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 

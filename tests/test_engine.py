@@ -6,6 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluation, scoring
 from tessera.plans.engine import Engine, bloom_sizing
 from tessera.sources import adapters, store
 from tessera.sources.demo import Demo
@@ -312,3 +313,23 @@ def test_consumers_of_a_topic(spark, tmp_path):
     assert jobs.Consumer(spark, root, topic, "live").lag().first()["lag"] == 0
     with pytest.raises(KeyError):
         jobs.Consumer(spark, root, "none", "g")
+
+
+def test_a_promotion_counts_from_the_next_batch_on(spark, tmp_path):
+    models = evaluation.Registry(spark, f"{tmp_path}/models")
+    models.register("lr-calibrated-v2", evaluation.Calibrated([([0.0] * 5, 9.0, 1.0, 0.0)]), {})
+    schema = "pair_id string, " + ", ".join(f"{f} double" for f in scoring.FEATURES)
+    put = lambda i: spark.createDataFrame([(f"p{i}", 0.0, 0.0, 0.0, 0.0, 0.0)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = {}
+
+    def each(batch, no):
+        for r in batch.collect():
+            seen[r["pair_id"]] = (no, r["model_version"], r["decision"])
+            if r["pair_id"] == "p0":
+                models.promote("lr-calibrated-v2")  # while the stream runs
+
+    put(0)
+    put(1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.score_stream(stream, models, each, f"{tmp_path}/state").awaitTermination()
+    assert sorted(seen.values()) == [(0, "weighted-linear-v1", "HOLD"), (1, "lr-calibrated-v2", "AUTO_LINK")] and seen["p0"][0] == 0

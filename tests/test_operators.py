@@ -182,6 +182,21 @@ def test_status(spark):
     assert row["event_count"] == 1
 
 
+def test_state_moves_on(spark):
+    """Steps of all lengths, also beyond the whole window, equal the state made anew."""
+    r = random.Random(8)
+    rows = [(f"u{r.randrange(12)}", ago(r.randrange(0, 1500)), r.choice(list(activity.SIGNALS))) for _ in range(400)] + [("u1", ago(548), "STRONG_ACTIVE"), ("u2", ago(549), "CLOSURE"), (None, ago(3), "CLOSURE")]
+    ev = events(spark, rows).persist()
+    tell = lambda df: {x["ubid"]: (round(x["score"], 9), *(x[c] for c in activity.STATE[1:])) for x in df.collect()}
+    for steps in ((900, 899, 700, 0), (1400, 100, 100, 0), (548, 0), (1, 0)):
+        state = activity.window_state(ev, ago(steps[0]))
+        for was, ref in zip(steps, steps[1:], strict=False):
+            state = activity.advance(state, ev, ago(was), ago(ref))
+        assert tell(state) == tell(activity.window_state(ev, REF))
+    with pytest.raises(ValueError):
+        activity.advance(state, ev, REF, ago(1))
+
+
 def test_tipping_point(spark):
     _, ev, masters = status_of(spark, (ago(180), "STRONG_ACTIVE"), (REF, "STRONG_ACTIVE"))
     got = activity.timeline(ev, activity.status(ev, masters, REF), REF).where("is_tipping_point").collect()
