@@ -16,7 +16,7 @@ from tessera.operators import activity, blocking, evaluation, ledger, pair_filte
 from tessera.plans import named
 from tessera.plans.engine import Engine
 from tessera.plans.shared import materialise, shared_dir
-from tessera.sources import adapters, store
+from tessera.sources import adapters, store, synthetic
 from tessera.sources.demo import REF, VIEWS, Demo
 from tessera.streaming import jobs
 
@@ -914,24 +914,35 @@ def _(d):
     return d.spark.createDataFrame(rows, "figure string, value double")
 
 
+def _made(d: Demo, table: str) -> DataFrame:
+    return synthetic.of_numbers(d.table("customer"), "c_custkey", table, 42, REF)
+
+
 @query("src_synthetic")
 def _(d):
-    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").pull()
+    """A business for each customer."""
+    return _made(d, "records")
 
 
 @query("src_synthetic_events")
 def _(d):
-    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").events()
+    return _made(d, "events").withColumn("event_date", F.to_date("event_date"))
 
 
 @query("src_synthetic_labels")
 def _(d):
-    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").labels()
+    return _made(d, "labels")
 
 
-@query("src_health", sql("SELECT department AS source_system, 'HEALTHY' AS status FROM (SELECT unnest(['SHOP_EST', 'FACTORIES', 'LABOUR', 'KSPCB', 'GST']) AS department)"))
+@query(
+    "src_health",
+    sql(f"SELECT source_system, max(event_date) AS last_pull, count(*) AS total_records, date_diff('second', CAST(max(event_date) AS TIMESTAMP), CAST({_REF} AS TIMESTAMP)) + 86400 AS freshness_seconds, CASE WHEN date_diff('day', max(event_date), {_REF}) <= 1 THEN 'HEALTHY' ELSE 'STALE' END AS status FROM ev GROUP BY 1", "ev"),
+)
 def _(d):
-    return adapters.get_adapter("synthetic")(d.spark, businesses="800", seed="42").health(datetime(2001, 8, 1)).select("source_system", "status")
+    """Health of each department as its events tell it on the day after the reference date."""
+    events = d.events().withColumn("read_at", F.col("event_date").cast("timestamp"))
+    out = named.adapter_state(events, "source_system", "read_at", datetime(REF.year, REF.month, REF.day) + timedelta(days=1), timedelta(days=2))
+    return out.select("source_system", F.to_date("last_successful_pull_at").alias("last_pull"), "total_records", F.col("freshness_seconds").cast("bigint").alias("freshness_seconds"), "status")
 
 
 @query("eng_audit", sql("SELECT 'active_not_inspected' AS query_type, '{\"months\": 18, \"pincode\": \"560007\"}' AS query_params, CAST((SELECT count(*) FROM ma m JOIN st s USING (ubid) WHERE m.status = 'ACTIVE' AND s.status = 'ACTIVE' AND primary_pincode = '560007' AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.ubid = m.ubid AND event_type = 'INSPECTION' AND event_date >= DATE '2001-08-01' - 540)) AS INT) AS result_count UNION ALL SELECT 'sector_trend', '{\"district\": \"CHINA\"}', 3", "st"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +148,13 @@ def identity_detail(ubid: str, masters: DataFrame, timeline: DataFrame, source_r
     }
 
 
+def adapter_state(rows: DataFrame, source: str, read_at: str, now: datetime, stale_after: timedelta) -> DataFrame:
+    """A row of adapter_health for each source: its last row, how many it gave, how old the last is at `now`, and STALE if it is older than that."""
+    per = rows.groupBy(F.col(source).alias("source_system")).agg(F.max(read_at).alias("last_successful_pull_at"), F.count("*").alias("total_records"))
+    age = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp("last_successful_pull_at")).cast("double")
+    return per.withColumn("freshness_seconds", age).withColumn("status", F.when(age <= stale_after.total_seconds(), "HEALTHY").otherwise("STALE"))
+
+
 def health(adapters: DataFrame) -> DataFrame:
     """One row: adapters, the healthy ones, their share, and whether all are."""
     ok = F.col("status") == "HEALTHY"

@@ -172,6 +172,15 @@ def test_synthetic_events_labels_and_health(spark):
     assert all(10 <= r["freshness_seconds"] <= 300 and r["status"] == "HEALTHY" for r in health)
 
 
+def test_businesses_of_a_table(spark):
+    """Made from a table's numbers as from a range of them; nulls make none."""
+    from tessera.sources import synthetic
+
+    numbers = spark.createDataFrame([(7,), (3,), (None,)], "k int").repartition(2)
+    got = sorted(map(tuple, synthetic.of_numbers(numbers, "k", "records", 42, date(2024, 1, 1)).collect()))
+    assert got == sorted(r for b in (3, 7) for r in synthetic.Business(b, 42, date(2024, 1, 1)).records())
+
+
 class _Writer(adapters.Adapter):
     def update_rows(self): ...
 
