@@ -1,7 +1,7 @@
 """Phrase collocations from position bitmaps, depth first.
 
 The texts of a language are laid out in shards: words in a row, one empty position between pieces. In a shard each word has
-a bitmap of its positions, of which only blocks with a bit are held. Shifting a phrase's bitmap by one and taking the bits
+a bitmap of its positions (a list of them where they are few). Shifting a phrase's bitmap by one and taking the bits
 that it shares with a word's bitmap gives the bitmap of the longer phrase; as the position between pieces belongs to no
 word, no phrase leaves its piece. The bits are counted, and the counts of all shards are added up.
 
@@ -12,12 +12,14 @@ pairs only.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,56 +29,62 @@ LEAST, LONGEST, BEST = 30, 4, 2000
 #: A part of a candidate that a longer one holds is dropped if the longer one has this share of its occurrences, in percent.
 COVERED = 80
 #: Positions of a shard, and of all shards that a task has open.
-SHARD, OPEN = 1 << 21, 1 << 22
-#: Bits of a block of a bitmap.
-BLOCK = 1024
+SHARD, OPEN = 1 << 19, 1 << 20
+#: A bitmap with fewer bits than one in SPARSE positions is held as their positions.
+SPARSE = 512
 #: Hashes of pairs, and of words, that are sent to all tasks (8 bytes each); of more pairs each shard gets its own by a join, and with more words no pair is left out for its words.
 MAX_SENT = 4_000_000
-_LAST, _ONES = (1 << BLOCK) - 1, [1 << i for i in range(BLOCK)]
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case for A to Z; a mark for each end of a piece.
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + _STOPS, bytes(range(97, 123)) + b"." * len(_STOPS))
 
-Bits = dict[int, int]
+#: A bitmap: 64-bit words over the whole shard, or, where it has few bits, their sorted positions (64-bit integers with a sign).
+Bits = np.ndarray
 
 
-def bitmap(positions: list[int]) -> Bits:
-    out: Bits = {}
-    for p in positions:
-        out[p // BLOCK] = out.get(p // BLOCK, 0) | _ONES[p % BLOCK]
+def dense(bits: Bits) -> bool:
+    return bits.dtype == np.uint64
+
+
+def bitmap(positions: np.ndarray, length: int) -> Bits:
+    if len(positions) * SPARSE < length:
+        return positions.astype(np.int64)
+    out = np.zeros(length // 64 + 2, np.uint64)  # with room for a shift
+    np.bitwise_or.at(out, positions >> 6, np.uint64(1) << (positions & 63).astype(np.uint64))
     return out
 
 
 def shifted(bits: Bits) -> Bits:
     """All positions moved on by one."""
-    out: Bits = {}
-    for block, v in bits.items():
-        if low := (v << 1) & _LAST:
-            out[block] = out.get(block, 0) | low
-        if v >> (BLOCK - 1):
-            out[block + 1] = out.get(block + 1, 0) | 1
+    if not dense(bits):
+        return bits + 1
+    out = bits << np.uint64(1)
+    out[1:] |= bits[:-1] >> np.uint64(63)
     return out
 
 
-def both(a: Bits, b: Bits) -> Bits:
-    if len(b) < len(a):
-        a, b = b, a
-    return {block: v for block, w in a.items() if (v := w & b.get(block, 0))}
+def count(bits: Bits) -> int:
+    return int(np.bitwise_count(bits).sum()) if dense(bits) else len(bits)
 
 
-def count(bits: Bits) -> int:
-    return sum(map(int.bit_count, bits.values()))
+def positions_of(bits: Bits) -> np.ndarray:
+    if not dense(bits):
+        return bits
+    held = np.flatnonzero(bits)
+    at, bit = np.nonzero(np.unpackbits(bits[held].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return held[at] * 64 + bit
 
 
-def positions_of(bits: Bits) -> list[int]:
-    out = []
-    for block, v in bits.items():
-        at = block * BLOCK
-        while v:
-            low = v & -v
-            out.append(at + low.bit_length() - 1)
-            v ^= low
-    return out
+def both(a: Bits, b: Bits, length: int) -> Bits:
+    """The bits that two bitmaps share."""
+    if dense(a) and dense(b):
+        out = a & b
+        return bitmap(positions_of(out), length) if count(out) * SPARSE < length else out
+    if dense(b):
+        a, b = b, a
+    if dense(a):
+        return b[(a[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return np.intersect1d(a, b, assume_unique=True)
 
 
 def word_hashes(lang: str, words: list[str]) -> np.ndarray:
@@ -109,34 +117,51 @@ def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def phrases(ids: np.ndarray, first: np.ndarray, second: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[tuple[int, ...], int]]:
     """Phrases of 2 to `longest` words along the pairs given, with their counts: depth first, by bitmaps."""
+    if not len(first):
+        return
     follows: dict[int, set[int]] = {}
     for a, b in zip(first.tolist(), second.tolist(), strict=True):
         follows.setdefault(a, set()).add(b)
-    used = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    length, after = len(ids), memoryview(ids)[1:]  # a shard ends with the end of a piece, so each word has a position after it
+    used = np.zeros(int(ids.max()) + 1, bool)
     used[first] = used[second] = True
     used[0] = False
     at = np.flatnonzero(used[ids])
-    order = np.argsort(ids[at], kind="stable")
-    at = at[order]
+    at = at[np.argsort(ids[at], kind="stable")]
     words, begins = np.unique(ids[at], return_index=True)
-    bits = {w: bitmap(p.tolist()) for w, p in zip(words.tolist(), np.split(at, begins[1:]), strict=True)}
+    bits = {w: bitmap(p, length) for w, p in zip(words.tolist(), np.split(at, begins[1:]), strict=True)}
 
-    def grow(phrase: tuple[int, ...], held: Bits, n: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        then = follows.get(phrase[-1])
-        if not then:
+    def grow(phrase: tuple[int, ...], held: Bits, then: set[int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        if not dense(held):
+            yield from few(phrase, held.tolist(), then)
             return
         on = shifted(held)
-        if n < len(then):  # only words that stand behind the phrase can share a bit
-            then = then.intersection(ids[[p for p in positions_of(on) if p < len(ids)]].tolist())
         for w in then:
-            if longer := both(on, bits[w]):
-                m, more = count(longer), (*phrase, w)
-                yield more, m
-                if len(more) < longest:
-                    yield from grow(more, longer, m)
-
-    for a in follows:
-        yield from grow((a,), bits[a], count(bits[a]))
+            shared = both(on, bits[w], length)
+            if n := count(shared):
+                more = (*phrase, w)
+                yield more, n
+                if len(more) < longest and w in follows:
+                    yield from grow(more, shared, follows[w])
+
+    def few(phrase: tuple[int, ...], held: list[int], then: set[int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Of few bits, which of them each word's bitmap shares is read from the shard itself."""
+        shared: dict[int, list[int]] = {}
+        for p in held:
+            w = after[p]
+            if w in then:
+                if w in shared:
+                    shared[w].append(p + 1)
+                else:
+                    shared[w] = [p + 1]
+        for w, ps in shared.items():
+            more = (*phrase, w)
+            yield more, len(ps)
+            if len(more) < longest and w in follows:
+                yield from few(more, ps, follows[w])
+
+    for a, then in follows.items():
+        yield from grow((a,), bits[a], then)
 
 
 class _Open:
@@ -237,6 +262,9 @@ def _phrases(held: DataFrame, sent, longest: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out)), pa.array(out), pa.array(n)], ["lang", "phrase", "f"])
                         out, n = [], []
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "f"])
+                del ids, h, a, b, good, names, words, raw
+                gc.collect()  # the functions that grow phrases hold each other, and so their bitmaps
+                pa.default_memory_pool().release_unused()
 
     return held.select("lang", "ids", "words", "keep").mapInArrow(run, "lang string, phrase string, f bigint")
 
@@ -247,16 +275,30 @@ def frequencies(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     each = held.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     words = materialise(each.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least), "words")
     known = _sent(words.select(F.xxhash64("lang", "phrase")), max_sent)
-    frequent = materialise(_pairs(held, known, "h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "pairs")
+    with _few_rows_a_batch(docs.sparkSession):
+        frequent = materialise(_pairs(held, known, "h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "pairs")
     sent = _sent(frequent, max_sent)
     if sent is None:
         mine = _pairs(held, known, "h").join(frequent, "h", "left_semi").groupBy("shard").agg(F.collect_list("h").alias("keep"))  # a shard has at most SHARD pairs
         held = held.join(mine, "shard")
     else:
         held = held.withColumn("keep", F.lit(None).cast("array<bigint>"))
-    longer = _phrases(held, sent, longest).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    every = words.unionByName(longer).withColumn("k", F.size(F.split("phrase", " ")))
-    return materialise(every, "frequencies"), held.groupBy("lang").agg(F.sum("n").alias("n"))
+    with _few_rows_a_batch(docs.sparkSession):
+        longer = _phrases(held, sent, longest).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        every = materialise(words.unionByName(longer).withColumn("k", F.size(F.split("phrase", " "))), "frequencies")
+    return every, held.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+@contextmanager
+def _few_rows_a_batch(spark: SparkSession, rows: int = 2) -> Iterator[None]:
+    """A shard is a row of some MB, so few of them make a batch for Python; what runs here is done when this ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _part(first, n):
