@@ -11,6 +11,10 @@ their places.
 from __future__ import annotations
 
 import heapq
+import re
+import string
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -26,46 +30,112 @@ from tessera.plans.shared import materialise
 LENGTH, END = 1024, 0
 #: Room for fewer tokens than one in SPARE of a sequence isn't filled: that would cut many rests to shreds.
 SPARE = 256
-#: Units of a text longer than this aren't remembered; a worker remembers so many.
-UNIT, KNOWN = 48, 400_000
+#: Units of a text longer than this aren't remembered; a worker remembers so many (about 200 bytes each).
+UNIT, KNOWN = 48, 700_000
+#: Where texts are cut: a space before anything but white space; whether other spaces are in a text.
+_CUT, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
+_LINE, _STOPS = re.compile(r"(?<=\S)\n(?=\S)"), string.punctuation
+
+
+def _byte_signs() -> dict[int, int]:
+    """The character that byte-level vocabularies write each byte as: itself where it can be seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([b for b in range(256) if b not in seen], range(256, 512), strict=False))
+
+
+_SIGNS = _byte_signs()
+
+
+def _bytes(ids: list[int]) -> bytes:
+    """As unsigned 32-bit integers, little end first."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer file of byte-level BPE.
 
     Its pre-tokens begin at a space before anything but white space, so a text may be cut there; a unit that was met
-    before isn't encoded again.
+    before isn't encoded again. They also end around a line end between two other characters, and between a letter or digit
+    and punctuation, so the lines of a unit, and the stops at the end of a line, are encoded apart.
     """
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(file), {}
+        #: Ids of units with the space before them, by what follows it; of parts without one.
+        self.tokenizer, self.known, self.bare = Tokenizer.from_file(file), {}, {}
+        self.model = self.tokenizer.model
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Added tokens stand whole wherever they are, so a unit with one isn't cut.
+        self.added = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            out += [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
 
-    def ids(self, text: str) -> bytes:
-        """As unsigned 32-bit integers, little end first."""
-        units: list[str] = []
-        for i, part in enumerate(text.split(" ")):
-            if i == 0:
-                units.append(part)
-            elif part and not part[0].isspace():
-                units.append(" " + part)
+    def _words(self, words: list[str], head: str) -> list[bytes]:
+        """Of words with what stands before each: one of letters alone is one pre-token, which goes to the tokenizer's model directly."""
+        out, rest, model = dict.fromkeys(words, b""), [], self.model
+        for w in words:
+            if w.isalpha():
+                out[w] = _bytes([t.id for t in model.tokenize((head + w).encode().decode("latin-1").translate(_SIGNS))])
             else:
-                units[-1] += " " + part
-        known = self.known
-        if new := [u for u in dict.fromkeys(units) if u not in known]:
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = list(dict.fromkeys(units))
-            for at in range(0, len(new), 1000):
-                some = new[at : at + 1000]
-                for u, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[u] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([known[u] for u in units])
+                rest.append(w)
+        out.update(zip(rest, self._encode([head + w for w in rest]), strict=True))
+        return [out[w] for w in words]
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of units that aren't known, from those of their parts."""
+        made, spaced, bare, tails = [], set(), set(), set()
         for u in new:
-            if len(u) > UNIT:
-                del known[u]
-        return out
+            parts = []
+            whole = self.added.search(u) is not None
+            for i, line in enumerate(_LINE.split(u) if "\n" in u and not whole else (u,)):
+                word = line.rstrip(_STOPS)
+                if whole or not (word and len(word) < len(line) and word[-1].isalnum()):
+                    word = line
+                parts.append((i, word, line[len(word) :]))
+                if i:
+                    if word not in self.bare:
+                        bare.add(word)
+                elif word not in self.known:
+                    spaced.add(word)
+                if (tail := parts[-1][2]) and tail not in self.bare:
+                    tails.add(tail)
+            made.append((u, parts))
+        bare |= tails | {"\n"}
+        for held, texts, head in ((self.known, list(spaced), " "), (self.bare, list(bare), "")):
+            held.update(zip(texts, self._words(texts, head), strict=True))
+        known, loose = self.known, self.bare
+        for u, parts in made:
+            if len(parts) > 1 or parts[0][2]:
+                known[u] = b"".join([(loose["\n"] + loose[w] if i else known[w]) + (loose[tail] if tail else b"") for i, w, tail in parts])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text, as unsigned 32-bit integers, little end first."""
+        known = self.known
+        if len(known) + len(self.bare) > KNOWN:
+            known.clear()
+            self.bare.clear()
+        firsts, units = [], []
+        for text in texts:
+            first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            firsts.append(first)
+            units.append(rest)
+        got = [list(map(known.get, own)) for own in units]
+        new = {u for own, ids in zip(units, got, strict=True) if None in ids for u, x in zip(own, ids, strict=True) if x is None}
+        if new:
+            self._learn(new)
+            got = [[known[u] if x is None else x for u, x in zip(own, ids, strict=True)] if None in ids else ids for own, ids in zip(units, got, strict=True)]
+            for u in new:
+                if len(u) > UNIT:
+                    known.pop(u, None)
+        return [b"".join([first, *ids]) for first, ids in zip(self._encode(firsts), got, strict=True)]
 
 
 @cache
@@ -180,6 +250,8 @@ def plan(histogram: dict[int, int], size: int = LENGTH) -> tuple[list[tuple], in
 
 #: Lines of the plan (about 80 bytes each) that are broadcast; more are joined by shuffle. They grow with the lengths there are, not with the documents.
 MAX_LINES = 100_000
+#: First ranks, one for each task and rest (24 bytes each), and first sequences, one for each task, that are broadcast; of more than some hundred tasks they are joined by shuffle.
+MAX_RANKS = 500_000
 
 
 def tokens(docs: DataFrame, file: str, key: str, text: str, size: int, end: int) -> DataFrame:
@@ -195,8 +267,8 @@ def tokens(docs: DataFrame, file: str, key: str, text: str, size: int, end: int)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some, rows = batch.slice(at, 256), []
-                for t in some.column(1):
-                    ids = coder.ids(t.as_py()) + stop
+                for ids in coder.ids(some.column(1).to_pylist()):
+                    ids += stop
                     n = len(ids) // 4
                     rows.append((part, ids, n, n % size, int(seen[n % size]), whole))
                     seen[n % size] += 1
@@ -227,14 +299,17 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     table = spark.createDataFrame(lines, LINE)
     table = F.broadcast(table) if len(lines) <= MAX_LINES else table
+    base = ranks.drop("count")
+    base = F.broadcast(base) if base.count() <= MAX_RANKS else base
     wholes = made.groupBy("part").agg(F.sum(F.expr(f"n div {size}")).alias("n"))  # a row for each task
     wholes = wholes.select("part", (F.lit(packed) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
-    rest = made.where("rest > 0").join(ranks.drop("count"), ["part", "rest"]).withColumn("rank", F.col("base") + F.col("number"))
+    rest = made.where("rest > 0").join(base, ["part", "rest"]).withColumn("rank", F.col("base") + F.col("number"))
     rest = rest.join(table, (F.col("rest") == F.col("length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     rest = rest.withColumn("x", F.expr("x + (rank - lo) * length")).withColumn("y", F.expr("least(x + length, g1)")).where("x < g1 AND y > g0")
     rest = rest.withColumn("i", F.explode(F.expr("sequence((greatest(x, g0) - g0) div g, (y - 1 - g0) div g)")))
     rest = rest.withColumn("a", F.expr("greatest(x, g0 + i * g)")).withColumn("b", F.expr("least(y, g0 + (i + 1) * g)"))
     rest = rest.select("key", F.expr("n - rest + a - x").alias("start"), F.expr("b - a").alias("length"), "ids", F.col("n").alias("doc_tokens"), F.expr("sequence + i").alias("sequence_id"), F.expr("at + a - g0 - i * g").alias("offset"))
+    wholes = F.broadcast(wholes) if wholes.count() <= MAX_RANKS else wholes
     full = made.where(F.col("n") >= size).join(wholes, "part").withColumn("i", F.explode(F.expr(f"sequence(0L, n div {size} - 1)")))
     full = full.select("key", (F.col("i") * size).alias("start"), F.lit(size).cast("bigint").alias("length"), "ids", F.col("n").alias("doc_tokens"), (F.col("first") + F.col("whole") + F.col("i")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     cut = F.expr("substring(ids, cast(4 * start + 1 AS int), cast(4 * length AS int))")

@@ -53,15 +53,38 @@ def checked(pieces, want, size):
 def test_ids_are_the_librarys():
     coder = P.Encoder(FILE)
     for t in texts() + texts():
-        assert np.frombuffer(coder.ids(t or ""), "<u4").tolist() == library_ids(t)[:-1]
+        assert np.frombuffer(coder.ids([t or ""])[0], "<u4").tolist() == library_ids(t)[:-1]
 
 
 def test_memory_of_units_is_bounded(monkeypatch):
     monkeypatch.setattr(P, "KNOWN", 20)
     coder = P.Encoder(FILE)
     for t in texts():
-        assert np.frombuffer(coder.ids(t or ""), "<u4").tolist() == library_ids(t)[:-1]
-        assert len(coder.known) <= 20 or len(coder.known) <= len((t or "").split(" "))
+        assert np.frombuffer(coder.ids([t or ""])[0], "<u4").tolist() == library_ids(t)[:-1]
+        assert len(coder.known) <= 20 + 2 * len((t or "").split(" "))
+    coder.ids(["a " + "x" * 100 + ", b"])
+    assert ("x" * 100 + ",") not in coder.known
+
+
+def test_many_texts_at_once():
+    assert [np.frombuffer(x, "<u4").tolist() for x in P.Encoder(FILE).ids([t or "" for t in texts()])] == [library_ids(t)[:-1] for t in texts()]
+    assert P.Encoder(FILE).ids([]) == []
+
+
+def test_ranks_by_shuffle(spark, monkeypatch):
+    """The plan and the first ranks joined instead of broadcast."""
+    monkeypatch.setattr(P, "MAX_LINES", 0)
+    monkeypatch.setattr(P, "MAX_RANKS", 0)
+    want = {i: library_ids(t) for i, t in enumerate(texts())}
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id int, text string").repartition(3)
+    checked([r.asDict() for r in P.pack(df, FILE, size=64).collect()], want, 64)
+
+
+def test_stops_at_the_end_of_units():
+    coder = P.Encoder(FILE)
+    for t in ("a, b. c! d?! e.; ... , .x x., don't. 5, 5. ²! é, 字. e\u0301, _. _, a_., <|endoftext|>, x<|endoftext|>. <|endoftext|>x, (a), 'd, ''s. a's, I'll! x...", "a,\n b. \n c,\t d", "z a.\nB c\nd, e\n\nf g\n<|endoftext|>\nh i***\nj### k'\ns. l\r\nm n\n o\xa0\np"):
+        for _ in range(2):
+            assert np.frombuffer(coder.ids([t])[0], "<u4").tolist() == library_ids(t)[:-1]
 
 
 @pytest.mark.parametrize("size", [8, 64, 1024])
