@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.plans.shared import materialise
+
 GENESIS = hashlib.sha256(b"GENESIS").hexdigest()
 #: Ledger ids of one window when neighbours are looked up.
 STRIDE = 100_000
+#: Entries that one task sorts and chains; more are chained block after block.
+BLOCK = 1_000_000
 
 
 def canonical(payload: Column) -> Column:
@@ -24,8 +28,28 @@ def canonical(payload: Column) -> Column:
     return F.to_json(payload, {"ignoreNullFields": "false"})
 
 
-def chain(entries: DataFrame, seq: str, payload: str, prev: str = GENESIS, start: int = 1) -> DataFrame:
-    """Entries in order of `seq` with ledger_id, prev_hash and hash; all other columns stay."""
+def chain(entries: DataFrame, seq: str, payload: str, prev: str = GENESIS, start: int = 1, most: int = BLOCK) -> DataFrame:
+    """Entries in order of `seq` with ledger_id, prev_hash and hash; all other columns stay.
+
+    Of more than `most` entries ranges of `seq` are chained one after the other: a task sorts one range, and the next starts
+    from the last hash of the one before, which is all that the driver sees.
+    """
+    n = entries.count()
+    if n <= most:
+        return _chained(entries, seq, payload, prev, start)
+    ranges = -(-n // most)
+    held = materialise(entries.repartitionByRange(ranges, seq).withColumn("_range", F.spark_partition_id()), "entries")
+    out = None
+    for i in range(ranges):
+        part = materialise(_chained(held.where(F.col("_range") == i).drop("_range"), seq, payload, prev, start), "chained")
+        last = part.agg(F.max_by(F.struct("ledger_id", "hash"), "ledger_id")).first()[0]
+        if last is not None:
+            prev, start = last["hash"], last["ledger_id"] + 1
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _chained(entries: DataFrame, seq: str, payload: str, prev: str, start: int) -> DataFrame:
     columns = entries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
