@@ -53,6 +53,21 @@ def test_class_scores_are_those_of_pairs(spark):
     assert tell(full) == tell(short)
 
 
+def test_strings_are_compared_once(spark, monkeypatch):
+    """Each two different strings of all pairs are one row of the table that is looked up; without it the scores are the same."""
+    df = copies(spark).withColumns({"address_locality": F.when(F.col("id") > "r5", "whitefield"), "address_district": F.when(F.col("id") > "r3", " Xa ").otherwise("xb")}).persist()
+    groups = blocking.classes(df, scoring.SAME)
+    made = []
+    keep = scoring.materialise
+    monkeypatch.setattr(scoring, "materialise", lambda rows, tag: made.append((tag, keep(rows, tag))) or made[-1][1])
+    tell = lambda rows: sorted(str(x) for x in rows.select("record_a_id", "record_b_id", "links", "decision", *scoring.FEATURES, "score").collect())
+    looked = tell(scoring.score_classes(groups))
+    held = [(x["x"], x["y"]) for tag, rows in made if tag == "ratios" for x in rows.collect()]
+    assert len(set(held)) == len(held) <= 5 and ("xa", "xb") in held and all(x < y for x, y in held)
+    monkeypatch.setattr(scoring, "LOOKED_UP", 0)
+    assert tell(scoring.score_classes(groups)) == looked != []
+
+
 def test_merges_by_classes(spark):
     df = copies(spark, 200).persist()
     norm, groups = blocking.normalised(df).persist(), blocking.classes(df, scoring.SAME)
