@@ -216,10 +216,10 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
 
 
 def _sent(hashes: DataFrame, most: int) -> object | None:
-    """A bounded set of hashes, in order, for all tasks; None if there are more."""
+    """A bounded set of hashes, in order, for all tasks; None if there are more. They come to the driver as an Arrow column, 8 bytes each: as rows they would take some hundred MB there."""
     if hashes.count() > most:
         return None
-    return hashes.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes.collect()], np.int64)))
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow().column(0).to_numpy()))
 
 
 def _pairs(held: DataFrame, words, name: str) -> DataFrame:
