@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tessera.operators import activity, blocking, evaluation, ledger, resolution, scoring
+from tessera.plans import catalog
 
 COLUMNS = "id string, business_name string, address_pincode string, pan string, gstin string, address_locality string, address_district string, phone string, email string, registration_date date, gt_id string"
 
@@ -112,3 +113,8 @@ def test_edges_of_an_identity_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(f"u{i % 3}" if i else None, f"r{i:02d}") for i in range(60)], "ubid string, record_id string")
     got = sorted((x["ubid"], x["source"], x["target"]) for x in resolution.cluster_edges(df).collect())
     assert got == [(f"u{u}", f"r{i:02d}", f"r{j:02d}") for u in range(3) for i in range(1, 60) for j in range(i + 1, 60) if i % 3 == j % 3 == u]
+
+
+def test_a_pair_is_hashed_once(spark, sf):
+    plan = catalog.QUERIES["rev_history"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
