@@ -118,3 +118,39 @@ def test_edges_of_an_identity_in_parts(spark, monkeypatch):
 def test_a_pair_is_hashed_once(spark, sf):
     plan = catalog.QUERIES["rev_history"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1
+
+
+def with_phones(spark, n):
+    """Copies of which some have one of four phones, written in two ways."""
+    at = F.pmod(F.xxhash64("id"), F.lit(6))
+    phone = F.when(at < 4, F.concat(F.when(F.right("id", F.lit(1)) < "5", "+91 ").otherwise(""), F.lit("98000 0000"), at.cast("string"))).when(at == 4, "")
+    return copies(spark, n).withColumn("phone", phone).persist()
+
+
+def test_phones_make_no_classes(spark, monkeypatch):
+    """A phone that differs from copy to copy adds no class; pairs that share one are a row of their own."""
+    monkeypatch.setattr(blocking, "CHUNK", 7)
+    df = with_phones(spark, 120)
+    groups = blocking.classes(df, scoring.SAME)
+    assert groups.count() == blocking.classes(copies(spark, 120), scoring.SAME).count()
+    full = scoring.score_pairs(blocking.candidate_pairs(df), blocking.normalised(df)).persist()
+    rows = scoring.score_classes(groups)
+    assert rows.agg(F.sum("links")).first()[0] == full.count() and rows.count() < 60
+    tell = lambda rows: sorted((x["record_a_id"], x["record_b_id"], x["decision"], *(x[f] for f in [*scoring.FEATURES, "score"])) for x in rows.collect())
+    told = tell(full)
+    assert tell(blocking.expanded(rows, df, groups, scoring.SAME)) == told and {x[6] for x in told} == {0.0, 1.0}
+    linked = [x[:2] for x in told if x[2] == "AUTO_LINK"]  # a condition on rows is one on their pairs
+    assert [x[:2] for x in tell(blocking.expanded(rows.where("decision = 'AUTO_LINK'"), df, groups, scoring.SAME))] == linked
+
+
+def test_first_links_by_phone(spark):
+    """Of each two identities the link that comes first among all pairs, where the score hangs on the phone."""
+    df = with_phones(spark, 200)
+    norm, groups = blocking.normalised(df).persist(), blocking.classes(df, scoring.SAME)
+    given = norm.select("id", F.concat("business_name", F.lit("/"), F.pmod(F.crc32("id"), F.lit(9)).cast("string")).alias("ubid")).persist()
+    full = resolution.ubid_links(scoring.score_pairs(blocking.candidate_pairs(df), norm), given).collect()
+    first = {}
+    for x in sorted(full, key=lambda x: (-x["score"], x["record_a_id"], x["record_b_id"])):
+        first.setdefault(frozenset((x["ubid_a"], x["ubid_b"])), tuple(x))
+    short = resolution.ubid_links(scoring.score_classes(groups), given, blocking.members(df, groups, scoring.SAME))
+    assert sorted(map(tuple, short.collect())) == sorted(first.values()) != []
