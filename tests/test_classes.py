@@ -154,3 +154,12 @@ def test_first_links_by_phone(spark):
         first.setdefault(frozenset((x["ubid_a"], x["ubid_b"])), tuple(x))
     short = resolution.ubid_links(scoring.score_classes(groups), given, blocking.members(df, groups, scoring.SAME))
     assert sorted(map(tuple, short.collect())) == sorted(first.values()) != []
+
+
+def test_members_come_from_the_written_records(spark, sf, monkeypatch):
+    """The view of the records is read for their classes and once more, not for each step."""
+    seen, keep = [], blocking.members
+    monkeypatch.setattr(blocking, "members", lambda rows, *a: seen.append(rows.inputFiles()) or keep(rows, *a))
+    for name in ("res_components", "res_merge"):
+        catalog.QUERIES[name](spark, sf)
+    assert len(seen) == 2 and not any("part.parquet" in f for files in seen for f in files)
