@@ -163,3 +163,9 @@ def test_members_come_from_the_written_records(spark, sf, monkeypatch):
     for name in ("res_components", "res_merge"):
         catalog.QUERIES[name](spark, sf)
     assert len(seen) == 2 and not any("part.parquet" in f for files in seen for f in files)
+
+
+def test_scores_are_rounded_once_a_class(spark, sf):
+    """What a pair of classes says is made before its pairs of records are."""
+    plan = catalog.QUERIES["sco_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
