@@ -169,3 +169,18 @@ def test_scores_are_rounded_once_a_class(spark, sf):
     """What a pair of classes says is made before its pairs of records are."""
     plan = catalog.QUERIES["sco_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan
+
+
+def test_identities_are_looked_up(spark):
+    """Records look up the first ones of their anchors, which are written, and are neither grouped nor joined with each other; what is kept of them spares a join by id."""
+    df = with_phones(spark, 200)
+    norm, groups = blocking.normalised(df).persist(), blocking.classes(df, scoring.SAME)
+    given = resolution.assign(norm)
+    plan = given._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+    members = blocking.members(norm, groups, scoring.SAME, ("valid_pan", "valid_gstin"))
+    kept = resolution.assign(members, keep=["first", "phone_key"])
+    tell = lambda rows: sorted(map(tuple, rows.collect()))
+    assert tell(kept.select("id", "ubid")) == tell(given)
+    scored = scoring.score_classes(groups)
+    assert tell(resolution.ubid_links(scored, kept)) == tell(resolution.ubid_links(scored, given, blocking.members(norm, groups, scoring.SAME))) != []
