@@ -184,3 +184,11 @@ def test_identities_are_looked_up(spark):
     assert tell(kept.select("id", "ubid")) == tell(given)
     scored = scoring.score_classes(groups)
     assert tell(resolution.ubid_links(scored, kept)) == tell(resolution.ubid_links(scored, given, blocking.members(norm, groups, scoring.SAME))) != []
+
+
+def test_statistics_count_entries_unchained(spark, sf, monkeypatch):
+    """Statuses are made once, and their entries are counted without one task that chains them."""
+    made, keep = [], catalog.materialise
+    monkeypatch.setattr(catalog, "materialise", lambda rows, tag: made.append(tag) or keep(rows, tag))
+    plan = catalog.QUERIES["agg_system"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("statuses") == 1 and "MapInArrow" not in plan
