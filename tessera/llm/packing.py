@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +69,10 @@ class Encoder:
         #: Ids of units with the space before them, by what follows it; of parts without one.
         self.tokenizer, self.known, self.bare = Tokenizer.from_file(file), {}, {}
         self.model = self.tokenizer.model
+        #: By id, whether it begins with a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(chr(_SIGNS[32]))]] = True
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Added tokens stand whole wherever they are, so a unit with one isn't cut.
         self.added = re.compile("|".join(map(re.escape, special)) or r"(?!)")
@@ -79,13 +84,21 @@ class Encoder:
         return out
 
     def _words(self, words: list[str], head: str) -> list[bytes]:
-        """Of words with what stands before each: one of letters alone is one pre-token, which goes to the tokenizer's model directly."""
-        out, rest, model = dict.fromkeys(words, b""), [], self.model
+        """Of words with what stands before each: one of letters alone is one pre-token, which goes to the tokenizer's model directly; many with spaces before them are one text, whose ids are cut where one begins with a space."""
+        out, rest, model, letters = dict.fromkeys(words, b""), [], self.model, []
         for w in words:
-            if w.isalpha():
-                out[w] = _bytes([t.id for t in model.tokenize((head + w).encode().decode("latin-1").translate(_SIGNS))])
-            else:
+            if not w.isalpha():
                 rest.append(w)
+            elif head == " ":
+                letters.append(w)
+            else:
+                out[w] = _bytes([t.id for t in model.tokenize((head + w).encode().decode("latin-1").translate(_SIGNS))])
+        for at in range(0, len(letters), 1000):
+            some = letters[at : at + 1000]
+            ids = np.frombuffer(self._encode([" " + " ".join(some)])[0], "<u4")
+            ends = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+            whole = ids.tobytes()
+            out.update(zip(some, [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         out.update(zip(rest, self._encode([head + w for w in rest]), strict=True))
         return [out[w] for w in words]
 
@@ -93,6 +106,9 @@ class Encoder:
         """Ids of units that aren't known, from those of their parts."""
         made, spaced, bare, tails = [], set(), set(), set()
         for u in new:
+            if u.isalpha():
+                spaced.add(u)
+                continue
             parts = []
             whole = self.added.search(u) is not None
             for i, line in enumerate(_LINE.split(u) if "\n" in u and not whole else (u,)):
@@ -116,34 +132,57 @@ class Encoder:
             if len(parts) > 1 or parts[0][2]:
                 known[u] = b"".join([(loose["\n"] + loose[w] if i else known[w]) + (loose[tail] if tail else b"") for i, w, tail in parts])
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text, as unsigned 32-bit integers, little end first."""
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Of different units, each with the space before it."""
         known = self.known
-        if len(known) + len(self.bare) > KNOWN:
-            known.clear()
-            self.bare.clear()
-        firsts, units = [], []
-        for text in texts:
-            first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            firsts.append(first)
-            units.append(rest)
-        got = [list(map(known.get, own)) for own in units]
-        new = {u for own, ids in zip(units, got, strict=True) if None in ids for u, x in zip(own, ids, strict=True) if x is None}
-        if new:
+        got = list(map(known.get, units))
+        if new := {u for u, x in zip(units, got, strict=True) if x is None}:
             self._learn(new)
-            got = [[known[u] if x is None else x for u, x in zip(own, ids, strict=True)] if None in ids else ids for own, ids in zip(units, got, strict=True)]
+            got = list(map(known.__getitem__, units))
             for u in new:
                 if len(u) > UNIT:
                     known.pop(u, None)
-        return [b"".join([first, *ids]) for first, ids in zip(self._encode(firsts), got, strict=True)]
+        return got
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text, as unsigned 32-bit integers, little end first. Units that are met several times in these texts are looked up once."""
+        if not texts:
+            return []
+        if len(self.known) + len(self.bare) > KNOWN:
+            self.known.clear()
+            self.bare.clear()
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]  # cut at fewer places
+        even = sorted({*range(len(texts))}.difference(odd))
+        kind = pa.large_list(pa.large_string())
+        cuts = [pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ").cast(kind), pa.array([_CUT.split(texts[i]) for i in odd], kind)]
+        cut = pa.concat_arrays(cuts)
+        ends, flat = cut.offsets.to_numpy(), cut.values
+        later = np.ones(len(flat), bool)
+        later[ends[:-1]] = False
+        units = flat.filter(pa.array(later)).dictionary_encode()
+        got = self._units(units.dictionary.to_pylist())
+        own = units.indices.to_numpy()
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        begin = np.cumsum(size) - size
+        many = size[own]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        small = np.int32 if max(upto[-1], begin[-1] if len(got) else 0) < 2**31 else np.int64
+        ids = np.frombuffer(b"".join(got), "<u4")[np.arange(upto[-1], dtype=small) + np.repeat((begin[own] - upto[:-1]).astype(small), many)]
+        of_text = (4 * upto[ends - np.arange(len(ends))]).tolist()  # each text has one part that isn't a unit
+        whole = ids.tobytes()
+        firsts = self._encode(flat.take(pa.array(ends[:-1])).to_pylist())
+        out = dict(zip([*even, *odd], [first + whole[a:b] for first, a, b in zip(firsts, of_text, of_text[1:], strict=False)], strict=True))
+        return [out[i] for i in range(len(texts))]
 
 
 @cache
 def encoder(file: str) -> Encoder:
     """One for each worker process."""
+    import gc
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    gc.set_threshold(200_000, 20, 20)  # parts of units are many small tuples, none in a cycle
     return Encoder(file)
 
 
@@ -254,6 +293,19 @@ MAX_LINES = 100_000
 MAX_RANKS = 500_000
 
 
+#: Bytes of text that are encoded at once, besides the last text: of more, a unit met several times is looked up less often.
+AT_ONCE = 1 << 22
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in turn, each slice with about AT_ONCE bytes of its second column."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def tokens(docs: DataFrame, file: str, key: str, text: str, size: int, end: int) -> DataFrame:
     """(key, part, ids, n, rest, number, whole): ids of each text and the end, how many, what they leave beyond full sequences, the row's number among the rows of its task with that rest, and the full sequences of the task before it."""
     from pyspark import TaskContext
@@ -265,8 +317,8 @@ def tokens(docs: DataFrame, file: str, key: str, text: str, size: int, end: int)
         coder, part = encoder(file), TaskContext.get().partitionId()
         seen, whole = np.zeros(size, np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, rows = batch.slice(at, 256), []
+            for some in slices(batch):
+                rows = []
                 for ids in coder.ids(some.column(1).to_pylist()):
                     ids += stop
                     n = len(ids) // 4

@@ -165,3 +165,23 @@ def test_query(spark, sf):
     of_sequence = checked(got, want, 1024)
     padding = sum(1024 - n for n in (sum(p["length"] for p in ps) for ps in of_sequence.values()) if n & (n - 1))
     assert padding < 0.005 * sum(map(len, want.values()))
+
+
+def test_units_are_looked_up_once_for_many_texts(monkeypatch):
+    """A unit that stands in several texts of a slice is asked for once, and words of letters reach the tokenizer together."""
+    coder, asked, sent = P.Encoder(FILE), [], []
+    units, encode = coder._units, coder._encode
+    monkeypatch.setattr(coder, "_units", lambda x: asked.extend(x) or units(x))
+    monkeypatch.setattr(coder, "_encode", lambda x: sent.extend(x) or encode(x))
+    given = [f"first{i} " + " ".join(f"wörd{'abcdef'[(i + j) % 6]}" for j in range(50)) + ("  two" if i % 3 else "") for i in range(40)]
+    got = coder.ids(given)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library_ids(t)[:-1] for t in given]
+    assert len(asked) == len(set(asked)) < 20 and len(sent) < len(given) + 10
+
+
+def test_slices_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(P, "AT_ONCE", 10)
+    batch = P.pa.RecordBatch.from_arrays([P.pa.array(range(7)), P.pa.array(["", "abc", "x" * 50, "", "abcdefgh", "ab", ""])], ["key", "text"])
+    got = list(P.slices(batch))
+    assert [r for b in got for r in b.to_pylist()] == batch.to_pylist() and len(got) > 2
+    assert list(P.slices(batch.slice(0, 0))) == []
